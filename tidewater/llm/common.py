@@ -37,6 +37,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join with more rows (or more array elements in them) than this isn't broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def checked(side: DataFrame, elements: str | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most `rows` rows, or elements of the array column
+    `elements`; else Spark shuffles both sides."""
+    n = side.agg(F.sum(F.greatest(F.lit(1), F.size(elements))).alias("n")).first()["n"] or 0 if elements else side.count()
+    return F.broadcast(side) if n <= rows else side
+
+
 def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names; any other column stays out of its way."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

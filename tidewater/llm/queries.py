@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewater.llm.common import table
 
 
@@ -29,6 +31,19 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    from tidewater.llm.decontaminate import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_contaminated", F.array_join("items", ",").alias("items"), (F.col("n_contaminated") > 0).alias("contaminated"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    from tidewater.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_runs", "longest_repeat", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark, sf_dir):
     from tidewater.llm.url_filter import judge_urls
 
@@ -41,7 +56,7 @@ def op9_media_clips(spark, sf_dir):
     return media_digest(encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op8_url_filter, op9_media_clips)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op6_decontamination, op7_line_dedup, op8_url_filter, op9_media_clips)}
 
 ORACLE_SQL = {
     "op2_near_dedup": """
@@ -73,6 +88,50 @@ kept AS (
   FROM words LEFT JOIN (SELECT *, true AS gone FROM covered) USING (doc_id, p) WHERE gone IS NULL GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op6_decontamination": """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+i AS (
+  SELECT item_id, ws, len(ws) AS n, least(len(ws), 16) AS w, CASE WHEN len(ws) >= 16 THEN 13 ELSE len(ws) - len(ws) // 8 END AS need
+  FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL)
+  WHERE len(ws) >= 8),
+dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+iw AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM i),
+same AS (SELECT doc_id, item_id, p - q AS shift, p FROM dw JOIN iw USING (word)),
+dense AS (
+  SELECT doc_id, item_id, shift FROM (
+    SELECT doc_id, item_id, shift, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS k FROM same)
+  JOIN i USING (item_id) WHERE k >= need GROUP BY ALL),
+starts AS (
+  SELECT doc_id, item_id, shift, w, need, unnest(range(greatest(1, shift + 1), least(len(d.ws), shift + n) - w + 2)) AS s
+  FROM dense JOIN i USING (item_id) JOIN d USING (doc_id)),
+hit AS (
+  SELECT a.doc_id, a.item_id, a.shift, s, any_value(w) AS w FROM starts a JOIN same b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.shift = a.shift AND b.p BETWEEN s AND s + w - 1
+  GROUP BY ALL HAVING count(*) >= any_value(need)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS k FROM (SELECT doc_id, unnest(range(s, s + w)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_contaminated, coalesce(items, '') AS items, k IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op7_line_dedup": """
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, [x FOR x IN [trim(y, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') FOR y IN string_split(coalesce(text, ''), chr(10))] IF x <> ''] AS ls FROM documents),
+runs AS (
+  SELECT doc_id, n, s, md5(array_to_string(ls[s:s + n - 1], chr(10))) AS h
+  FROM (SELECT doc_id, ls, n, unnest(range(1, len(ls) - n + 2)) AS s FROM w, (SELECT 1 << unnest(range(0, 10)) AS n))),
+ranked AS (SELECT doc_id, n, s, count(*) OVER (PARTITION BY n, h) AS copies, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, s) AS nth FROM runs),
+longest AS (SELECT doc_id, max(n) AS longest FROM ranked WHERE copies > 1 GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) FILTER (out IS NULL) AS k, count(out) AS n_removed,
+         count(*) FILTER (out AND before IS NULL) AS n_runs
+  FROM (SELECT doc_id, p, line, out, lag(out) OVER (PARTITION BY doc_id ORDER BY p) AS before
+        FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM w) LEFT JOIN gone USING (doc_id, p))
+  GROUP BY doc_id)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(longest, 0)::BIGINT AS longest_repeat,
+       sha256(CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE coalesce(k, '') END) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
 """,
     "op8_url_filter": """
 WITH parts AS (
