@@ -31,6 +31,12 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    from tidewater.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark, sf_dir):
     from tidewater.llm.decontaminate import find_contamination
 
@@ -56,7 +62,7 @@ def op9_media_clips(spark, sf_dir):
     return media_digest(encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op6_decontamination, op7_line_dedup, op8_url_filter, op9_media_clips)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op8_url_filter, op9_media_clips)}
 
 ORACLE_SQL = {
     "op2_near_dedup": """
