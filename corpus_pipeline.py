@@ -1,8 +1,52 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: documents without toxic texts, later copies of line runs, near copies and benchmark passages, packed.
 
+Each stage takes (spark, docs, sf_dir). What it returns is written as Parquet in the shared folder and read again as
+the next stage's docs. All stages but the last return the columns of documents; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from tidewater.llm.common import stash, table
+from tidewater.llm.decontaminate import without_contaminated
+from tidewater.llm.line_dedup import without_later_copies
+from tidewater.llm.near_dedup import one_of_each_group
+from tidewater.llm.packing import pack
+from tidewater.llm.toxicity import without_toxic
+
+#: SQL can't express the network of the first stage.
 ORACLE_SQL = None
-STAGES = []
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the network doesn't predict as toxic."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Later copies of repeated line runs go, and documents that lose all of their lines."""
+    return without_later_copies(docs)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of near copies: the one with the least id."""
+    return one_of_each_group(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents in which no passage of a benchmark item is found."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark, docs, sf_dir):
+    """What is left, in sequences of tokens."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,9 +53,16 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def row_key() -> F.Column:
-    """A key of a row of documents_of(): equal rows share it, rows that share only the id (or have none) don't."""
-    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text"))
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
+    """A key of a document row: rows with one id and text share it, rows that share only the id (or have none) don't."""
+    doc = F.col(id_col).cast("long")
+    return F.xxhash64(F.coalesce(doc, F.lit(-1)), doc.isNull(), F.col(text_col).cast("string"))
+
+
+def with_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, text and rest (all columns in one struct): names that clash with an operator's own stay inside rest."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

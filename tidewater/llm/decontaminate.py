@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.llm.common import LOWER, checked, documents_of, mix, raw, row_key, slices, stash, word_bounds, word_hashes
+from tidewater.llm.common import LOWER, checked, documents_of, mix, raw, row_key, slices, stash, with_rest, word_bounds, word_hashes
 
 #: A window of tokens is contaminated if at most SUBSTITUTIONS of them differ from a test item's at the same places.
 WINDOW, SUBSTITUTIONS = 16, 3
@@ -117,7 +118,6 @@ def _doc_seeds(lengths: tuple[int, ...], wanted):
 
 
 def _verify(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_contaminated", pa.int64()), ("items", pa.list_(pa.int64()))])
     for batch in slices(batches):
         n_words, n_hit, items = [], [], []
         for text, hits in zip(raw(batch.column(1)), batch.column(2).to_pylist()):
@@ -131,23 +131,11 @@ def _verify(batches):
             n_words.append(len(doc))
             n_hit.append(int(covered.sum()))
             items.append(sorted(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n_words, n_hit, items), list(schema)[1:]))], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["rest", "n_words", "n_contaminated", "items"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_filter: int = MAX_FILTER) -> DataFrame:
-    """doc_id, n_words, n_contaminated (words in matching windows) and items (ids, sorted), for every input row.
-
-    A window of WINDOW tokens of a document matches if at most SUBSTITUTIONS differ from an item's tokens at the same
-    places; an item with MIN_ITEM to WINDOW - 1 tokens must match as a whole, with an eighth of them substituted.
-    Spaced seeds find the places (their masks miss no such window; halves serve short items), a join with the items'
-    seeds names the items, and tokens around each hit are then compared. Equal items are looked up once.
-
-    The seeds' digests reach the tasks only if there are at most `max_filter`; beyond, all seeds are shuffled into
-    the join. Documents meet their hits by row, so no passage and no item gathers its documents in one task.
-
-    Null or empty texts: no words, no hits. Null ids stay; null item ids are left out of `items`, but their texts
-    count. Repeated rows each have their result. Empty tables: no rows, or no hits.
-    """
+def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, max_filter: int) -> DataFrame:
+    """rest (the row), and what was found in it."""
     spark = docs.sparkSession
     named = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     texts = named.filter("text is not null").groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select("item_ids", "text")
@@ -163,4 +151,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     lines = hits.select("key", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     facts = items.select("item", "item_ids", "tokens")
     per_doc = stash(lines.join(checked(facts), "item").groupBy("key").agg(F.collect_list(F.struct("shift", "item_ids", "tokens")).alias("hits")), "bench-hits")
-    return source.join(checked(per_doc, "hits", 100_000), "key", "left").select("doc_id", "text", "hits").mapInArrow(_verify, "doc_id long, n_words long, n_contaminated long, items array<long>")
+    rows = with_rest(docs, id_col, text_col).join(checked(per_doc, "hits", 100_000), "key", "left").select("rest", "text", "hits")
+    out = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_contaminated", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(_verify, out)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_filter: int = MAX_FILTER) -> DataFrame:
+    """doc_id, n_words, n_contaminated (words in matching windows) and items (ids, sorted), for every input row.
+
+    A window of WINDOW tokens of a document matches if at most SUBSTITUTIONS differ from an item's tokens at the same
+    places; an item with MIN_ITEM to WINDOW - 1 tokens must match as a whole, with an eighth of them substituted.
+    Spaced seeds find the places (their masks miss no such window; halves serve short items), a join with the items'
+    seeds names the items, and tokens around each hit are then compared. Equal items are looked up once.
+
+    The seeds' digests reach the tasks only if there are at most `max_filter`; beyond, all seeds are shuffled into
+    the join. Documents meet their hits by row, so no passage and no item gathers its documents in one task.
+
+    Null or empty texts: no words, no hits. Null ids stay; null item ids are left out of `items`, but their texts
+    count. Repeated rows each have their result. Empty tables: no rows, or no hits.
+    """
+    rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col, max_filter)
+    return rows.select(F.col(f"rest.`{id_col}`").cast("long").alias("doc_id"), "n_words", "n_contaminated", "items")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_filter: int = MAX_FILTER) -> DataFrame:
+    """The rows of docs, with their own columns, in which find_contamination finds nothing."""
+    rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col, max_filter).filter("n_contaminated = 0")
+    return rows.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

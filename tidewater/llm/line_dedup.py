@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.llm.common import checked, documents_of, mix, raw, row_key, slices, stash, word_bounds, word_hashes
+from tidewater.llm.common import checked, documents_of, mix, raw, row_key, slices, stash, with_rest, word_bounds, word_hashes
 
 #: The shortest run, in lines, whose later copies go. A power of two, so that it is one level of the doubling.
 MIN_LINES = 2
@@ -91,9 +92,11 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         levels.append((2 * length, *found))
 
 
-def _rewrite(min_lines: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("longest_repeat", pa.int64()), ("kept", pa.string())])
+_FACTS = (("n_lines", "long"), ("n_removed", "long"), ("n_runs", "long"), ("longest_repeat", "long"), ("kept", "string"))
+_ARROW = {"long": pa.int64(), "string": pa.string()}
+
 
+def _rewrite(min_lines: int):
     def run(batches):
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
@@ -109,11 +112,24 @@ def _rewrite(min_lines: int):
                     kept = b"\n".join(text[a:b] for (a, b), g in zip(bounds, gone) if not g)
                 for column, value in zip(out, (len(bounds), int(gone.sum()), runs, longest or 0, kept.decode("utf-8"))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:]))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(out, _FACTS))], names=["rest", *(n for n, _ in _FACTS)])
 
     return run
 
 
+def _rewritten(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
+    """rest (the row), and what line dedup makes of it."""
+    if min_lines < 1 or min_lines & (min_lines - 1):
+        raise ValueError("min_lines must be a power of two")
+    marks = None
+    for length, suffixes, _ in suffix_levels(docs, id_col, text_col):
+        one = suffixes.select("key", F.lit(length).cast("long").alias("length"), F.when(F.lit(length == min_lines) & F.col("later"), F.col("pos")).alias("pos"))
+        marks = one if marks is None else marks.unionByName(one)
+    found = stash(marks.groupBy("key").agg(F.collect_set("pos").alias("starts"), F.max("length").alias("longest")), "line-marks")
+    rows = with_rest(docs, id_col, text_col).join(checked(found, "starts"), "key", "left").select("rest", "text", "starts", "longest")
+    return rows.mapInArrow(_rewrite(min_lines), T.StructType([T.StructField("rest", rows.schema["rest"].dataType), *(T.StructField(n, T.LongType() if t == "long" else T.StringType()) for n, t in _FACTS)]))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, longest_repeat and kept (the text that is left), for every input row.
 
@@ -127,13 +143,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id and a text are one place: none is a copy of the other. An empty table gives an empty result. Hot lines and
     runs are counted with partial aggregation; joins on them have a small checked side or can be split.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    levels = suffix_levels(docs, id_col, text_col)
-    marks = None
-    for length, suffixes, _ in levels:
-        one = suffixes.select("key", F.lit(length).cast("long").alias("length"), F.when(F.lit(length == min_lines) & F.col("later"), F.col("pos")).alias("pos"))
-        marks = one if marks is None else marks.unionByName(one)
-    found = stash(marks.groupBy("key").agg(F.collect_set("pos").alias("starts"), F.max("length").alias("longest")), "line-marks")
-    source = documents_of(docs, id_col, text_col).select(row_key().alias("key"), "doc_id", "text")
-    return source.join(checked(found, "starts"), "key", "left").select("doc_id", "text", "starts", "longest").mapInArrow(_rewrite(min_lines), "doc_id long, n_lines long, n_removed long, n_runs long, longest_repeat long, kept string")
+    return _rewritten(docs, id_col, text_col, min_lines).select(F.col(f"rest.`{id_col}`").cast("long").alias("doc_id"), *(n for n, _ in _FACTS))
+
+
+def without_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_lines: int = MIN_LINES) -> DataFrame:
+    """The rows of docs with their own columns: the text is what dedup_lines keeps, chars_col (if there is one) its
+    length. A row that had lines and lost all of them goes; one that was empty before stays."""
+    rows = _rewritten(docs, id_col, text_col, min_lines).filter("n_removed < n_lines or n_lines = 0")
+    changed = {text_col: F.when(F.col("n_removed") > 0, F.col("kept").cast(docs.schema[text_col].dataType)).otherwise(F.col(f"rest.`{text_col}`"))}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"rest.`{chars_col}`"))
+    return rows.select(*(changed.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

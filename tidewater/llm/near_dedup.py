@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents_of, hashed_words, mix, raw, run_hashes, slices, stash
+from tidewater.llm.common import checked, documents_of, hashed_words, mix, raw, run_hashes, slices, stash
 from tidewater.llm.components import connected_components
 
 SHINGLE = 5
@@ -152,3 +152,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(stash(links.unionByName(shared_ids), "near-links"))
     final = comp.select(F.col("node").alias("doc_id"), "comp")
     return base.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), (F.coalesce("comp", "doc_id") == F.col("doc_id")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, that near_duplicates keeps: one per group of linked documents. Rows
+    without an id all stay. Of rows that share a kept id, one stays (the one whose text has the least hash)."""
+    judged = stash(near_duplicates(docs, id_col, text_col).select("doc_id", "kept"), "near-judged")
+    gone = stash(judged.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
+    named = F.col(f"`{id_col}`").cast("long")
+    left = docs.join(checked(gone), named == F.col("gone_id"), "left_anti")
+    again = stash(judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")), "near-again")
+    if not again.count():
+        return left
+    again = checked(again)
+    first = left.join(again, named == F.col("again_id"), "left_semi").groupBy(named.alias("again_id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(F.col(f"`{text_col}`"))).alias("rest"))
+    return left.join(again, named == F.col("again_id"), "left_anti").unionByName(first.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns)))

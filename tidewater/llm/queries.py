@@ -62,7 +62,13 @@ def op9_media_clips(spark, sf_dir):
     return media_digest(encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op8_url_filter, op9_media_clips)}
+def op10_toxicity(spark, sf_dir):
+    from tidewater.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op8_url_filter, op9_media_clips, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_near_dedup": """
