@@ -234,17 +234,18 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.maximum.reduceat(logits, first[:-1]).astype(float)))
 
 
-def _evidence(texts: list[bytes], toxic: np.ndarray) -> list[EvidenceTable]:
+def _hash_sets(texts: list[bytes]) -> list[list[np.ndarray]]:
+    """Of each text, the distinct hashes of its words and of its n-grams, per kind of table."""
     found: list[list[np.ndarray]] = [[] for _ in range(1 + len(GRAMS))]
     for text in texts:
         _, _, hashes, (letters, begin) = words_of([text])
         found[0].append(hashes)
         for i, (h, fits) in enumerate(gram_hashes(letters, begin)):
             found[1 + i].append(np.unique(h[fits]))
-    return [EvidenceTable.fit(f, toxic) for f in found]
+    return found
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 30, batch: int = 128, candidates: int = 8, seed: int = 7) -> Model:
+def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 16, batch: int = 128, candidates: int = 8, seed: int = 7) -> Model:
     """Fit tables and network. While the network learns, each half of the sample is seen through tables made from the
     other half, so that it meets evidence as strong as it will on new texts. A text's loss is that of its worst window,
     looked for among the `candidates` windows with the most evidence."""
@@ -252,7 +253,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 30, batch: int = 12
     weights = new_weights(rng)
     if texts:  # a window without words is met in fitting, too
         texts, toxic = [*texts, *[b""] * (1 + len(texts) // 100)], np.concatenate([toxic, np.zeros(1 + len(texts) // 100, bool)])
-    whole = Model(_evidence(texts, toxic) if texts else [EvidenceTable() for _ in range(1 + len(GRAMS))], weights)
+    found = _hash_sets(texts)
+    whole = Model([EvidenceTable.fit(f, toxic) for f in found], weights)
     if not texts or toxic.all() or not toxic.any():
         weights["w"][:] = 0
         weights["c"][:] = -2.0
@@ -264,7 +266,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 30, batch: int = 12
         mine = np.flatnonzero(~part)
         if not len(mine):
             continue
-        seen = Model(_evidence([texts[i] for i in np.flatnonzero(part)], toxic[part]), weights)
+        seen = Model([EvidenceTable.fit([f[i] for i in np.flatnonzero(part)], toxic[part]) for f in found], weights)
         inputs, rows, first = seen.windows([texts[i] for i in mine])
         weight = inputs[:, : 1 + len(GRAMS)].sum(axis=1)[rows].sum(axis=1)
         for k, i in enumerate(mine):
@@ -282,7 +284,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 30, batch: int = 12
     m = {k: np.zeros_like(x) for k, x in weights.items()}
     v = {k: np.zeros_like(x) for k, x in weights.items()}
     step = 0
-    epochs = max(epochs, -(-1000 * batch // len(docs)))
+    epochs = max(epochs, -(-500 * batch // len(docs)))
     for epoch in range(epochs):
         if epoch % 2 == 0:
             projected = project(weights, inputs)
