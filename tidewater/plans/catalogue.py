@@ -1,4 +1,10 @@
 """All registered reports, with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from tidewater.plans import lending
+
+PARTS = (lending,)
+
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
