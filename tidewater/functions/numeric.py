@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: From here on a double has no decimal places.
+_WHOLE = 9e15
+
 
 def trunc_dp(x: Column, places: int) -> Column:
-    """Cut to so many decimal places, toward zero: -1.239 becomes -1.23."""
+    """Cut to so many decimal places, toward zero: -1.239 becomes -1.23. Too large to have such places: as it is."""
     scale = F.lit(10.0**places)
-    return F.sign(x) * F.floor(F.abs(x) * scale) / scale
+    return F.when(F.abs(x) * scale < _WHOLE, F.sign(x) * F.floor(F.abs(x) * scale) / scale).otherwise(x)
 
 
 def half_up(x: Column, places: int = 0) -> Column:
-    """Round to the nearest, halves toward plus infinity."""
+    """Round to the nearest, halves toward plus infinity. Too large to have such places: as it is."""
     scale = F.lit(10.0**places)
-    return F.floor(x * scale + F.lit(0.5)) / scale
+    return F.when(F.abs(x) * scale < _WHOLE, F.floor(x * scale + F.lit(0.5)) / scale).otherwise(x)
 
 
 def shift_digits(amount: Column, places: int, keep: int = 6) -> Column:

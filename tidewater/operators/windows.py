@@ -27,7 +27,7 @@ def ranked(df: DataFrame, score: str, tie: str, shares: int = SHARES) -> DataFra
     return dealt.withColumn("_within", within).join(F.broadcast(above), "_share").withColumn("rank", F.col("_within") + F.col("_above")).drop("_share", "_within", "_above")
 
 
-def ahead_sum(df: DataFrame, by: list[str], order: list[Column], value: str) -> Column:
+def ahead_sum(by: list[str], order: list[Column], value: str) -> Column:
     """Of each row, the sum of the rows before it."""
     return F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
