@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import lending, series, venues
+from tidewater.plans import basics, lending, racing, series, venues
 
-PARTS = (lending, series, venues)
+PARTS = (lending, series, venues, basics, racing)
 
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
