@@ -21,7 +21,7 @@ from tidewater.llm.common import LOWER, documents_of, mix, raw, slices, with_res
 #: Words in a window, and words from one window to the next.
 WINDOW, STRIDE = 24, 16
 #: The fitting sample: at most so many rows of label 1 and of label 0, with texts of at most so many characters.
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.7
 HIDDEN = 8
 GRAMS = (4, 5, 6)
@@ -234,17 +234,31 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.maximum.reduceat(logits, first[:-1]).astype(float)))
 
 
-def _hash_sets(texts: list[bytes]) -> list[list[np.ndarray]]:
-    """Of each text, the distinct hashes of its words and of its n-grams, per kind of table."""
-    found: list[list[np.ndarray]] = [[] for _ in range(1 + len(GRAMS))]
+def _hash_sets(texts: list[bytes], kind: int) -> list[np.ndarray]:
+    """Of each text, the distinct hashes for one kind of table: words (0), or n-grams of the kind's length."""
+    found = []
     for text in texts:
         _, _, hashes, (letters, begin) = words_of([text])
-        found[0].append(hashes)
-        for i, (h, fits) in enumerate(gram_hashes(letters, begin)):
-            found[1 + i].append(np.unique(h[fits]))
+        if kind:
+            h, fits = gram_hashes(letters, begin)[kind - 1]
+            hashes = np.unique(h[fits])
+        found.append(hashes)
     return found
 
 
+def _portions(texts: list[bytes], which: np.ndarray, most: int = 1 << 20):
+    """Runs of indices whose texts have about `most` bytes together, so that work arrays stay small."""
+    run, size = [], 0
+    for i in which:
+        run.append(i)
+        size += len(texts[i])
+        if size >= most:
+            yield np.array(run)
+            run, size = [], 0
+    if run:
+        yield np.array(run)
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 16, batch: int = 128, candidates: int = 8, seed: int = 7) -> Model:
     """Fit tables and network. While the network learns, each half of the sample is seen through tables made from the
     other half, so that it meets evidence as strong as it will on new texts. A text's loss is that of its worst window,
@@ -253,29 +267,30 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 16, batch: int = 12
     weights = new_weights(rng)
     if texts:  # a window without words is met in fitting, too
         texts, toxic = [*texts, *[b""] * (1 + len(texts) // 100)], np.concatenate([toxic, np.zeros(1 + len(texts) // 100, bool)])
-    found = _hash_sets(texts)
-    whole = Model([EvidenceTable.fit(f, toxic) for f in found], weights)
+    half = np.arange(len(texts)) % 2 == 0
+    tables: tuple[list, list, list] = ([], [], [])
+    for kind in range(1 + len(GRAMS)):
+        found = _hash_sets(texts, kind)
+        for into, part in zip(tables, (half | True, half, ~half)):
+            into.append(EvidenceTable.fit([found[i] for i in np.flatnonzero(part)], toxic[part]))
+    whole = Model(tables[0], weights)
     if not texts or toxic.all() or not toxic.any():
         weights["w"][:] = 0
         weights["c"][:] = -2.0
         return whole
-    half = np.arange(len(texts)) % 2 == 0
     base, picked, owner = [np.zeros((1, INPUTS), _F)], [], []
     offset = 0
-    for part in (half, ~half):
-        mine = np.flatnonzero(~part)
-        if not len(mine):
-            continue
-        seen = Model([EvidenceTable.fit([f[i] for i in np.flatnonzero(part)], toxic[part]) for f in found], weights)
-        inputs, rows, first = seen.windows([texts[i] for i in mine])
-        weight = inputs[:, : 1 + len(GRAMS)].sum(axis=1)[rows].sum(axis=1)
-        for k, i in enumerate(mine):
-            own = np.arange(first[k], first[k + 1])
-            own = own[np.argsort(-weight[own], kind="stable")[:candidates]]
-            picked.append(np.where(rows[own] > 0, rows[own] + offset, 0))
-            owner += [i] * len(own)
-        base.append(inputs[1:])
-        offset += len(inputs) - 1
+    for seen, part in ((Model(tables[1], weights), ~half), (Model(tables[2], weights), half)):
+        for mine in _portions(texts, np.flatnonzero(part)):
+            inputs, rows, first = seen.windows([texts[i] for i in mine])
+            weight = inputs[:, : 1 + len(GRAMS)].sum(axis=1)[rows].sum(axis=1)
+            for k, i in enumerate(mine):
+                own = np.arange(first[k], first[k + 1])
+                own = own[np.argsort(-weight[own], kind="stable")[:candidates]]
+                picked.append(np.where(rows[own] > 0, rows[own] + offset, 0))
+                owner += [i] * len(own)
+            base.append(inputs[1:])
+            offset += len(inputs) - 1
     inputs, rows, owner = np.concatenate(base), np.concatenate(picked), np.array(owner)
     order = np.argsort(owner, kind="stable")
     rows, owner = rows[order], owner[order]
