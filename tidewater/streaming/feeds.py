@@ -44,10 +44,8 @@ def notifications(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def accumulated(rates: DataFrame, keep: str = "24 hours") -> DataFrame:
-    """series, ts, total: each series' rate (value a second) times the time it held, summed up. Rows of a series must
-    come in order of time from one batch to the next; a series that is silent for `keep` is forgotten."""
-    millis = int(pd.Timedelta(keep).total_seconds() * 1000)
+def accumulate_step(millis: int):
+    """The state of a series is (time, rate, total); each row adds rate times the time it held."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -63,11 +61,18 @@ def accumulated(rates: DataFrame, keep: str = "24 hours") -> DataFrame:
         state.setTimeoutDuration(millis)
         yield pd.DataFrame({"series": [key[0]], "ts": [rows["ts"].iloc[-1]], "total": [total]})
 
+    return step
+
+
+def accumulated(rates: DataFrame, keep: str = "24 hours") -> DataFrame:
+    """series, ts, total: each series' rate (value a second) times the time it held, summed up. Rows of a series must
+    come in order of time from one batch to the next; a series that is silent for `keep` is forgotten."""
+    step = accumulate_step(int(pd.Timedelta(keep).total_seconds() * 1000))
     return rates.groupBy("series").applyInPandasWithState(step, "series long, ts timestamp, total double", "at double, rate double, total double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def cooled(messages: DataFrame, seconds: float = 300.0) -> DataFrame:
-    """series, kind, ts of messages that aren't repeated: of each series and kind, one per `seconds` of event time."""
+def cooldown_step(seconds: float):
+    """The state of a series and kind is the time of the last message shown."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else float("-inf")
@@ -79,4 +84,9 @@ def cooled(messages: DataFrame, seconds: float = 300.0) -> DataFrame:
         state.update((last,))
         yield pd.DataFrame({"series": [key[0]] * len(shown), "kind": [key[1]] * len(shown), "ts": shown})
 
-    return messages.groupBy("series", "kind").applyInPandasWithState(step, "series long, kind string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return step
+
+
+def cooled(messages: DataFrame, seconds: float = 300.0) -> DataFrame:
+    """series, kind, ts of messages that aren't repeated: of each series and kind, one per `seconds` of event time."""
+    return messages.groupBy("series", "kind").applyInPandasWithState(cooldown_step(seconds), "series long, kind string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
