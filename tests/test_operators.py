@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import bits, formats, lending, numeric
@@ -11,6 +12,10 @@ from tidewater.operators.grid import cells, neighbours, regions, turned
 from tidewater.operators.rules import Rule, best_for_page, evaluate
 from tidewater.operators.series import buckets_zero_fill, parallel_arrays
 from tidewater.operators.simulation import Window, simulate
+from tidewater.operators.windows import numbered
+from tidewater.plans.catalogue import QUERIES
+from tidewater.plans.series import paired_series
+from tidewater.sources.views import events
 
 
 def one(spark, *columns):
@@ -125,3 +130,24 @@ def test_simulation_accrues_up_to_the_cap():
     out = simulate("s", flows, curve, Window(max_emission=1e7))
     assert out["accrued"].max() == 1e7 and out["maxed"].iloc[-1] and out["net"].iloc[-1] == 0.0 and out["gross"].iloc[-1] == 100.0
     assert out["phase"].drop_duplicates().tolist() == ["deposit", "withdrawal", "cliff"] and out["bump"].iloc[-1] > 0
+
+
+def test_paired_series_number_every_event_without_arrays(spark):
+    rows = [(i, i % 2, ("view", "click", "error")[i // 2 % 3], float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, market int, kind string, value double").repartition(5)
+    want = {}
+    for k, kind in enumerate(("view", "click")):
+        for m in (0, 1):
+            for i, v in enumerate(v for _, mm, kk, v in rows if (mm, kk) == (m, kind)):
+                want.setdefault((m, i), [0.0, 0.0])[k] = v
+    assert {(r.market, r.i): [r.views, r.clicks] for r in paired_series(df).collect()} == want
+    assert numbered(df.limit(0), ["market"], "event_id").count() == 0
+
+
+def test_whole_reports_read_every_row(spark):
+    sf = "/root/testdata/sf0.001"
+    kinds = {r["kind"]: r["total"] for r in events(spark, sf).groupBy("kind").agg(F.sum("value").cast("double").alias("total")).collect()}
+    seen = QUERIES["timeline_whole"](spark, sf).agg(F.sum("views"), F.sum("clicks")).first()
+    assert seen[:] == pytest.approx((kinds["view"], kinds["click"]))
+    total = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
+    assert QUERIES["outer_merge_whole"](spark, sf).agg(F.sum("amount")).first()[0] == pytest.approx(float(total))

@@ -27,6 +27,21 @@ def ranked(df: DataFrame, score: str, tie: str, shares: int = SHARES) -> DataFra
     return dealt.withColumn("_within", within).join(F.broadcast(above), "_share").withColumn("rank", F.col("_within") + F.col("_above")).drop("_share", "_within", "_above")
 
 
+def numbered(df: DataFrame, by: list[str], order: str, shares: int = SHARES) -> DataFrame:
+    """i: the row's number within its group, from 0, in ascending `order`; no group has to fit in a task.
+
+    As in `ranked`: rows are dealt by where `order` falls among approximate quantiles of all rows, numbered within group
+    and share, and moved on by the size of the group's shares before: at most `shares` rows per group.
+    """
+    steps = [i / shares for i in range(1, shares)]
+    bounds = df.agg(F.percentile_approx(order, steps, 10_000).alias("_bounds"))
+    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("_share", F.size(F.filter(F.coalesce(F.array_distinct("_bounds"), F.array()), lambda b: b < F.col(order)))).drop("_bounds")
+    sizes = dealt.groupBy(*by, "_share").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", ahead_sum(by, [F.col("_share")], "_n")).drop("_n")
+    within = F.row_number().over(W.partitionBy(*by, "_share").orderBy(order))
+    return dealt.withColumn("_within", within).join(before, [*by, "_share"]).withColumn("i", (F.col("_within") - 1 + F.col("_before")).cast("int")).drop("_share", "_within", "_before")
+
+
 def ahead_sum(by: list[str], order: list[Column], value: str) -> Column:
     """Of each row, the sum of the rows before it."""
     return F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -11,7 +11,7 @@ from tidewater.functions.numeric import clamp, half_up
 from tidewater.operators import windows as X
 from tidewater.operators.joins import asof_join, interpolating_join
 from tidewater.operators.rules import Rule, best_for_page, evaluate
-from tidewater.operators.series import buckets_zero_fill, dense_ticks, parallel_arrays
+from tidewater.operators.series import buckets_zero_fill, dense_ticks
 from tidewater.sources import views as V
 from tidewater.sources.views import sql_with
 
@@ -85,11 +85,21 @@ def event_buckets(spark, sf_dir):
     return buckets_zero_fill(e, F.col("ts"), START, END, 30, {"n": F.count(F.lit(1)), "total": F.sum("value").cast("double")})
 
 
+def paired_series(events):
+    """Views and clicks of each market side by side by their number in the series, the shorter one filled with 0."""
+    one = X.numbered(events.filter("kind in ('view', 'click')").select("market", "kind", "event_id", _dbl("value").alias("value")), ["market", "kind"], "event_id")
+    of = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0))
+    return one.groupBy("market", "i").agg(of("view").alias("views"), of("click").alias("clicks"))
+
+
 def timeline(spark, sf_dir):
-    """Columnar series (arrays by kind) back as rows, the shorter array filled with 0."""
-    e = V.events(spark, sf_dir).filter("event_id < 200 or event_id % 50 = 0")
-    arrays = e.groupBy("market").agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("event_id", _dbl("value").alias("value"))))), lambda x: x["value"]).alias(f"{k}s") for k in ("view", "click")))
-    return parallel_arrays(arrays, ["views", "clicks"])
+    """Paired series of the part of the events that this report's SQL names (event_id < 200, and every 50th)."""
+    return paired_series(V.events(spark, sf_dir).filter("event_id < 200 or event_id % 50 = 0"))
+
+
+def timeline_whole(spark, sf_dir):
+    """Paired series of all events."""
+    return paired_series(V.events(spark, sf_dir))
 
 
 def flow_edges(spark, sf_dir):
@@ -188,7 +198,7 @@ def json_props(spark, sf_dir):
     return e.select("event_id", k.alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("valid"), F.to_json(F.struct(F.col("event_id").alias("id"), k.alias("k"))).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (rate_history_apr, profit_chart_asof, interp_performance, hypothetical_performance, pair_apr, event_distribution, event_buckets, timeline, flow_edges, running_winrate, running_max, ffill, revenue_rate, recent_history, snapshot_changes, session_gains, checkpoint_yield, rules_eval, json_props)}
+QUERIES = {f.__name__: f for f in (rate_history_apr, profit_chart_asof, interp_performance, hypothetical_performance, pair_apr, event_distribution, event_buckets, timeline, timeline_whole, flow_edges, running_winrate, running_max, ffill, revenue_rate, recent_history, snapshot_changes, session_gains, checkpoint_yield, rules_eval, json_props)}
 
 _AGE = f"(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000"
 _R = lambda x, n: f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
@@ -218,6 +228,8 @@ SELECT b::INT AS bucket, coalesce(n, 0) AS n, coalesce(total, 0.0) AS total FROM
     "timeline": sql_with("ev", """WITH e AS (SELECT * FROM ev WHERE event_id < 200 OR event_id % 50 = 0), a AS (SELECT market, coalesce(list(value::DOUBLE ORDER BY event_id) FILTER (kind = 'view'), []) AS v, coalesce(list(value::DOUBLE ORDER BY event_id) FILTER (kind = 'click'), []) AS c FROM e GROUP BY 1),
 i AS (SELECT *, unnest(range(greatest(len(v), len(c)))) AS i FROM a)
 SELECT market, i::INT AS i, coalesce(v[i + 1], 0.0) AS views, coalesce(c[i + 1], 0.0) AS clicks FROM i"""),
+    "timeline_whole": sql_with("ev", """WITH n AS (SELECT market, kind, value::DOUBLE AS value, (row_number() OVER (PARTITION BY market, kind ORDER BY event_id) - 1)::INT AS i FROM ev WHERE kind IN ('view', 'click'))
+SELECT market, i, coalesce(v.value, 0.0) AS views, coalesce(c.value, 0.0) AS clicks FROM (SELECT * FROM n WHERE kind = 'view') v FULL JOIN (SELECT * FROM n WHERE kind = 'click') c USING (market, i)"""),
     "flow_edges": sql_with("ev", f"""WITH h AS (SELECT kind, lead(kind) OVER w AS next, lead(value) OVER w AS nv FROM ev WINDOW w AS (PARTITION BY series ORDER BY ts, event_id)),
 g AS (SELECT least(kind, next) AS source, greatest(kind, next) AS target, count(*) AS n, sum(nv)::DOUBLE AS flow FROM h WHERE next IS NOT NULL AND next <> kind GROUP BY 1, 2), n AS (SELECT kind, sum(value)::DOUBLE AS size FROM ev GROUP BY 1)
 SELECT source, target, n, flow, {_R("least(greatest(flow / (a.size + b.size), 0.1), 1.0)", 6)} AS intensity FROM g JOIN n a ON a.kind = source JOIN n b ON b.kind = target"""),
