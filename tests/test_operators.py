@@ -11,7 +11,7 @@ from tidewater.operators import joins, paging, windows
 from tidewater.operators.grid import cells, neighbours, regions, turned
 from tidewater.operators.rules import Rule, best_for_page, evaluate
 from tidewater.operators.series import buckets_zero_fill, parallel_arrays
-from tidewater.operators.simulation import Window, simulate
+from tidewater.operators.simulation import Window, simulate, simulate_scenarios
 from tidewater.operators.windows import numbered
 from tidewater.plans.catalogue import QUERIES
 from tidewater.plans.series import paired_series
@@ -151,3 +151,23 @@ def test_whole_reports_read_every_row(spark):
     assert seen[:] == pytest.approx((kinds["view"], kinds["click"]))
     total = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
     assert QUERIES["outer_merge_whole"](spark, sf).agg(F.sum("amount")).first()[0] == pytest.approx(float(total))
+
+
+def test_flows_of_one_time_have_no_order(spark):
+    rows = [("a", 1.0, "withdrawal", 50.0), ("a", 1.0, "deposit", 30.0), ("a", 1.0, "deposit", 40.0), ("a", 1.0, "withdrawal", 5.0), ("b", 0.0, "deposit", 7.0)]
+    curves = spark.createDataFrame([("a", 0.0, 0.9)], "scenario string, day double, utilisation double")
+    for given in (rows, rows[::-1]):
+        out = simulate_scenarios(spark.createDataFrame(given, "scenario string, day double, kind string, amount double"), curves)
+        assert {r.scenario: (r.gross, r.net) for r in out.groupBy("scenario").agg(F.max("gross").alias("gross"), F.max_by("net", "tick").alias("net")).collect()} == {"a": (70.0, 15.0), "b": (7.0, 7.0)}
+
+
+def test_simulation_takes_the_orders_of_every_user(spark):
+    sf = "/root/testdata/sf0.001"
+    last = QUERIES["simulation"](spark, sf).groupBy("scenario").agg(F.max("gross").alias("gross"))
+    got = {int(r.scenario): r.gross for r in last.collect()}
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderstatus", "o_totalprice", (F.col("o_orderkey") % 25).alias("day")).collect()
+    assert set(got) == {r.o_custkey for r in orders}
+    for user in got:
+        paid = [r for r in orders if r.o_custkey == user and r.o_orderstatus != "F"]
+        first = min((r.day for r in paid), default=0)
+        assert got[user] == pytest.approx(sum(r.o_totalprice for r in paid if r.day < first + 14))

@@ -73,10 +73,11 @@ def route_walk(spark, sf_dir, most: int = 12):
 
 
 def simulation(spark, sf_dir):
-    """Windows simulated for ten scenarios whose deposits and withdrawals come from a segment of users."""
-    o = V.table(spark, sf_dir, "orders").filter("o_orderkey < 400").withColumn("scenario", (F.col("o_custkey") % 10).cast("string"))
-    flows = o.select("scenario", (F.col("o_orderkey") % 25).cast("double").alias("day"), F.when(F.col("o_orderstatus") == "F", "withdrawal").otherwise("deposit").alias("kind"), F.col("o_totalprice").alias("amount"))
-    curves = spark.range(100).select((F.col("id") % 10).cast("string").alias("scenario"), (F.floor(F.col("id") / 10) * 10).cast("double").alias("day"), ((F.col("id") * 7 % 10) / 10).alias("utilisation"))
+    """A window simulated for each user with orders, whose deposits and withdrawals they are; ten utilisation curves."""
+    o = V.table(spark, sf_dir, "orders").withColumn("scenario", F.col("o_custkey").cast("string"))
+    flows = o.select("scenario", (F.col("o_orderkey") % 25).cast("double").alias("day"), F.when(F.col("o_orderstatus") == "F", "withdrawal").otherwise("deposit").alias("kind"), V.exact(F.col("o_totalprice"), 2).alias("amount"))
+    points = F.explode(F.array(*(F.lit(float(d)) for d in range(0, 100, 10)))).alias("day")
+    curves = o.groupBy("scenario").agg(F.first("o_custkey").alias("user")).select("scenario", points, (F.col("user") % 10 * 7 % 10 / 10).alias("utilisation"))
     return simulate_scenarios(flows, curves)
 
 
