@@ -109,6 +109,15 @@ def test_later_line_runs_go(spark):
     assert 4 not in kept and kept[2] == ("x\ny", 3) and kept[3] == ("a\nq", 3)
 
 
+def test_later_long_single_lines_go(spark):
+    long, short = (" ".join(f"w{i}" for i in range(n)) for n in (35, 34))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n {long}\nd\n{short}\ne"), (3, long), (4, f"{long}\n{long}")]
+    kept = {r.doc_id: (r.text, r.n_chars) for r in without_later_copies(docs(spark, rows)).collect()}
+    assert kept == {1: (rows[0][1], len(rows[0][1])), 2: (f"c\nd\n{short}\ne", 6 + len(short))}
+    got = {r.doc_id: (r.n_removed, r.n_runs) for r in dedup_lines(docs(spark, rows), long_line=35).collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (1, 1), 4: (2, 1)}
+
+
 def test_masks_miss_no_window_with_three_substitutions():
     from itertools import combinations
 

@@ -12,6 +12,8 @@ from tidewater.llm.common import checked, documents_of, mix, raw, row_key, slice
 
 #: The shortest run, in lines, whose later copies go. A power of two, so that it is one level of the doubling.
 MIN_LINES = 2
+#: The least number of words of a line whose later copies go on their own, where that is asked for.
+LONG_LINE = 35
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -45,19 +47,35 @@ def line_ids(text: bytes | None) -> np.ndarray:
     return mix(ids)
 
 
-def _lines(batches):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
-    for batch in slices(batches):
-        ids = [line_ids(t) for t in raw(batch.column(2))]
-        n = np.array([len(x) for x in ids], np.int64)
-        keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
-        docs = batch.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))
-        pos = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
-        h = np.concatenate([np.empty(0, _U), *ids]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), docs, pa.array(pos, pa.int32()), pa.array(h, pa.int64())], schema=schema)
+def long_lines(text: bytes | None, least: int) -> np.ndarray:
+    """Whether each line of a text has at least so many words."""
+    bounds = line_bounds(text or b"")
+    if not bounds:
+        return np.empty(0, bool)
+    words = word_bounds(np.frombuffer(text, np.uint8))[0]
+    starts, ends = np.array(bounds, np.int64).T
+    return np.searchsorted(words, ends) - np.searchsorted(words, starts) >= least
+
+
+def _lines(long_line: int | None):
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("long", pa.bool_())])
+
+    def run(batches):
+        for batch in slices(batches):
+            texts = raw(batch.column(2))
+            ids = [line_ids(t) for t in texts]
+            n = np.array([len(x) for x in ids], np.int64)
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
+            docs = batch.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            pos = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
+            h = np.concatenate([np.empty(0, _U), *ids]).view(np.int64)
+            long = np.zeros(len(h), bool) if long_line is None else np.concatenate([np.empty(0, bool), *(long_lines(t, long_line) for t in texts)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), docs, pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(long)], schema=schema)
+
+    return run
 
 
-def _named(rows: DataFrame, by: list[str], level: int) -> tuple[DataFrame, DataFrame]:
+def _named(rows: DataFrame, by: list[str], level: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The suffixes whose prefix of 2**level lines occurs more than once, with its rank, and the intervals themselves.
 
     A rank is the place of the prefix among all repeated ones in sorted order (ids rise along a range-sorted table),
@@ -67,20 +85,20 @@ def _named(rows: DataFrame, by: list[str], level: int) -> tuple[DataFrame, DataF
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     intervals = stash(groups.orderBy(*by).select(*by, F.monotonically_increasing_id().alias("rank"), "copies", "first.*"), f"line-intervals-{level}")
     ranked = rows.join(checked(intervals.select(*by, "rank", "first_key", "first_pos")), by)
-    return stash(ranked.select("key", "doc_id", "pos", "rank", (~((F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos")))).alias("later")), f"line-suffixes-{level}"), intervals
+    return stash(ranked.select("key", "doc_id", "pos", "rank", *also, (~((F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos")))).alias("later")), f"line-suffixes-{level}"), intervals
 
 
-def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, DataFrame, DataFrame]]:
+def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int | None = None) -> list[tuple[int, DataFrame, DataFrame]]:
     """Levels of the suffix array: (lines, suffixes, intervals) for prefixes of 1, 2, 4, ... lines.
 
     suffixes: key, doc_id, pos, rank, later (whether an equal prefix starts at an earlier place, places being ordered
-    by doc_id, row and line). intervals: the longest-common-prefix intervals of at least that length, with rank,
+    by doc_id, row and line), and at the first level long (at least `long_line` words). intervals: the longest-common-prefix intervals of at least that length, with rank,
     copies and first place. A suffix that is unique, or ends with its document, goes no further; doubling stops when
     none is left. So the work follows what repeats, and the rounds the logarithm of the longest repeated run.
     """
     source = documents_of(docs, id_col, text_col).select(row_key().alias("key"), "doc_id", "text")
-    lines = source.mapInArrow(_lines, "key long, doc_id long, pos int, h long")
-    suffixes, intervals = _named(lines, ["h"], 0)
+    lines = source.mapInArrow(_lines(long_line), "key long, doc_id long, pos int, h long, long boolean")
+    suffixes, intervals = _named(lines, ["h"], 0, ("long",))
     levels = [(1, stash(suffixes.dropDuplicates(["key", "pos"]), "line-suffixes"), intervals)]
     while True:
         length, suffixes, _ = levels[-1]
@@ -100,12 +118,13 @@ def _rewrite(min_lines: int):
     def run(batches):
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
-            for text, starts, longest in zip(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, starts, longest, singles in zip(raw(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4))):
                 text = text or b""
                 bounds = line_bounds(text)
                 gone = np.zeros(len(bounds), bool)
                 for s in starts or []:
                     gone[s : s + min_lines] = True
+                gone[singles or []] = True
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = text
                 if runs:
@@ -117,25 +136,26 @@ def _rewrite(min_lines: int):
     return run
 
 
-def _rewritten(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
+def _rewritten(docs: DataFrame, id_col: str, text_col: str, min_lines: int, long_line: int | None) -> DataFrame:
     """rest (the row), and what line dedup makes of it."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     marks = None
-    for length, suffixes, _ in suffix_levels(docs, id_col, text_col):
-        one = suffixes.select("key", F.lit(length).cast("long").alias("length"), F.when(F.lit(length == min_lines) & F.col("later"), F.col("pos")).alias("pos"))
+    for length, suffixes, _ in suffix_levels(docs, id_col, text_col, long_line):
+        one = suffixes.select("key", F.lit(length).cast("long").alias("length"), F.when(F.lit(length == min_lines) & F.col("later"), F.col("pos")).alias("pos"), (F.when(F.col("later") & F.col("long"), F.col("pos")) if length == 1 else F.lit(None).cast("int")).alias("single"))
         marks = one if marks is None else marks.unionByName(one)
-    found = stash(marks.groupBy("key").agg(F.collect_set("pos").alias("starts"), F.max("length").alias("longest")), "line-marks")
-    rows = with_rest(docs, id_col, text_col).join(checked(found, "starts"), "key", "left").select("rest", "text", "starts", "longest")
+    found = stash(marks.groupBy("key").agg(F.collect_set("pos").alias("starts"), F.max("length").alias("longest"), F.collect_set("single").alias("singles")), "line-marks")
+    rows = with_rest(docs, id_col, text_col).join(checked(found, "starts"), "key", "left").select("rest", "text", "starts", "longest", "singles")
     return rows.mapInArrow(_rewrite(min_lines), T.StructType([T.StructField("rest", rows.schema["rest"].dataType), *(T.StructField(n, T.LongType() if t == "long" else T.StringType()) for n, t in _FACTS)]))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_line: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, longest_repeat and kept (the text that is left), for every input row.
 
     Lines are parted by \\n and compared without white space around them; blank lines are no lines. A line goes if it
     lies in a run of `min_lines` lines that also starts at an earlier place (smaller doc_id, then row, then line
-    number). Such runs cover just the later copies of all maximal repeated runs of at least that length. A text that
+    number). Such runs cover just the later copies of all maximal repeated runs of at least that length. With `long_line`, a
+    line of so many words also goes if it stands at an earlier place, whatever its neighbours are. A text that
     loses nothing stays byte for byte; one that loses lines has the others joined by \\n. longest_repeat: the largest
     of 1, 2, 4, ... for which so many consecutive lines of the document also stand elsewhere; 0 if no line does.
 
@@ -143,13 +163,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id and a text are one place: none is a copy of the other. An empty table gives an empty result. Hot lines and
     runs are counted with partial aggregation; joins on them have a small checked side or can be split.
     """
-    return _rewritten(docs, id_col, text_col, min_lines).select(F.col(f"rest.`{id_col}`").cast("long").alias("doc_id"), *(n for n, _ in _FACTS))
+    return _rewritten(docs, id_col, text_col, min_lines, long_line).select(F.col(f"rest.`{id_col}`").cast("long").alias("doc_id"), *(n for n, _ in _FACTS))
 
 
-def without_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_lines: int = MIN_LINES) -> DataFrame:
-    """The rows of docs with their own columns: the text is what dedup_lines keeps, chars_col (if there is one) its
+def without_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_lines: int = MIN_LINES, long_line: int | None = LONG_LINE) -> DataFrame:
+    """The rows of docs with their own columns: the text is what dedup_lines keeps (later copies of long
+    single lines go too), chars_col (if there is one) its
     length. A row that had lines and lost all of them goes; one that was empty before stays."""
-    rows = _rewritten(docs, id_col, text_col, min_lines).filter("n_removed < n_lines or n_lines = 0")
+    rows = _rewritten(docs, id_col, text_col, min_lines, long_line).filter("n_removed < n_lines or n_lines = 0")
     changed = {text_col: F.when(F.col("n_removed") > 0, F.col("kept").cast(docs.schema[text_col].dataType)).otherwise(F.col(f"rest.`{text_col}`"))}
     if chars_col in docs.columns:
         changed[chars_col] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"rest.`{chars_col}`"))

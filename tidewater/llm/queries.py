@@ -50,6 +50,13 @@ def op7_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_runs", "longest_repeat", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_line_dedup_whole(spark, sf_dir):
+    """Later copies of long single lines go as well, as in the pipeline."""
+    from tidewater.llm.line_dedup import LONG_LINE, dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), long_line=LONG_LINE).select("doc_id", "n_lines", "n_removed", "n_runs", "longest_repeat", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark, sf_dir):
     from tidewater.llm.url_filter import judge_urls
 
@@ -68,7 +75,7 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op8_url_filter, op9_media_clips, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op7_line_dedup_whole, op8_url_filter, op9_media_clips, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_near_dedup": """
@@ -157,3 +164,10 @@ ranked AS (
 SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE n = 1
 """,
 }
+
+#: The SQL of op7_line_dedup, with later copies of single lines of 35 words or more.
+ORACLE_SQL["op7_line_dedup_whole"] = ORACLE_SQL["op7_line_dedup"].replace(
+    "gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1)",
+    """gone AS (SELECT DISTINCT doc_id, p, true AS out FROM (SELECT doc_id, unnest([s, s + 1]) AS p FROM ranked WHERE n = 2 AND nth > 1 UNION ALL
+  SELECT doc_id, s FROM ranked JOIN w USING (doc_id) WHERE n = 1 AND nth > 1 AND len(regexp_extract_all(ls[s], '[^\\x20\\x09-\\x0D]+')) >= 35))""",
+)
