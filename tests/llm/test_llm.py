@@ -161,6 +161,16 @@ def test_packing_holds_every_id_once(spark):
     assert len(by) <= 1.02 * sum(p.length for p in pieces) / 2048 + 1
 
 
+def test_ids_are_those_of_the_json_vocabulary():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    contract = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder()("a<|endoftext|>b") == [64, 50256, 65]
+    for text in ("a<|endoftext|>b", " <|endoftext|> \n<|endoftext|><|endoftext|>", "<|endoftext|", "x <|ENDOFTEXT|> it's  12 \u00e9 \u6f22", "", LONG):
+        assert encoder()(text) == contract.encode(text, add_special_tokens=False).ids
+
+
 def test_html_of_a_page():
     page = '<html><head><title>T</title><script>var a="</p>"</script></head><body><header>H</header><nav>N</nav><article><h1>A &amp; B</h1><p>one<br>two  <b>th</b>ree<p>four<div class="comments"><p>no</p></div><form>f</form></article><aside>s</aside><footer>F</footer>'
     assert main_text(parse(page), frozenset()) == "A & B\n\none two three\n\nfour"

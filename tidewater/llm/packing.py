@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 
@@ -25,14 +26,18 @@ _encoders: dict = {}
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """text -> ids. The ranks in the .tiktoken file are the vocabulary of byte_bpe_50k.json, and give its ids."""
+    """text -> ids, those of tokenizers on byte_bpe_50k.json: the ranks in the .tiktoken file are its vocabulary, and its
+    added tokens (<|endoftext|>) are matched in the text before anything else."""
     if vocabulary not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json")), encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        coder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        _encoders[vocabulary] = lambda text: coder.encode(text, allowed_special="all")
     return _encoders[vocabulary]
 
 
