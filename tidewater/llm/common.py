@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.scratch import shared_dir, stash  # noqa: F401  (for the operators)
+
 #: Upper-case ASCII to lower case, byte by byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -18,25 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests, notebooks) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A side of a join with more rows (or more array elements in them) than this isn't broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -48,6 +28,44 @@ def checked(side: DataFrame, elements: str | None = None, rows: int = BROADCAST_
     return F.broadcast(side) if n <= rows else side
 
 
+#: Hash slots of a membership map, as a power of two: 16 MB of bits at most, whatever the number of keys.
+MAP_BITS = 27
+#: Tasks that make a membership map; each row of it has 32,768 slots.
+MAP_TASKS, MAP_ROW = 8, 15
+
+
+def membership(keys: DataFrame, column: str, bits: int = MAP_BITS) -> DataFrame:
+    """bucket, bitmap: the hash slots that the values of a column take, 2 ** bits of them at most."""
+    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    placed = keys.select(F.shiftright(slot, MAP_ROW).alias("bucket"), slot.bitwiseAND((1 << MAP_ROW) - 1).alias("place"))
+    return placed.repartition(MAP_TASKS, "bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+
+
+def _perhaps(rows: DataFrame, column: str, keys: DataFrame, bits: int) -> DataFrame:
+    """rows with perhaps_: false only if a row's value is surely not among the keys. The map has a fixed greatest
+    size, so it is broadcast; where it fills up, more rows count as perhaps, and nothing else changes."""
+    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+    keyed = rows.withColumns({"bucket_": F.shiftright(slot, MAP_ROW), "place_": slot.bitwiseAND((1 << MAP_ROW) - 1)})
+    maps = membership(keys, column, bits).withColumnRenamed("bucket", "bucket_")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(place_ div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col("place_") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return keyed.join(F.broadcast(maps), "bucket_", "left").select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("perhaps_"))
+
+
+def routed(rows: DataFrame, marks: DataFrame, column: str, how: str = "left", bits: int = MAP_BITS) -> DataFrame:
+    """rows joined on a column with a written table of marks, which only part of the rows have.
+
+    Rows that a bounded map of the marked values rules out don't enter the shuffle of the join: wide rows without a
+    mark stay where they are. how: left (those rows have nulls), left_semi or inner (they go), left_anti.
+    """
+    flagged = _perhaps(rows, column, marks.select(column), bits)
+    joined = flagged.filter("perhaps_").drop("perhaps_").join(marks, column, how)
+    if how in ("inner", "left_semi"):
+        return joined
+    rest = flagged.filter("not perhaps_").drop("perhaps_")
+    return joined.unionByName(rest, allowMissingColumns=True)
+
+
 def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names; any other column stays out of its way."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import checked, documents_of, hashed_words, mix, raw, run_hashes, slices, stash
+from tidewater.llm.common import documents_of, hashed_words, mix, raw, routed, row_key, run_hashes, slices, stash
 from tidewater.llm.components import connected_components
 
 SHINGLE = 5
@@ -57,113 +57,212 @@ def band_keys(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _describe(bands: int, rows: int, shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in slices(batches):
             n, f1, f2, keys = [], [], [], []
-            for text in raw(batch.column(1)):
+            for text in raw(batch.column(2)):
                 items = shingle_set(text, shingle)
                 n.append(len(items))
                 f1.append(int(mix(items).sum(dtype=_U).astype(np.int64)) if len(items) else None)
                 f2.append(int(np.bitwise_xor.reduce(mix(items ^ _ROUND)).astype(np.int64)) if len(items) else None)
                 keys.append(band_keys(items, bands, rows).view(np.int64) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def _similar(threshold: tuple[int, int], shingle: int):
+    """Of pairs with both texts: the ids and components of those that are similar, judged on the full sets."""
     up, down = threshold
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         last, last_set = None, None
         for batch in slices(batches):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             linked = []
-            for left, right in zip(raw(batch.column(2)), raw(batch.column(3))):
+            for left, right in zip(raw(batch.column(4)), raw(batch.column(5))):
                 if right != last:
                     last, last_set = right, shingle_set(right, shingle)
                 mine = shingle_set(left, shingle)
                 shared = len(np.intersect1d(mine, last_set, assume_unique=True))
                 linked.append(down * shared >= up * (len(mine) + len(last_set) - shared) and shared > 0)
-            keep = np.flatnonzero(linked)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], schema=schema)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
+def _shingles(shingle: int):
+    """(row, text) -> a row for each shingle of the text."""
+    schema = pa.schema([("row", pa.int64()), ("item", pa.int64())])
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingle_set(t, shingle) for t in raw(batch.column(1))]
+            rows = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate([np.empty(0, _U), *sets]).view(np.int64))], schema=schema)
+
+    return run
+
+
+class _Search:
+    """Links between the documents of a table of texts (row, text), found among candidate pairs.
+
+    A document is named by row (a hash of its id and text), so that rows that share an id keep texts of their own; its
+    id is `rep`. Pairs are (a, b, comp_a, comp_b, row_a, row_b).
+    """
+
+    def __init__(self, texts: DataFrame, threshold: tuple[int, int], shingle: int):
+        self.texts, self.threshold, self.shingle = texts, threshold, shingle
+        self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def sizes_fit(self, n: str, m: str):
+        up, down = self.threshold
+        return (F.col(n) * down >= F.col(m) * up) & (F.col(m) * down >= F.col(n) * up)
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Compare the pairs that weren't yet; the new links, as (a, b, comp_a, comp_b)."""
+        swap = F.col("row_a") < F.col("row_b")
+        pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+        pairs = pairs.select(*(pick(f"{c}_{s}", f"{c}_{o}").alias(f"{c}_{s}") for c in ("id", "comp", "row") for s, o in ("ab", "ba"))).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["row_a", "row_b"], "left_anti")
+        pairs = stash(pairs, "near-pairs")
+        text = lambda side: self.texts.select(F.col("row").alias(f"row_{side}"), F.col("text").alias(f"text_{side}"))
+        both = pairs.join(text("a"), "row_a").join(text("b"), "row_b").select("id_a", "id_b", "comp_a", "comp_b", "text_a", "text_b")
+        found = stash(both.mapInArrow(_similar(self.threshold, self.shingle), "id_a long, id_b long, comp_a long, comp_b long"), "near-links").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "comp_a", "comp_b")
+        seen = pairs.select("row_a", "row_b")
+        self.tested = seen if self.tested is None else self.tested.unionByName(seen)
+        self.links = found if self.links is None else self.links.unionByName(found)
+        return found
+
+    def relabelled(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """rows with comp after new links between components."""
+        if not found.limit(1).count():
+            return rows
+        comp = connected_components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+        return rows.join(comp.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+
+    def by_first_hubs(self, buckets: DataFrame) -> DataFrame:
+        """Compare the rows of each bucket with its first document, then those apart from another one with that.
+        Returns the rows of buckets that still have several components."""
+        pair = lambda b: [F.col("rep").alias("id_a"), F.col("comp").alias("comp_a"), F.col("row").alias("row_a"), F.col(f"{b}.rep").alias("id_b"), F.col(f"{b}.comp").alias("comp_b"), F.col(f"{b}.row").alias("row_b")]
+        first = buckets.withColumn("comp", F.col("rep")).filter(F.col("row") != F.col("hub.row")).filter(self.sizes_fit("n", "hub.n"))
+        found = self.confirm(first.withColumn("hub", F.struct("hub.rep", F.col("hub.rep").alias("comp"), "hub.row")).select(*pair("hub")))
+        left = self.apart(self.relabelled(buckets.select("key", "row", "rep", "n", F.col("rep").alias("comp")), found))
+        found = self.confirm(left.filter(F.col("comp") != F.col("hub.comp")).filter(self.sizes_fit("n", "hub.n")).select(*pair("hub")))
+        return self.apart(self.relabelled(left.drop("hub"), found))
+
+    def apart(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key has several components, each with a hub of its key chosen by hash."""
+        rows = stash(rows, "near-comp")
+        hub = F.min_by(F.struct("row", "rep", "n", "comp"), F.xxhash64("row", "key")).alias("hub")
+        mixed = stash(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub).filter("low < high").select("key", "hub"), "near-mixed")
+        return rows.join(mixed, "key")
+
+    def by_shared_items(self, docs: DataFrame) -> None:
+        """Link docs (row, rep, n, comp) across components, exactly: no pair that is similar is left out.
+
+        Only shingles that occur in several components can be shared across them. A document with m of them, of n in
+        all, is out if m < n * threshold. What is left shares one of its rarest shingles with each similar document
+        (prefix filter), and meets only documents of sizes that n and m allow.
+        """
+        up, down = self.threshold
+        items = stash(docs.join(self.texts, "row").select("row", "text").mapInArrow(_shingles(self.shingle), "row long, item long"), "near-items")
+        while True:
+            docs = stash(docs, "near-rest")
+            named = items.join(docs.select("row", "comp"), "row")
+            live = stash(named.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("item", "df"), "near-live")
+            held = items.join(docs.select("row"), "row", "left_semi").join(live, "item").groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.collect_list(F.struct("df", "item")).alias("items"))
+            held = stash(docs.join(held, "row").filter(F.col("m") * down >= F.col("n") * up), "near-held")
+            before, after = docs.count(), held.count()
+            docs = held.drop("m", "items")
+            if after == 0:
+                return
+            if after > 0.9 * before:
+                break
+        need = F.ceil(F.col("n") * up / down).cast("int")
+        # The first shingle that two documents share, in the order of rarity, is followed by all others that they share:
+        # so m counts from each shingle onwards.
+        ordered = F.slice(F.array_sort("items"), 1, (F.col("m") - need + 1).cast("int"))
+        prefix = held.select("row", "rep", "n", "comp", F.col("m").alias("of"), F.posexplode(ordered).alias("at", "item")).select("row", "rep", "n", "comp", (F.col("of") - F.col("at")).alias("m"), F.col("item.item").alias("item"))
+        # Sizes are dealt into bins of a tenth; a row meets the bins of all sizes that a similar document can have.
+        bin_of = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.1)))
+        n, m = F.col("n"), F.col("m")
+        most = F.least(n * down / up, (m * (up + down) - n * up) / up)
+        wide = prefix.withColumn("own", bin_of(n)).withColumn("low", bin_of(F.ceil(n * up / down))).withColumn("high", bin_of(F.greatest(most, F.lit(1))))
+        wide = wide.filter("low <= high").withColumn("other", F.explode(F.sequence("low", "high")))
+        blocks = wide.select(F.xxhash64("item", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "row", "rep", "n", "comp", "m").distinct()
+        hubs = 8
+        while True:
+            blocks = stash(blocks, "near-blocks")
+            main = F.min_by("comp", F.xxhash64("row", "key")).alias("main")
+            mixed = stash(blocks.groupBy("key").agg(main, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "main"), "near-mixed")
+            if not mixed.limit(1).count():
+                return
+            # Of the d rows outside a block's main component, each is a hub with probability hubs / d; every row of
+            # another component is compared with it. When all of them have been hubs, the block is done.
+            rows = stash(blocks.join(mixed, "key"), "near-blocks")
+            outside = stash(rows.filter("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("d")), "near-outside")
+            share = F.shiftrightunsigned(F.xxhash64("row", "key"), 11) / F.lit(float(1 << 53))
+            rows = rows.join(outside, "key").withColumn("is_hub", (F.col("comp") != F.col("main")) & (share * F.col("d") < hubs))
+            hub = rows.filter("is_hub").select("key", F.struct("row", "rep", "n", "comp", "m").alias("hub"))
+            both = rows.join(hub, "key").filter(F.col("comp") != F.col("hub.comp")).filter(self.sizes_fit("n", "hub.n")).filter(F.least("m", "hub.m") * (up + down) >= (F.col("n") + F.col("hub.n")) * up)
+            found = self.confirm(both.select(F.col("rep").alias("id_a"), F.col("comp").alias("comp_a"), F.col("row").alias("row_a"), F.col("hub.rep").alias("id_b"), F.col("hub.comp").alias("comp_b"), F.col("hub.row").alias("row_b")))
+            blocks = self.relabelled(rows.filter("not is_hub").drop("is_hub", "d", "main"), found)
+            hubs *= 8
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, for every input row.
 
-    1. Documents with one shingle set collapse to their smallest id (a grouping by 128 bits of the set).
-    2. Each band's documents are linked to one of them, the hub, after exact comparison of the full sets.
-    3. Where a band's documents aren't in one component yet, they are compared with another hub, and what is then
-       still apart is compared across components. So a group of n copies costs n comparisons in each step, and no
-       pair of different components that shares a band goes unseen.
+    1. Documents with one shingle set collapse to one row (a grouping by 128 bits of the set).
+    2. Each band's documents are compared with one of them, the hub; those apart from a second hub, with that one.
+    3. The documents of bands that still have several components are compared across these if they share a rare
+       shingle and their sizes allow it (a prefix filter, exact). Hubs are drawn in each such block, eight at first and
+       eight times as many in each round, until no block has several components.
+
+    So n copies cost n comparisons in each step, documents that share a template but are no near copies cost none
+    in the third, and no similar pair of different components that shares a band goes unseen. Links are confirmed on full sets.
 
     Null or empty texts, and texts without words, have no shingles and are linked with nothing. Rows without an id
-    are linked with nothing, and have no component_id and kept null. Rows that share an id count as linked. Ties
-    need no rule: the result depends on links alone. An empty table gives an empty result.
+    are linked with nothing, and have no component_id and kept null. Rows that share an id count as linked, each with
+    the links of its own text. Ties need no rule: the result depends on links alone. Very long texts are sets like
+    others, whole. An empty table gives an empty result.
     """
-    docs = documents_of(docs, id_col, text_col)
-    base = stash(docs.mapInArrow(_describe(bands, rows, shingle), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "near-base")
+    named_docs = documents_of(docs, id_col, text_col).select(row_key().alias("row"), "doc_id", "text")
+    base = stash(named_docs.mapInArrow(_describe(bands, rows, shingle), "row long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "near-base")
     named = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = stash(named.join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "f1", "rep", F.expr("CASE WHEN doc_id = rep THEN bands END").alias("bands")), "near-members")
-
-    banded = members.filter("bands is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").select("key", "hub")
-    bucketed = stash(banded.join(hubs, "key").select("key", "rep", "n", "hub"), "near-buckets")
-    wanted = bucketed.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stash(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "near-texts")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return stash(both.mapInArrow(_similar(threshold, shingle), "a long, b long"), "near-links")
-
-    def apart(links: DataFrame) -> DataFrame:
-        """The bucketed rows whose bucket has several components, with their component."""
-        comp = connected_components(links)
-        rows_ = bucketed.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        mixed = rows_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.expr("min_by(rep, xxhash64(rep, key))").alias("hub2"), F.expr("min_by(comp, xxhash64(rep, key))").alias("hub_comp")).filter("low < high").drop("low", "high")
-        return stash(rows_.join(mixed, "key"), "near-mixed")
-
-    tested = bucketed.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = confirm(tested)
-    split = apart(links)
-    ordered = [F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")]
-    second = split.filter("comp <> hub_comp").select(F.col("rep").alias("x"), F.col("hub2").alias("y")).select(*ordered).distinct().join(tested, ["a", "b"], "left_anti")
-    second = stash(second, "near-pairs")
-    if second.limit(1).count():
-        links = links.unionByName(confirm(second))
-        split = apart(links)
-    up, down = threshold
-    l, r = split.alias("l"), split.alias("r")
-    across = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp")) & (F.col("l.n") * down >= F.col("r.n") * up) & (F.col("r.n") * down >= F.col("l.n") * up))
-    third = across.select(F.col("l.rep").alias("x"), F.col("r.rep").alias("y")).select(*ordered).distinct().join(tested, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    third = stash(third, "near-pairs")
-    if third.limit(1).count():
-        links = links.unionByName(confirm(third))
+    classes = stash(named.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("f1", "f2", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("first_row")), "near-classes")
+    members = stash(named.join(classes, ["f1", "f2"]).select("doc_id", F.col("n_shingles").alias("n"), "rep", F.col("first_row").alias("row"), F.expr("CASE WHEN row = first_row THEN bands END").alias("bands")), "near-members")
+
+    banded = members.filter("bands is not null").select("row", "rep", "n", F.explode("bands").alias("key"))
+    hubs = stash(banded.groupBy("key").agg(F.min(F.struct("row", "rep", "n")).alias("hub"), F.max("row").alias("most")).filter("hub.row < most").select("key", "hub"), "near-hubs")
+    buckets = stash(banded.join(hubs, "key").select("key", "row", "rep", "n", "hub"), "near-buckets")
+    wanted = stash(buckets.select("row").distinct(), "near-wanted")
+    texts = stash(routed(named_docs.select("row", "text"), wanted, "row", "left_semi").dropDuplicates(["row"]), "near-texts")
+
+    search = _Search(texts, threshold, shingle)
+    left = search.by_first_hubs(buckets).select("row", "rep", "n", "comp").distinct()
+    search.by_shared_items(left)
     shared_ids = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    comp = connected_components(stash(links.unionByName(shared_ids), "near-links"))
+    comp = connected_components(stash(search.links.select("a", "b").unionByName(shared_ids), "near-links"))
     final = comp.select(F.col("node").alias("doc_id"), "comp")
     return base.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), (F.coalesce("comp", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that near_duplicates keeps: one per group of linked documents. Rows
-    without an id all stay. Of rows that share a kept id, one stays (the one whose text has the least hash)."""
-    judged = stash(near_duplicates(docs, id_col, text_col).select("doc_id", "kept"), "near-judged")
-    gone = stash(judged.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
-    named = F.col(f"`{id_col}`").cast("long")
-    left = docs.join(checked(gone), named == F.col("gone_id"), "left_anti")
-    again = stash(judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")), "near-again")
-    if not again.count():
-        return left
-    again = checked(again)
-    first = left.join(again, named == F.col("again_id"), "left_semi").groupBy(named.alias("again_id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(F.col(f"`{text_col}`"))).alias("rest"))
-    return left.join(again, named == F.col("again_id"), "left_anti").unionByName(first.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns)))
+    without an id all stay. Of rows that share a kept id, one stays: that whose text has the least hash, then the one
+    whose columns come first as JSON."""
+    judged = near_duplicates(docs, id_col, text_col).filter("doc_id is not null")
+    marks = stash(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n_rows")).filter("not kept or n_rows > 1"), "near-marks")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), rest.alias("rest"))
+    left = routed(rows, marks, "doc_id").filter("kept is null or kept")
+    out = left.filter("n_rows is null").select("rest")
+    if marks.filter("kept and n_rows > 1").limit(1).count():
+        several = left.filter("n_rows > 1")
+        out = out.unionByName(several.groupBy("doc_id").agg(F.min_by("rest", F.struct(F.xxhash64(F.col(f"rest.`{text_col}`")), F.to_json("rest"))).alias("rest")).select("rest"))
+    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
