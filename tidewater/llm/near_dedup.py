@@ -19,6 +19,8 @@ SHINGLE = 5
 THRESHOLD = (3, 4)
 #: 40 bands of 5 coordinates: a pair with similarity 0.75 shares no band with a probability of 2e-5.
 BANDS, ROWS = 40, 5
+#: Hubs of a block of documents that share a rare shingle: in the first round, and times so many in each later one.
+FIRST_HUBS, MORE_HUBS = 64, 16
 
 _U = np.uint64
 _ROUND = _U(0x9E3779B97F4A7C15)
@@ -93,14 +95,14 @@ def _similar(threshold: tuple[int, int], shingle: int):
 
 
 def _shingles(shingle: int):
-    """(row, text) -> a row for each shingle of the text."""
-    schema = pa.schema([("row", pa.int64()), ("item", pa.int64())])
+    """(row, comp, text) -> a row for each shingle of the text."""
+    schema = pa.schema([("row", pa.int64()), ("comp", pa.int64()), ("item", pa.int64())])
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_set(t, shingle) for t in raw(batch.column(1))]
-            rows = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate([np.empty(0, _U), *sets]).view(np.int64))], schema=schema)
+            sets = [shingle_set(t, shingle) for t in raw(batch.column(2))]
+            rows, comps = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), [len(x) for x in sets]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(comps, pa.int64()), pa.array(np.concatenate([np.empty(0, _U), *sets]).view(np.int64))], schema=schema)
 
     return run
 
@@ -144,22 +146,14 @@ class _Search:
         comp = connected_components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
         return rows.join(comp.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
 
-    def by_first_hubs(self, buckets: DataFrame) -> DataFrame:
-        """Compare the rows of each bucket with its first document, then those apart from another one with that.
-        Returns the rows of buckets that still have several components."""
-        pair = lambda b: [F.col("rep").alias("id_a"), F.col("comp").alias("comp_a"), F.col("row").alias("row_a"), F.col(f"{b}.rep").alias("id_b"), F.col(f"{b}.comp").alias("comp_b"), F.col(f"{b}.row").alias("row_b")]
-        first = buckets.withColumn("comp", F.col("rep")).filter(F.col("row") != F.col("hub.row")).filter(self.sizes_fit("n", "hub.n"))
-        found = self.confirm(first.withColumn("hub", F.struct("hub.rep", F.col("hub.rep").alias("comp"), "hub.row")).select(*pair("hub")))
-        left = self.apart(self.relabelled(buckets.select("key", "row", "rep", "n", F.col("rep").alias("comp")), found))
-        found = self.confirm(left.filter(F.col("comp") != F.col("hub.comp")).filter(self.sizes_fit("n", "hub.n")).select(*pair("hub")))
-        return self.apart(self.relabelled(left.drop("hub"), found))
-
-    def apart(self, rows: DataFrame) -> DataFrame:
-        """The rows whose key has several components, each with a hub of its key chosen by hash."""
-        rows = stash(rows, "near-comp")
-        hub = F.min_by(F.struct("row", "rep", "n", "comp"), F.xxhash64("row", "key")).alias("hub")
-        mixed = stash(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub).filter("low < high").select("key", "hub"), "near-mixed")
-        return rows.join(mixed, "key")
+    def by_hubs(self, buckets: DataFrame) -> DataFrame:
+        """Compare the rows of each bucket with its hub. Returns the documents (row, rep, n, comp) of the buckets that still
+        have several components."""
+        ends = [F.col("rep").alias("id_a"), F.col("rep").alias("comp_a"), F.col("row").alias("row_a"), F.col("hub.rep").alias("id_b"), F.col("hub.rep").alias("comp_b"), F.col("hub.row").alias("row_b")]
+        found = self.confirm(buckets.filter(F.col("row") != F.col("hub.row")).filter(self.sizes_fit("n", "hub.n")).select(*ends))
+        rows = stash(self.relabelled(buckets.select("key", "row", "rep", "n", F.col("rep").alias("comp")), found), "near-comp")
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+        return rows.join(mixed, "key", "left_semi").select("row", "rep", "n", "comp").distinct()
 
     def by_shared_items(self, docs: DataFrame) -> None:
         """Link docs (row, rep, n, comp) across components, exactly: no pair that is similar is left out.
@@ -169,19 +163,11 @@ class _Search:
         (prefix filter), and meets only documents of sizes that n and m allow.
         """
         up, down = self.threshold
-        items = stash(docs.join(self.texts, "row").select("row", "text").mapInArrow(_shingles(self.shingle), "row long, item long"), "near-items")
-        while True:
-            docs = stash(docs, "near-rest")
-            named = items.join(docs.select("row", "comp"), "row")
-            live = stash(named.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("item", "df"), "near-live")
-            held = items.join(docs.select("row"), "row", "left_semi").join(live, "item").groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.collect_list(F.struct("df", "item")).alias("items"))
-            held = stash(docs.join(held, "row").filter(F.col("m") * down >= F.col("n") * up), "near-held")
-            before, after = docs.count(), held.count()
-            docs = held.drop("m", "items")
-            if after == 0:
-                return
-            if after > 0.9 * before:
-                break
+        docs = stash(docs, "near-rest")
+        items = stash(docs.select("row", "comp").join(self.texts, "row").select("row", "comp", "text").mapInArrow(_shingles(self.shingle), "row long, comp long, item long"), "near-items")
+        live = stash(items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("item", "df"), "near-live")
+        held = items.join(live, "item").groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.collect_list(F.struct("df", "item")).alias("items"))
+        held = docs.join(held, "row").filter(F.col("m") * down >= F.col("n") * up)
         need = F.ceil(F.col("n") * up / down).cast("int")
         # The first shingle that two documents share, in the order of rarity, is followed by all others that they share:
         # so m counts from each shingle onwards.
@@ -193,35 +179,34 @@ class _Search:
         most = F.least(n * down / up, (m * (up + down) - n * up) / up)
         wide = prefix.withColumn("own", bin_of(n)).withColumn("low", bin_of(F.ceil(n * up / down))).withColumn("high", bin_of(F.greatest(most, F.lit(1))))
         wide = wide.filter("low <= high").withColumn("other", F.explode(F.sequence("low", "high")))
-        blocks = wide.select(F.xxhash64("item", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "row", "rep", "n", "comp", "m").distinct()
-        hubs = 8
+        blocks = wide.select(F.xxhash64("item", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "row", "rep", "n", "comp", "m")
+        hubs = FIRST_HUBS
         while True:
-            blocks = stash(blocks, "near-blocks")
             main = F.min_by("comp", F.xxhash64("row", "key")).alias("main")
-            mixed = stash(blocks.groupBy("key").agg(main, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "main"), "near-mixed")
-            if not mixed.limit(1).count():
+            mixed = blocks.groupBy("key").agg(main, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "main")
+            rows = stash(blocks.join(mixed, "key"), "near-blocks")
+            if not rows.limit(1).count():
                 return
             # Of the d rows outside a block's main component, each is a hub with probability hubs / d; every row of
             # another component is compared with it. When all of them have been hubs, the block is done.
-            rows = stash(blocks.join(mixed, "key"), "near-blocks")
-            outside = stash(rows.filter("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("d")), "near-outside")
+            outside = rows.filter("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("d"))
             share = F.shiftrightunsigned(F.xxhash64("row", "key"), 11) / F.lit(float(1 << 53))
             rows = rows.join(outside, "key").withColumn("is_hub", (F.col("comp") != F.col("main")) & (share * F.col("d") < hubs))
             hub = rows.filter("is_hub").select("key", F.struct("row", "rep", "n", "comp", "m").alias("hub"))
             both = rows.join(hub, "key").filter(F.col("comp") != F.col("hub.comp")).filter(self.sizes_fit("n", "hub.n")).filter(F.least("m", "hub.m") * (up + down) >= (F.col("n") + F.col("hub.n")) * up)
             found = self.confirm(both.select(F.col("rep").alias("id_a"), F.col("comp").alias("comp_a"), F.col("row").alias("row_a"), F.col("hub.rep").alias("id_b"), F.col("hub.comp").alias("comp_b"), F.col("hub.row").alias("row_b")))
             blocks = self.relabelled(rows.filter("not is_hub").drop("is_hub", "d", "main"), found)
-            hubs *= 8
+            hubs *= MORE_HUBS
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, for every input row.
 
     1. Documents with one shingle set collapse to one row (a grouping by 128 bits of the set).
-    2. Each band's documents are compared with one of them, the hub; those apart from a second hub, with that one.
+    2. Each band's documents are compared with one of them, the hub.
     3. The documents of bands that still have several components are compared across these if they share a rare
-       shingle and their sizes allow it (a prefix filter, exact). Hubs are drawn in each such block, eight at first and
-       eight times as many in each round, until no block has several components.
+       shingle and their sizes allow it (a prefix filter, exact). Hubs are drawn in each such block, FIRST_HUBS at first
+       and MORE_HUBS times as many in each round, until no block has several components.
 
     So n copies cost n comparisons in each step, documents that share a template but are no near copies cost none
     in the third, and no similar pair of different components that shares a band goes unseen. Links are confirmed on full sets.
@@ -244,8 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stash(routed(named_docs.select("row", "text"), wanted, "row", "left_semi").dropDuplicates(["row"]), "near-texts")
 
     search = _Search(texts, threshold, shingle)
-    left = search.by_first_hubs(buckets).select("row", "rep", "n", "comp").distinct()
-    search.by_shared_items(left)
+    search.by_shared_items(search.by_hubs(buckets))
     shared_ids = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     comp = connected_components(stash(search.links.select("a", "b").unionByName(shared_ids), "near-links"))
     final = comp.select(F.col("node").alias("doc_id"), "comp")
