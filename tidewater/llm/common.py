@@ -34,11 +34,15 @@ MAP_BITS = 27
 MAP_TASKS, MAP_ROW = 8, 15
 
 
+def _bitmaps(placed: DataFrame) -> DataFrame:
+    """(bucket, place) -> bucket, bitmap."""
+    return placed.repartition(MAP_TASKS, "bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+
+
 def membership(keys: DataFrame, column: str, bits: int = MAP_BITS) -> DataFrame:
     """bucket, bitmap: the hash slots that the values of a column take, 2 ** bits of them at most."""
     slot = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
-    placed = keys.select(F.shiftright(slot, MAP_ROW).alias("bucket"), slot.bitwiseAND((1 << MAP_ROW) - 1).alias("place"))
-    return placed.repartition(MAP_TASKS, "bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    return _bitmaps(keys.select(F.shiftright(slot, MAP_ROW).alias("bucket"), slot.bitwiseAND((1 << MAP_ROW) - 1).alias("place")))
 
 
 def _perhaps(rows: DataFrame, column: str, keys: DataFrame, bits: int) -> DataFrame:
@@ -52,18 +56,38 @@ def _perhaps(rows: DataFrame, column: str, keys: DataFrame, bits: int) -> DataFr
     return keyed.join(F.broadcast(maps), "bucket_", "left").select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("perhaps_"))
 
 
+def parted(rows: DataFrame, marks: DataFrame, column: str, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose value in a column may be among those of a written table, and the rows where it surely isn't."""
+    flagged = _perhaps(rows, column, marks.select(column), bits)
+    return flagged.filter("perhaps_").drop("perhaps_"), flagged.filter("not perhaps_").drop("perhaps_")
+
+
 def routed(rows: DataFrame, marks: DataFrame, column: str, how: str = "left", bits: int = MAP_BITS) -> DataFrame:
     """rows joined on a column with a written table of marks, which only part of the rows have.
 
     Rows that a bounded map of the marked values rules out don't enter the shuffle of the join: wide rows without a
     mark stay where they are. how: left (those rows have nulls), left_semi or inner (they go), left_anti.
     """
-    flagged = _perhaps(rows, column, marks.select(column), bits)
-    joined = flagged.filter("perhaps_").drop("perhaps_").join(marks, column, how)
-    if how in ("inner", "left_semi"):
-        return joined
-    rest = flagged.filter("not perhaps_").drop("perhaps_")
-    return joined.unionByName(rest, allowMissingColumns=True)
+    perhaps, rest = parted(rows, marks, column, bits)
+    joined = perhaps.join(marks, column, how)
+    return joined if how in ("inner", "left_semi") else joined.unionByName(rest, allowMissingColumns=True)
+
+
+def membership_bits(hashes: DataFrame, bits: int = MAP_BITS):
+    """A broadcast map of a written column of 64-bit hashes for in_bits, 2 ** bits bits at most."""
+    column = hashes.columns[0]
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    out = np.zeros(1 << max(bits - 3, 0), np.uint8)
+    maps = _bitmaps(hashes.select(F.shiftright(slot, MAP_ROW).alias("bucket"), slot.bitwiseAND((1 << MAP_ROW) - 1).alias("place"))).toArrow()
+    for bucket, bitmap in zip(maps.column(0).to_pylist(), maps.column(1).to_pylist()):
+        out[bucket << (MAP_ROW - 3) :][: len(bitmap)] = np.frombuffer(bitmap, np.uint8)[: len(out) - (bucket << (MAP_ROW - 3))]
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those of a map: never false for one that is."""
+    slot = hashes >> _U(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
 
 
 def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

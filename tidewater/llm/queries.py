@@ -45,16 +45,17 @@ def op6_decontamination(spark, sf_dir):
 
 
 def op7_line_dedup(spark, sf_dir):
-    from tidewater.llm.line_dedup import dedup_lines
+    """Later copies of line runs, and of long single lines, as in the pipeline."""
+    from tidewater.llm.line_dedup import LONG_LINE, digest_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_runs", "longest_repeat", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return digest_lines(table(spark, sf_dir, "documents"), long_line=LONG_LINE)
 
 
-def op7_line_dedup_whole(spark, sf_dir):
-    """Later copies of long single lines go as well, as in the pipeline."""
-    from tidewater.llm.line_dedup import LONG_LINE, dedup_lines
+def op7_line_dedup_runs(spark, sf_dir):
+    """Later copies of runs of two lines or more only."""
+    from tidewater.llm.line_dedup import digest_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"), long_line=LONG_LINE).select("doc_id", "n_lines", "n_removed", "n_runs", "longest_repeat", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return digest_lines(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark, sf_dir):
@@ -75,7 +76,7 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op7_line_dedup_whole, op8_url_filter, op9_media_clips, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op7_line_dedup_runs, op8_url_filter, op9_media_clips, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_near_dedup": """
@@ -133,24 +134,24 @@ named AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS i
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_contaminated, coalesce(items, '') AS items, k IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
-    "op7_line_dedup": """
+    "op7_line_dedup_runs": """
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS text, [x FOR x IN [trim(y, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') FOR y IN string_split(coalesce(text, ''), chr(10))] IF x <> ''] AS ls FROM documents),
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(text, '') AS text, [x FOR x IN [trim(y, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') FOR y IN string_split(coalesce(text, ''), chr(10))] IF x <> ''] AS ls FROM documents),
 runs AS (
-  SELECT doc_id, n, s, md5(array_to_string(ls[s:s + n - 1], chr(10))) AS h
-  FROM (SELECT doc_id, ls, n, unnest(range(1, len(ls) - n + 2)) AS s FROM w, (SELECT 1 << unnest(range(0, 10)) AS n))),
-ranked AS (SELECT doc_id, n, s, count(*) OVER (PARTITION BY n, h) AS copies, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, s) AS nth FROM runs),
-longest AS (SELECT doc_id, max(n) AS longest FROM ranked WHERE copies > 1 GROUP BY doc_id),
-gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1),
+  SELECT r, n, s, md5(array_to_string(ls[s:s + n - 1], chr(10))) AS h
+  FROM (SELECT r, ls, n, unnest(range(1, len(ls) - n + 2)) AS s FROM w, (SELECT 1 << unnest(range(0, 24)) AS n))),
+ranked AS (SELECT r, n, s, count(*) OVER (PARTITION BY n, h) AS copies, row_number() OVER (PARTITION BY n, h ORDER BY r, s) AS nth FROM runs),
+longest AS (SELECT r, max(n) AS longest FROM ranked WHERE copies > 1 GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1),
 kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) FILTER (out IS NULL) AS k, count(out) AS n_removed,
+  SELECT r, string_agg(line, chr(10) ORDER BY p) FILTER (out IS NULL) AS k, count(out) AS n_removed,
          count(*) FILTER (out AND before IS NULL) AS n_runs
-  FROM (SELECT doc_id, p, line, out, lag(out) OVER (PARTITION BY doc_id ORDER BY p) AS before
-        FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM w) LEFT JOIN gone USING (doc_id, p))
-  GROUP BY doc_id)
+  FROM (SELECT r, p, line, out, lag(out) OVER (PARTITION BY r ORDER BY p) AS before
+        FROM (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM w) LEFT JOIN gone USING (r, p))
+  GROUP BY r)
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(longest, 0)::BIGINT AS longest_repeat,
        sha256(CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE coalesce(k, '') END) AS kept_sha256
-FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
+FROM w LEFT JOIN kept USING (r) LEFT JOIN longest USING (r)
 """,
     "op8_url_filter": """
 WITH parts AS (
@@ -165,9 +166,9 @@ SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'a
 """,
 }
 
-#: The SQL of op7_line_dedup, with later copies of single lines of 35 words or more.
-ORACLE_SQL["op7_line_dedup_whole"] = ORACLE_SQL["op7_line_dedup"].replace(
-    "gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1)",
-    """gone AS (SELECT DISTINCT doc_id, p, true AS out FROM (SELECT doc_id, unnest([s, s + 1]) AS p FROM ranked WHERE n = 2 AND nth > 1 UNION ALL
-  SELECT doc_id, s FROM ranked JOIN w USING (doc_id) WHERE n = 1 AND nth > 1 AND len(regexp_extract_all(ls[s], '[^\\x20\\x09-\\x0D]+')) >= 35))""",
+#: The SQL of op7_line_dedup_runs, with later copies of single lines of 35 words or more.
+ORACLE_SQL["op7_line_dedup"] = ORACLE_SQL["op7_line_dedup_runs"].replace(
+    "gone AS (SELECT DISTINCT r, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1)",
+    """gone AS (SELECT DISTINCT r, p, true AS out FROM (SELECT r, unnest([s, s + 1]) AS p FROM ranked WHERE n = 2 AND nth > 1 UNION ALL
+  SELECT r, s FROM ranked JOIN w USING (r) WHERE n = 1 AND nth > 1 AND len(regexp_extract_all(ls[s], '[^\\x20\\x09-\\x0D]+')) >= 35))""",
 )
