@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -25,13 +26,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW_TEXT = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that count beside an article.
+LEADS = HEADINGS | {"p", "blockquote"}
 TEXT_BLOCKS = HEADINGS | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th section div".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+#: For each start tag, the open elements that it can close.
+CLOSES: dict[str, set[str]] = {}
+for _open, _tags in CLOSED_BY.items():
+    for _t in _tags:
+        CLOSES.setdefault(_t, set()).add(_open)
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul dl blockquote".split())
-#: Elements, roles and words of class or id that mark what isn't the article.
+#: Elements, roles and words of class or id that mark what isn't the article. A class or id counts if
+#: each of its words is one of these, or one that only says where or in what box it stands.
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg math object canvas button input select textarea dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+PLACE_WORDS = frozenset("area bar block body bottom box button buttons container content form global group holder inner item items left link links list main mobile outer page panel primary right row section secondary site slot text thread top unit wrap wrapper".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -44,12 +54,25 @@ class Element:
 
     def __init__(self, tag: str, label: str, parent: Element | None, prior: bool):
         self.tag, self.label, self.prior = tag, label, prior
-        self.path = label if parent is None else f"{parent.path}/{label}"
+        self.path = path_id(b"" if parent is None else parent.path.to_bytes(8, "little", signed=True), label)
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.texts: list = []  # strings, elements and None for a boundary of blocks
         self.children: list[Element] = []
 
 
+def path_id(above: bytes, label: str) -> int:
+    """The id of a kind of branch: of the labels from the root down, each hashed into the id of what stands above."""
+    return xxhash.xxh64_intdigest(above + label.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _says_noise(names: str) -> bool:
+    for name in names.split():
+        words = _WORDS.findall(name)
+        if not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in PLACE_WORDS for w in words):
+            return True
+    return False
+
+
 def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     """The label of an element (tag and class), and whether it is known to be no content."""
     label, noise = tag, tag in NOISE_TAGS or (tag == "header" and not in_article)
@@ -59,7 +82,7 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
             if name in ("class", "id"):
                 if name == "class" and value.strip():
                     label = f"{tag}.{'.'.join(sorted(set(value.split())))}"
-                if tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(_WORDS.findall(value)):
+                if tag not in ("html", "body", "article", "main") and _says_noise(value):
                     noise = True
                 elif tag == "article" and not {"comment", "comments", "reply", "replies", "ad", "advert", "sponsored"}.isdisjoint(_WORDS.findall(value)):
                     noise = True
@@ -73,6 +96,13 @@ def parse(page: str) -> Element:
     items and cells end where the next begins, unknown end tags are passed over, what is open ends with the page."""
     root = Element("#", "#", None, False)
     stack = [root]
+    open_tags: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        for e in stack[i:]:
+            open_tags[e.tag] -= 1
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -87,12 +117,13 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            if open_tags[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if tag in INLINE and stack[i].tag not in INLINE:
+                        break
             if tag not in INLINE:
                 stack[-1].texts.append(None)
             continue
@@ -100,12 +131,13 @@ def parse(page: str) -> Element:
             stack[-1].texts.append(" ")
             continue
         if tag not in INLINE:
-            for i in range(len(stack) - 1, 0, -1):
-                if tag in CLOSED_BY.get(stack[i].tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
+            if any(open_tags[t] for t in CLOSES.get(tag, ())):
+                for i in range(len(stack) - 1, 0, -1):
+                    if tag in CLOSED_BY.get(stack[i].tag, ()):
+                        close(i)
+                        break
+                    if stack[i].tag in SCOPES:
+                        break
             stack[-1].texts.append(None)
         parent = stack[-1]
         label, noise = _is_noise(tag, attributes, parent.article)
@@ -122,6 +154,7 @@ def parse(page: str) -> Element:
             parent.children.append(element)
         parent.texts.append(element)
         stack.append(element)
+        open_tags[tag] += 1
     return root
 
 
@@ -156,20 +189,25 @@ def _blocks(pieces: list[str | None]) -> list[str]:
     return blocks
 
 
-def path_id(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
-
-
-def style_nodes(root: Element) -> list[tuple[str, int, int]]:
-    """Of each kind of branch (path of tags and classes): its presentation (the children's labels) and its content."""
-    seen: dict[str, tuple[xxhash.xxh64, xxhash.xxh64]] = {}
-    todo = list(root.children)
+def style_nodes(root: Element) -> list[tuple[int, int, int]]:
+    """Of each kind of branch (path of tags and classes): its presentation (the children's labels) and its content.
+    A branch's content is hashed from its own words and its branches' hashes, so each text is hashed once."""
+    order, todo = [], [root]
     while todo:
         e = todo.pop()
-        todo.extend(e.children)
-        shape, content = seen.setdefault(e.path, (xxhash.xxh64(), xxhash.xxh64()))
-        shape.update("|".join(c.label for c in e.children) + ";")
-        content.update("\n".join(_blocks(_pieces(e, lambda _: False))) + "\f")
+        order.append(e)
+        todo.extend(part for part in reversed(e.texts) if isinstance(part, Element))
+    content: dict[int, bytes] = {}
+    for e in reversed(order):
+        parts = (content[id(p)] if isinstance(p, Element) else b"\x00" if p is None else b" " + " ".join(p.split()).encode("utf-8", "surrogatepass") for p in e.texts)
+        content[id(e)] = xxhash.xxh64_digest(b"".join(parts))
+    seen: dict[int, tuple[xxhash.xxh64, xxhash.xxh64]] = {}
+    branches = {id(c) for e in order for c in e.children}
+    for e in order:
+        if id(e) in branches:
+            shape, text = seen.setdefault(e.path, (xxhash.xxh64(), xxhash.xxh64()))
+            shape.update("|".join(c.label for c in e.children) + ";")
+            text.update(content[id(e)])
     return [(p, s.intdigest() - (1 << 63), c.intdigest() - (1 << 63)) for p, (s, c) in seen.items()]
 
 
@@ -179,19 +217,34 @@ def _protected(e: Element) -> bool:
 
 
 def main_text(root: Element, low: frozenset[int]) -> str:
-    """The blocks of the article elements, or where there are none of the body, without noise and low branches."""
-    skip = lambda e: e.prior or (not _protected(e) and e.tag not in INLINE and path_id(e.path) in low)
-    articles, todo = [], [root]
+    """The blocks of the article elements, or where there are none of the body, without noise and low branches.
+
+    With an article, paragraphs and headings beside it, or beside what holds it, count as well (a lead above it)."""
+    skip = lambda e: e.prior or (not _protected(e) and e.tag not in INLINE and e.path in low)
+    order, todo = [], [root]
     while todo:
         e = todo.pop()
-        if e.prior:
-            continue
-        if e.tag in ("article", "main"):
-            articles.append(e)
-        else:
-            todo.extend(reversed(e.children))
-    if articles:
-        return "\n\n".join(b for a in articles for b in _blocks(_pieces(a, skip)))
+        if not e.prior:
+            order.append(e)
+            if e.tag not in ("article", "main"):
+                todo.extend(reversed(e.children))
+    holds = {id(e) for e in order if e.tag in ("article", "main")}
+    if holds:
+        for e in reversed(order):
+            if any(id(c) in holds for c in e.children):
+                holds.add(id(e))
+        whole, out = [root], []
+        while whole:
+            e = whole.pop()
+            if e.prior:
+                continue
+            if e.tag in ("article", "main"):
+                out += _blocks(_pieces(e, skip))
+            elif id(e) in holds:
+                whole.extend(reversed(e.children))
+            elif e.tag in LEADS and not skip(e):
+                out += _blocks(_pieces(e, skip))
+        return "\n\n".join(out)
     kept = _blocks(_pieces(root, skip)) or _blocks(_pieces(root, lambda e: e.prior))
     return "\n\n".join(kept)
 
@@ -203,7 +256,7 @@ def _features(batches):
         for url, page in zip(raw(batch.column(1)), batch.column(2).to_pylist()):
             nodes = style_nodes(parse(page)) if page else []
             hosts += [split_url(url)[0].decode("utf-8", "replace")] * len(nodes)
-            paths += [path_id(p) for p, _, _ in nodes]
+            paths += [p for p, _, _ in nodes]
             shapes += [s for _, s, _ in nodes]
             contents += [c for _, _, c in nodes]
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (paths, shapes, contents))], schema=schema)
