@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -123,7 +124,7 @@ def scan_text(text: bytes | None, machine) -> tuple:
     if n_words:
         for end, (length, kind, label) in machine.iter(f" {words.decode('latin-1')} "):
             if kind == "base":
-                base.append((words.count(b" ", 0, max(0, end - length)), label))
+                base.append((end - length, label))
             elif kind == "notice":
                 notices.add(label)
             else:
@@ -133,12 +134,13 @@ def scan_text(text: bytes | None, machine) -> tuple:
         for m in _EXPRESSION.finditer(text.decode("utf-8", "replace")):
             if (got := read_expression(m[1])) is not None:
                 expressions.append((m[1].strip(), *got))
+    gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32) if base else np.empty(0, np.int64)
+    starts = np.searchsorted(gaps, [max(0, at) for at, _ in base]).tolist()
     base_labels = sorted({label for _, label in base})
     named = sorted({label for _, found, _ in expressions for label in found})
     score = 1.0
     for weight, n in ((0.5, len(base_labels)), (0.3, len(notices)), (0.8, len(expressions))):
         score *= (1.0 - weight) ** min(n, 20)
-    starts = [at for at, _ in base]
     return (n_words, len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(sorted({*base_labels, *notices, *named})), 1.0 - score, [e[0] for e in expressions], all(e[2] for e in expressions) if expressions else None)
 
 
