@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-Every text is scored in overlapping windows of words; its score is that of its worst window. The network and its
-input tables are fitted with numpy on the driver, on a bounded sample of labelled rows, and are a few hundred
-kilobytes at most.
+Every text is scored in overlapping windows of words; its score is that of its worst window. A word enters as a
+learned embedding (its own, and the mean of its character trigrams'), and as evidence: log-odds of the word and of its
+longer n-grams. The network, its embeddings and tables are fitted with numpy on the driver, on a bounded sample of
+labelled rows, and are a few megabytes at most.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from tidewater.llm.common import LOWER, documents_of, mix, raw, slices, with_rest, word_bounds, word_hashes
 
 #: Words in a window, and words from one window to the next.
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 12
 #: The fitting sample: at most so many rows of label 1 and of label 0, with texts of at most so many characters.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.7
@@ -34,7 +35,10 @@ _PARTS = np.ones(256, bool)
 _PARTS[48:58] = _PARTS[97:123] = False
 _PARTS[128:] = False
 _START = 94  # stands before each word, so that its first characters have n-grams of their own
-INPUTS = len(GRAMS) + 3
+#: Numbers of a learned embedding; words that have one (the most frequent of those in LEAST_DOCS texts), slots of
+#: character embeddings, and characters of each.
+EMBED, MAX_WORDS, LEAST_DOCS, CHAR_SLOTS, CHARS = 4, 1 << 15, 5, 1 << 13, 3
+INPUTS = len(GRAMS) + 3 + EMBED
 
 
 @dataclass
@@ -102,17 +106,80 @@ def gram_hashes(letters: np.ndarray, begin: np.ndarray) -> list[tuple[np.ndarray
     return out
 
 
-def word_inputs(tables: list[EvidenceTable], hashes: np.ndarray, letters: np.ndarray, begin: np.ndarray) -> np.ndarray:
+@dataclass
+class Embeddings:
+    """Learned inputs: a row per known word, and one per slot of hashed character trigrams. A word's embedding is its own
+    row (none: zeros) plus the mean of its trigrams' rows."""
+
+    vocabulary: np.ndarray = field(default_factory=lambda: np.empty(0, _U))
+    words: np.ndarray = field(default_factory=lambda: np.zeros((1, EMBED), _F))
+    chars: np.ndarray = field(default_factory=lambda: np.zeros((CHAR_SLOTS, EMBED), _F))
+
+    @classmethod
+    def over(cls, documents: list[np.ndarray]) -> Embeddings:
+        """Zeros, for the words of a sample."""
+        words, seen = np.unique(np.concatenate([np.empty(0, _U), *documents]), return_counts=True)
+        known = np.flatnonzero(seen >= LEAST_DOCS)
+        known = np.sort(known[np.argsort(-seen[known], kind="stable")[:MAX_WORDS]])
+        return cls(words[known], np.zeros((len(known) + 1, EMBED), _F))
+
+    def places(self, hashes: np.ndarray, letters: np.ndarray, begin: np.ndarray) -> Places:
+        """Which rows make up each word's embedding."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        known = np.zeros(len(hashes), bool)
+        if len(self.vocabulary):
+            known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == hashes
+        n = len(letters)
+        code = np.zeros(n, _U)
+        for i in range(CHARS):
+            code[: max(0, n - i)] = (code[: max(0, n - i)] << _U(8)) | letters[i:]
+        fits = np.repeat(begin[1:], np.diff(begin)) - np.arange(n) >= CHARS
+        counts = np.add.reduceat(fits, begin[:-1], dtype=np.int64) if len(hashes) else np.empty(0, np.int64)
+        return Places(np.where(known, at + 1, 0).astype(np.int32), (mix(code[fits]) % _U(CHAR_SLOTS)).astype(np.uint16), np.concatenate([[0], np.cumsum(counts)]))
+
+    def of(self, where: Places, chunk: int = 1 << 15) -> np.ndarray:
+        out = self.words[where.words]
+        for a in range(0, len(out), chunk):
+            bounds = where.bounds[a : a + chunk + 1]
+            counts = np.diff(bounds)
+            owner, rows = np.repeat(np.arange(len(counts)), counts), self.chars[where.chars[bounds[0] : bounds[-1]]]
+            for k in range(EMBED):
+                out[a : a + chunk, k] += np.bincount(owner, rows[:, k], len(counts)) / np.maximum(1, counts)
+        return out
+
+
+@dataclass
+class Places:
+    """Of each word: its row among the known words (0: none), and a run of slots of its trigrams."""
+
+    words: np.ndarray
+    chars: np.ndarray
+    bounds: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Places:
+        counts = np.diff(self.bounds)[rows]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(self.bounds[:-1][rows] - bounds[:-1], counts) + np.arange(bounds[-1])
+        return Places(self.words[rows], self.chars[at], bounds)
+
+    @staticmethod
+    def joined(parts: list[Places]) -> Places:
+        counts = np.concatenate([np.diff(p.bounds) for p in parts])
+        return Places(np.concatenate([p.words for p in parts]), np.concatenate([p.chars for p in parts]), np.concatenate([[0], np.cumsum(counts)]))
+
+
+def word_inputs(tables: list[EvidenceTable], embeddings: Embeddings, hashes: np.ndarray, letters: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """One row per distinct word, after a row of zeros for padding: the word's evidence, the strongest evidence of its
-    n-grams for each n, its length, and one."""
+    n-grams for each n, its length, one, and its embedding."""
     out = np.zeros((len(hashes) + 1, INPUTS), _F)
     if not len(hashes):
         return out
     out[1:, 0] = tables[0].lookup(hashes)
     for i, (h, fits) in enumerate(gram_hashes(letters, begin)):
         out[1:, 1 + i] = np.maximum.reduceat(np.where(fits, tables[1 + i].lookup(h), _F(0)), begin[:-1])
-    out[1:, -2] = np.minimum(np.diff(begin) - 1, 20) / 20
-    out[1:, -1] = 1
+    out[1:, len(GRAMS) + 1] = np.minimum(np.diff(begin) - 1, 20) / 20
+    out[1:, len(GRAMS) + 2] = 1
+    out[1:, -EMBED:] = embeddings.of(embeddings.places(hashes, letters, begin))
     return out
 
 
@@ -188,7 +255,7 @@ def forward(weights: dict[str, np.ndarray], projected: dict[str, np.ndarray], ro
 
 
 def gradients(weights: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray, d: np.ndarray, run) -> dict[str, np.ndarray]:
-    """Of the sum of d * logits, for all weights (backpropagation through time)."""
+    """Of the sum of d * logits, for all weights and for the inputs' embeddings (backpropagation through time)."""
     _, hidden, attention, pooled, kept = run
     steps = rows.T
     out = {"w": pooled @ d, "c": d.sum(keepdims=True)}
@@ -196,6 +263,7 @@ def gradients(weights: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarr
     d_attention = (hidden * d_pooled).sum(axis=1)
     d_scores = attention * (d_attention - (attention * d_attention).sum(axis=0))
     out["v"] = np.tensordot(hidden, d_scores, ((0, 2), (0, 1)))
+    learned = np.zeros((len(inputs), EMBED), _F)
     d_hidden = attention[:, None, :] * d_pooled + d_scores[:, None, :] * weights["v"][None, :, None]
     for side, order, part in (("f", range(WINDOW - 1, -1, -1), slice(0, HIDDEN)), ("b", range(WINDOW), slice(HIDDEN, None))):
         U = weights[f"U{side}"]
@@ -210,20 +278,22 @@ def gradients(weights: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarr
             d_x = np.concatenate([d_z, d_r, d_new])
             d_u = np.concatenate([d_z, d_r, d_new * r])
             dW += d_x @ inputs[steps[t]]
+            np.add.at(learned, steps[t], (weights[f"W{side}"][:, -EMBED:].T @ d_x).T)
             dU += d_u @ h.T
             dh = dh * z + U.T @ d_u
         out[f"W{side}"], out[f"U{side}"] = dW, dU
-    return {k: g.astype(_F) for k, g in out.items()}
+    return {k: g.astype(_F) for k, g in out.items()} | {"inputs": learned}
 
 
 @dataclass
 class Model:
     tables: list[EvidenceTable]
     weights: dict[str, np.ndarray]
+    embeddings: Embeddings = field(default_factory=Embeddings)
 
     def windows(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts, which, hashes, (letters, begin) = words_of(texts)
-        return word_inputs(self.tables, hashes, letters, begin), *window_rows(counts, which)
+        return word_inputs(self.tables, self.embeddings, hashes, letters, begin), *window_rows(counts, which)
 
     def score(self, texts: list[bytes | None], chunk: int = 1024) -> np.ndarray:
         if not texts:
@@ -259,6 +329,23 @@ def _portions(texts: list[bytes], which: np.ndarray, most: int = 1 << 20):
         yield np.array(run)
 
 
+def rate(epoch: int, epochs: int) -> float:
+    return 0.01 * (1 - 0.9 * epoch / epochs)
+
+
+def _move(embeddings: Embeddings, squares: dict[str, np.ndarray], where: Places, g: np.ndarray, step: np.float32) -> None:
+    """A step down the gradient of some words' embeddings, scaled by past squares, for words and trigrams alike."""
+    counts = np.diff(where.bounds)
+    share = np.repeat(g / np.maximum(1, counts)[:, None], counts, axis=0)
+    for name, rows, grads in (("words", where.words, g), ("chars", where.chars, share)):
+        table = getattr(embeddings, name)
+        used, at = np.unique(rows, return_inverse=True)
+        total = np.stack([np.bincount(at, grads[:, k], len(used)) for k in range(EMBED)], axis=1).astype(_F) + _F(1e-3) * table[used]
+        squares[name][used] += total * total
+        table[used] -= step * total / np.sqrt(squares[name][used])
+    embeddings.words[0] = 0
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 16, batch: int = 128, candidates: int = 8, seed: int = 7) -> Model:
     """Fit tables and network. While the network learns, each half of the sample is seen through tables made from the
     other half, so that it meets evidence as strong as it will on new texts. A text's loss is that of its worst window,
@@ -271,18 +358,23 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 16, batch: int = 12
     tables: tuple[list, list, list] = ([], [], [])
     for kind in range(1 + len(GRAMS)):
         found = _hash_sets(texts, kind)
+        if not kind:
+            embeddings = Embeddings.over(found)
         for into, part in zip(tables, (half | True, half, ~half)):
             into.append(EvidenceTable.fit([found[i] for i in np.flatnonzero(part)], toxic[part]))
-    whole = Model(tables[0], weights)
+    whole = Model(tables[0], weights, embeddings)
     if not texts or toxic.all() or not toxic.any():
         weights["w"][:] = 0
         weights["c"][:] = -2.0
         return whole
     base, picked, owner = [np.zeros((1, INPUTS), _F)], [], []
+    learned = [Places(np.zeros(1, np.int32), np.empty(0, np.uint16), np.zeros(2, np.int64))]
     offset = 0
     for seen, part in ((Model(tables[1], weights), ~half), (Model(tables[2], weights), half)):
         for mine in _portions(texts, np.flatnonzero(part)):
-            inputs, rows, first = seen.windows([texts[i] for i in mine])
+            counts, which, hashes, (letters, begin) = words_of([texts[i] for i in mine])
+            inputs, (rows, first) = word_inputs(seen.tables, seen.embeddings, hashes, letters, begin), window_rows(counts, which)
+            learned.append(embeddings.places(hashes, letters, begin))
             weight = inputs[:, : 1 + len(GRAMS)].sum(axis=1)[rows].sum(axis=1)
             for k, i in enumerate(mine):
                 own = np.arange(first[k], first[k + 1])
@@ -291,17 +383,19 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 16, batch: int = 12
                 owner += [i] * len(own)
             base.append(inputs[1:])
             offset += len(inputs) - 1
-    inputs, rows, owner = np.concatenate(base), np.concatenate(picked), np.array(owner)
+    inputs, rows, owner, places = np.concatenate(base), np.concatenate(picked), np.array(owner), Places.joined(learned)
     order = np.argsort(owner, kind="stable")
     rows, owner = rows[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     docs, target = owner[first], toxic[owner[first]].astype(_F)
     m = {k: np.zeros_like(x) for k, x in weights.items()}
     v = {k: np.zeros_like(x) for k, x in weights.items()}
+    squares = {"words": np.full_like(embeddings.words, 1e-6), "chars": np.full_like(embeddings.chars, 1e-6)}
     step = 0
     epochs = max(epochs, -(-500 * batch // len(docs)))
     for epoch in range(epochs):
         if epoch % 2 == 0:
+            inputs[1:, -EMBED:] = embeddings.of(places)[1:]
             projected = project(weights, inputs)
             logits = np.concatenate([forward(weights, projected, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
             worst = np.array([a + int(np.argmax(logits[a:b])) for a, b in zip(first, [*first[1:], len(rows)])])
@@ -309,16 +403,19 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 16, batch: int = 12
         for at in range(0, len(mixed), batch):
             pick = mixed[at : at + batch]
             used, mine = np.unique(rows[worst[pick]], return_inverse=True)
+            where = places.take(used)
             seen, mine = inputs[used], mine.reshape(len(pick), WINDOW)
+            seen[:, -EMBED:] = np.where(used[:, None] > 0, embeddings.of(where), _F(0))
             run = forward(weights, project(weights, seen), mine, keep=True)
             d = (_sigmoid(run[0]) - target[pick]) / len(pick)
             step += 1
-            rate = 0.01 * (1 - 0.9 * epoch / epochs)
-            for k, g in gradients(weights, seen, mine, d.astype(_F), run).items():
+            grads = gradients(weights, seen, mine, d.astype(_F), run)
+            _move(embeddings, squares, where, np.where(used[:, None] > 0, grads.pop("inputs"), _F(0)), _F(2 * rate(epoch, epochs)))
+            for k, g in grads.items():
                 g = g + _F(1e-4) * weights[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                weights[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(_F)
+                weights[k] -= (rate(epoch, epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(_F)
     return whole
 
 
@@ -328,11 +425,12 @@ def is_held_out(id_col: str = "doc_id"):
 
 def fitting_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels to learn from: at most max_toxic and max_clean labelled rows that aren't held out, those whose
-    ids have the least hashes. Ids with two different labels, nulls, and longer texts are left out."""
+    ids have the least hashes. Ids with two different labels, nulls, and longer texts are left out; of an id's several
+    texts, the one with the least hash counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~is_held_out())
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic", F.xxhash64("doc_id").alias("o"))
     chosen = known.filter("toxic = 1").orderBy("o").limit(max_toxic).unionByName(known.filter("toxic = 0").orderBy("o").limit(max_clean))
-    rows = docs.filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text").orderBy("doc_id").toArrow()
+    rows = docs.filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "toxic", "text").orderBy("doc_id").toArrow()
     return [t or b"" for t in raw(rows.column(2).combine_chunks())], rows.column(1).to_numpy() == 1
 
 
