@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import LOWER, checked, documents_of, mix, raw, row_key, slices, stash, with_rest, word_bounds, word_hashes
+from tidewater.llm.common import LOWER, checked, documents_of, mix, raw, routed, row_key, slices, stash, with_rest, word_bounds, word_hashes
 
 #: A window of tokens is contaminated if at most SUBSTITUTIONS of them differ from a test item's at the same places.
 WINDOW, SUBSTITUTIONS = 16, 3
 #: Token positions that each seed looks at. Together they hit every window with at most three substitutions.
 MASKS = ((0, 1, 4, 6, 9, 11), (0, 2, 6, 7, 10, 11), (0, 1, 5, 6, 10, 11))
-#: Items with fewer tokens are no passages; items shorter than a window must match whole, with an eighth substituted.
-MIN_ITEM = 8
+#: Items with fewer tokens than this have a single seed: they must match whole and exactly. Items from here up to a
+#: window must match whole, with an eighth of their tokens substituted, and have a seed for each half.
+HALVED = 8
 #: Over this many seeds, the digests of the test seeds aren't shipped to the tasks, and all seeds meet in the join.
 MAX_FILTER = 4_000_000
 
@@ -46,8 +47,8 @@ def _seed(tokens: np.ndarray, offsets: tuple[int, ...], span: int, salt: int) ->
     return mix(total)
 
 
-def _halves(n: int) -> tuple[tuple[int, int], tuple[int, int]]:
-    return (0, n // 2), (n // 2, n - n // 2)
+def _halves(n: int) -> tuple[tuple[int, int], ...]:
+    return ((0, n // 2), (n // 2, n - n // 2)) if n >= HALVED else ((0, n),)
 
 
 def seeds_of(tokens: np.ndarray, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ def _item_seeds(batches):
         rows = []
         for ids, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
             t = tokens_of(text)
-            if len(t) < MIN_ITEM:
+            if not len(t):
                 continue
             if len(t) >= WINDOW:
                 places, hashes = seeds_of(t)
@@ -124,10 +125,12 @@ def _verify(batches):
             doc = tokens_of(text)
             covered, found = np.zeros(len(doc), bool), set()
             for hit in hits or []:
-                mine = matched(doc, np.frombuffer(hit["tokens"], _U), hit["shift"])
-                if mine.any():
-                    covered |= mine
-                    found.update(hit["item_ids"])
+                item = np.frombuffer(hit["tokens"], _U)
+                for shift in hit["shifts"]:
+                    mine = matched(doc, item, shift)
+                    if mine.any():
+                        covered |= mine
+                        found.update(hit["item_ids"])
             n_words.append(len(doc))
             n_hit.append(int(covered.sum()))
             items.append(sorted(found))
@@ -148,10 +151,10 @@ def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         wanted = spark.sparkContext.broadcast(np.sort(digests) if len(digests) else np.zeros(1, _U))
     source = documents_of(docs, id_col, text_col).select(row_key().alias("key"), "doc_id", "text")
     hits = source.mapInArrow(_doc_seeds(lengths, wanted), "key long, place int, seed long").join(checked(seeds), "seed")
-    lines = hits.select("key", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    lines = hits.groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     facts = items.select("item", "item_ids", "tokens")
-    per_doc = stash(lines.join(checked(facts), "item").groupBy("key").agg(F.collect_list(F.struct("shift", "item_ids", "tokens")).alias("hits")), "bench-hits")
-    rows = with_rest(docs, id_col, text_col).join(checked(per_doc, "hits", 100_000), "key", "left").select("rest", "text", "hits")
+    per_doc = stash(lines.join(facts, "item").groupBy("key").agg(F.collect_list(F.struct("shifts", "item_ids", "tokens")).alias("hits")), "bench-hits")
+    rows = routed(with_rest(docs, id_col, text_col), per_doc, "key").select("rest", "text", "hits")
     out = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_contaminated", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(_verify, out)
 
@@ -160,15 +163,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """doc_id, n_words, n_contaminated (words in matching windows) and items (ids, sorted), for every input row.
 
     A window of WINDOW tokens of a document matches if at most SUBSTITUTIONS differ from an item's tokens at the same
-    places; an item with MIN_ITEM to WINDOW - 1 tokens must match as a whole, with an eighth of them substituted.
+    places; an item with fewer tokens must match as a whole, with an eighth of them substituted (below 8: none).
     Spaced seeds find the places (their masks miss no such window; halves serve short items), a join with the items'
     seeds names the items, and tokens around each hit are then compared. Equal items are looked up once.
 
     The seeds' digests reach the tasks only if there are at most `max_filter`; beyond, all seeds are shuffled into
-    the join. Documents meet their hits by row, so no passage and no item gathers its documents in one task.
+    the join. Only documents with hits are shuffled to them, by row, so no passage and no item gathers its documents in
+    one task; an item's tokens go once to each document that it may be in.
 
     Null or empty texts: no words, no hits. Null ids stay; null item ids are left out of `items`, but their texts
-    count. Repeated rows each have their result. Empty tables: no rows, or no hits.
+    count. Repeated rows each have their result. Very long texts are taken whole. Ties need no rule. Extra columns play
+    no part. Empty tables: no rows, or no hits.
     """
     rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col, max_filter)
     return rows.select(F.col(f"rest.`{id_col}`").cast("long").alias("doc_id"), "n_words", "n_contaminated", "items")
