@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -102,35 +103,83 @@ def read_index(data: bytes) -> tuple[int, list[tuple[int, int]]]:
     return fps, [(movi + o + 8, n) for o, n in entries]
 
 
-def _scan_of(data: bytes, at: int, size: int) -> tuple[tuple[int, int], bytes, bytes]:
-    """Of one frame: (height, width), its Huffman table and its entropy-coded bytes."""
-    end, place, shape, table = at + size, at + 2, (0, 0), b""
+@dataclass
+class Scan:
+    """What a JPEG frame's headers say, and its entropy-coded bytes."""
+
+    height: int = 0
+    width: int = 0
+    predictor: int = 0
+    table: bytes = b""
+    data: bytes = b""
+
+
+def _scan_of(data: bytes, at: int, size: int) -> Scan:
+    end, place, out = at + size, at + 2, Scan()
     if data[at:place] != SOI or data[end - 2 : end] != EOI:
         raise ValueError("not a JPEG frame")
-    while True:
+    while place < end:
+        if data[place] != 0xFF:
+            raise ValueError("a JPEG frame without its next marker")
         marker, length = data[place + 1], struct.unpack_from(">H", data, place + 2)[0]
         body = data[place + 4 : place + 2 + length]
         if marker == DHT:
-            table = body
+            out.table = body
         elif marker == SOF3:
-            shape = struct.unpack_from(">HH", body, 1)
+            bits, out.height, out.width, parts = struct.unpack_from(">BHHB", body)
+            if bits != 8 or parts != 1:
+                raise ValueError(f"frames of {bits} bits and {parts} components aren't read")
+        elif 0xC0 <= marker <= 0xCF:
+            raise ValueError(f"frames coded by process {marker - 0xC0} aren't read, only lossless ones (3)")
         elif marker == SOS:
-            return shape, table, data[place + 2 + length : end - 2]
+            out.predictor, out.data = body[3], data[place + 2 + length : end - 2].replace(b"\xff\x00", b"\xff")
+            return out
         place += 2 + length
+    raise ValueError("a JPEG frame without a scan")
 
 
-def read_frames(data: bytes) -> tuple[int, np.ndarray]:
-    """Frames per second and the decoded frames (n, height, width) of a file as write_avi makes them."""
-    fps, entries = read_index(data)
-    scans, shape = [], (HEIGHT, WIDTH)
-    for at, size in entries:
-        if data[at : at + len(_HEAD)] == _HEAD:
-            scans.append(data[at + len(_HEAD) : at + size - 2].replace(b"\xff\x00", b"\xff"))
-            continue
-        shape, table, scan = _scan_of(data, at, size)
-        if table != _TABLE or shape != (HEIGHT, WIDTH):
-            raise ValueError("a frame with other tables or another size")
-        scans.append(scan.replace(b"\xff\x00", b"\xff"))
+def _lengths_and_symbols(table: bytes) -> dict[tuple[int, int], int]:
+    """Huffman codes of a table segment, as (bits, code) -> difference category."""
+    out, code, at = {}, 0, 17
+    for bits, n in enumerate(table[1:17], 1):
+        for _ in range(n):
+            out[bits, code] = table[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return out
+
+
+def _decode_frame(scan: Scan) -> np.ndarray:
+    """A lossless frame by its own table, size and predictor (1: left, 2: above); a bit at a time."""
+    if scan.predictor not in (1, 2):
+        raise ValueError(f"predictor {scan.predictor} isn't read, only 1 and 2")
+    codes = _lengths_and_symbols(scan.table)
+    bits = np.unpackbits(np.frombuffer(scan.data, np.uint8)).tolist()
+    moves, at = np.empty(scan.height * scan.width, np.int32), 0
+    for i in range(len(moves)):
+        n = code = 0
+        while (n, code) not in codes:
+            if n == 16 or at >= len(bits):
+                raise ValueError("a frame's bits fit no code")
+            n, code, at = n + 1, code << 1 | bits[at], at + 1
+        s, value = codes[n, code], 0
+        if at + s > len(bits):
+            raise ValueError("a frame ends too early")
+        for b in bits[at : at + s]:
+            value = value << 1 | b
+        at += s
+        moves[i] = value if s == 0 or value >> (s - 1) else value - (1 << s) + 1
+    moves = moves.reshape(scan.height, scan.width)
+    moves[0, 0] += FIRST
+    if scan.predictor == 1:
+        moves[:, 0] = np.cumsum(moves[:, 0])
+        return (np.cumsum(moves, axis=1) & 0xFF).astype(np.uint8)
+    moves[0] = np.cumsum(moves[0])
+    return (np.cumsum(moves, axis=0) & 0xFF).astype(np.uint8)
+
+
+def _decode_own(scans: list[bytes]) -> np.ndarray:
+    """All frames at once where every code has nine bits."""
     bits = np.unpackbits(np.frombuffer(b"".join(scans), np.uint8)).reshape(-1, BITS)
     codes = np.zeros(len(bits), np.int16)
     for i in range(BITS):
@@ -138,7 +187,23 @@ def read_frames(data: bytes) -> tuple[int, np.ndarray]:
     moves = _DIFFERENCE[codes].reshape(-1, HEIGHT, WIDTH).astype(np.int32)
     moves[:, 0, 0] += FIRST
     moves[:, :, 0] = np.cumsum(moves[:, :, 0], axis=1)
-    return fps, (np.cumsum(moves, axis=2) & 0xFF).astype(np.uint8)
+    return (np.cumsum(moves, axis=2) & 0xFF).astype(np.uint8)
+
+
+def read_frames(data: bytes) -> tuple[int, np.ndarray]:
+    """Frames per second and the decoded frames (n, height, width) of an AVI file of lossless JPEG frames, whatever
+    their Huffman tables and size (all of one size). ValueError says why a file can't be read."""
+    fps, entries = read_index(data)
+    own, other = [], []
+    for at, size in entries:
+        if data[at : at + len(_HEAD)] == _HEAD and not other:
+            own.append(data[at + len(_HEAD) : at + size - 2].replace(b"\xff\x00", b"\xff"))
+        else:
+            other.append(_decode_frame(_scan_of(data, at, size)))
+    if len({f.shape for f in other} | ({(HEIGHT, WIDTH)} if own else set())) > 1:
+        raise ValueError("frames of several sizes")
+    frames = ([_decode_own(own)] if own else []) + ([np.stack(other)] if other else [])
+    return fps, np.concatenate(frames) if frames else np.empty((0, HEIGHT, WIDTH), np.uint8)
 
 
 def find_shots(frames: np.ndarray, reach: int = 12, factor: float = 3.0, least: float = 0.25) -> list[tuple[int, int]]:
@@ -178,22 +243,26 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Timed clips of a media column: id, clip number, first and last frame, start and end in seconds, mean sample.
-    Null or broken media give no clips."""
-    schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_sample", pa.float64())])
+    """Timed clips of a media column: id, clip number, first and last frame, start and end in seconds, mean sample, and
+    error. Null media, and files without frames, give no clips; one that can't be read gives one row that says why in
+    error, with nulls elsewhere. Null ids and repeated rows stay; an empty table gives none."""
+    schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_sample", pa.float64()), ("error", pa.string())])
 
     def run(batches):
         for batch in slices(batches):
             rows = []
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if data is None:
+                    continue
                 try:
-                    fps, frames = read_frames(data or b"")
-                except (ValueError, struct.error, IndexError):
+                    fps, frames = read_frames(data)
+                except (ValueError, struct.error, IndexError) as e:
+                    rows.append((doc, *[None] * 6, str(e) or "broken file"))
                     continue
-                rows += [(doc, i, a, b, a / fps, (b + 1) / fps, float(frames[a : b + 1].mean())) for i, (a, b) in enumerate(find_shots(frames))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+                rows += [(doc, i, a, b, a / fps, (b + 1) / fps, float(frames[a : b + 1].mean()), None) for i, (a, b) in enumerate(find_shots(frames))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 8, schema)], schema=schema)
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, mean_sample double")
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, mean_sample double, error string")
 
 
 def media_digest(media: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def op7_line_dedup(spark, sf_dir):
     return digest_lines(table(spark, sf_dir, "documents"), long_line=LONG_LINE)
 
 
-def op7_line_dedup_runs(spark, sf_dir):
+def line_dedup_runs(spark, sf_dir):
     """Later copies of runs of two lines or more only."""
     from tidewater.llm.line_dedup import digest_lines
 
@@ -76,9 +76,38 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, op7_line_dedup_runs, op8_url_filter, op9_media_clips, op10_toxicity)}
+def media_clips(spark, sf_dir):
+    """The timed clips of all documents' media."""
+    from tidewater.llm.media_clips import clip_rows, encode_media
+
+    return clip_rows(encode_media(table(spark, sf_dir, "documents"))).select("doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "error")
+
+
+def media_payloads(spark, sf_dir):
+    """The columns of op9 that SQL can express."""
+    return op9_media_clips(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def licence_places(spark, sf_dir):
+    """The columns of op1 that SQL can express."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, line_dedup_runs, op8_url_filter, op9_media_clips, op10_toxicity, media_clips, media_payloads, licence_places)}
 
 ORACLE_SQL = {
+    "licence_places": """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+phrases(phrase, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+places AS (SELECT doc_id, s - 1 AS at, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS s FROM w), phrases WHERE ws[s:s + len(phrase) - 1] = phrase),
+found AS (SELECT doc_id, count(*) AS n, min(at) AS a, max(at) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN found USING (doc_id)
+""",
+    "media_payloads": """
+WITH p AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents), q AS (SELECT *, CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END AS pad FROM p)
+SELECT doc_id, n::BIGINT AS n_bytes, (n + pad)::BIGINT AS payload_bytes, sha256(t || repeat(' ', pad)) AS payload_sha256 FROM q
+""",
     "op2_near_dedup": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
@@ -115,7 +144,7 @@ WITH d AS (
 i AS (
   SELECT item_id, ws, len(ws) AS n, least(len(ws), 16) AS w, CASE WHEN len(ws) >= 16 THEN 13 ELSE len(ws) - len(ws) // 8 END AS need
   FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL)
-  WHERE len(ws) >= 8),
+  WHERE len(ws) >= 1),
 dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
 iw AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM i),
 same AS (SELECT doc_id, item_id, p - q AS shift, p FROM dw JOIN iw USING (word)),
@@ -134,7 +163,7 @@ named AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS i
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_contaminated, coalesce(items, '') AS items, k IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
-    "op7_line_dedup_runs": """
+    "line_dedup_runs": """
 WITH w AS (
   SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(text, '') AS text, [x FOR x IN [trim(y, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') FOR y IN string_split(coalesce(text, ''), chr(10))] IF x <> ''] AS ls FROM documents),
 runs AS (
@@ -166,8 +195,8 @@ SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'a
 """,
 }
 
-#: The SQL of op7_line_dedup_runs, with later copies of single lines of 35 words or more.
-ORACLE_SQL["op7_line_dedup"] = ORACLE_SQL["op7_line_dedup_runs"].replace(
+#: The SQL of line_dedup_runs, with later copies of single lines of 35 words or more.
+ORACLE_SQL["op7_line_dedup"] = ORACLE_SQL["line_dedup_runs"].replace(
     "gone AS (SELECT DISTINCT r, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1)",
     """gone AS (SELECT DISTINCT r, p, true AS out FROM (SELECT r, unnest([s, s + 1]) AS p FROM ranked WHERE n = 2 AND nth > 1 UNION ALL
   SELECT r, s FROM ranked JOIN w USING (r) WHERE n = 1 AND nth > 1 AND len(regexp_extract_all(ls[s], '[^\\x20\\x09-\\x0D]+')) >= 35))""",
