@@ -100,8 +100,8 @@ ORACLE_SQL = {
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 phrases(phrase, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
-places AS (SELECT doc_id, s - 1 AS at, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS s FROM w), phrases WHERE ws[s:s + len(phrase) - 1] = phrase),
-found AS (SELECT doc_id, count(*) AS n, min(at) AS a, max(at) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1)
+places AS (SELECT doc_id, s - 1 AS pos, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS s FROM w), phrases WHERE ws[s:s + len(phrase) - 1] = phrase),
+found AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN found USING (doc_id)
 """,
     "media_payloads": """
