@@ -2,7 +2,6 @@
 
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +10,6 @@ from tidewater.operators import joins, paging, windows
 from tidewater.operators.grid import cells, neighbours, regions, turned
 from tidewater.operators.rules import Rule, best_for_page, evaluate
 from tidewater.operators.series import buckets_zero_fill, parallel_arrays
-from tidewater.operators.simulation import Window, simulate, simulate_scenarios
 from tidewater.operators.windows import numbered
 from tidewater.plans.catalogue import QUERIES
 from tidewater.plans.series import paired_series
@@ -124,14 +122,6 @@ def test_grid(spark):
     assert regions(df, ["k"], F.col("tile") != "wall").select("region").distinct().count() == 2
 
 
-def test_simulation_accrues_up_to_the_cap():
-    flows = pd.DataFrame({"day": [0.0, 2.0], "kind": ["deposit", "withdrawal"], "amount": [100.0, 250.0]})
-    curve = pd.DataFrame({"day": [0.0], "utilisation": [0.9]})
-    out = simulate("s", flows, curve, Window(max_emission=1e7))
-    assert out["accrued"].max() == 1e7 and out["maxed"].iloc[-1] and out["net"].iloc[-1] == 0.0 and out["gross"].iloc[-1] == 100.0
-    assert out["phase"].drop_duplicates().tolist() == ["deposit", "withdrawal", "cliff"] and out["bump"].iloc[-1] > 0
-
-
 def test_paired_series_number_every_event_without_arrays(spark):
     rows = [(i, i % 2, ("view", "click", "error")[i // 2 % 3], float(i)) for i in range(600)]
     df = spark.createDataFrame(rows, "event_id long, market int, kind string, value double").repartition(5)
@@ -153,21 +143,25 @@ def test_whole_reports_read_every_row(spark):
     assert QUERIES["outer_merge_whole"](spark, sf).agg(F.sum("amount")).first()[0] == pytest.approx(float(total))
 
 
-def test_flows_of_one_time_have_no_order(spark):
-    rows = [("a", 1.0, "withdrawal", 50.0), ("a", 1.0, "deposit", 30.0), ("a", 1.0, "deposit", 40.0), ("a", 1.0, "withdrawal", 5.0), ("b", 0.0, "deposit", 7.0)]
-    curves = spark.createDataFrame([("a", 0.0, 0.9)], "scenario string, day double, utilisation double")
-    for given in (rows, rows[::-1]):
-        out = simulate_scenarios(spark.createDataFrame(given, "scenario string, day double, kind string, amount double"), curves)
-        assert {r.scenario: (r.gross, r.net) for r in out.groupBy("scenario").agg(F.max("gross").alias("gross"), F.max_by("net", "tick").alias("net")).collect()} == {"a": (70.0, 15.0), "b": (7.0, 7.0)}
+def test_ranks_over_ties_and_nulls(spark):
+    rows = [(i, None if i == 3 else float(i % 4)) for i in range(40)]
+    got = {r.k: r.rank for r in windows.ranked(spark.createDataFrame(rows, "k int, x double").repartition(7), "x", "k").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {k: i + 1 for i, (k, _) in enumerate(want)} and windows.ranked(spark.createDataFrame([], "k int, x double"), "x", "k").count() == 0
 
 
-def test_simulation_takes_the_orders_of_every_user(spark):
-    sf = "/root/testdata/sf0.001"
-    last = QUERIES["simulation"](spark, sf).groupBy("scenario").agg(F.max("gross").alias("gross"))
-    got = {int(r.scenario): r.gross for r in last.collect()}
-    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderstatus", "o_totalprice", (F.col("o_orderkey") % 25).alias("day")).collect()
-    assert set(got) == {r.o_custkey for r in orders}
-    for user in got:
-        paid = [r for r in orders if r.o_custkey == user and r.o_orderstatus != "F"]
-        first = min((r.day for r in paid), default=0)
-        assert got[user] == pytest.approx(sum(r.o_totalprice for r in paid if r.day < first + 14))
+def test_responses_read_from_landed_files(spark, tmp_path):
+    from tidewater.sources.responses import chart, read_responses, write_answer
+
+    lines = ['{"user": "u", "stats": {"total_points": "340282366920938463463374607431768211455", "claimable_points": "1"}}', '{"user": "v"', '{"user": "w", "other": 1}']
+    (tmp_path / "points.json").write_text("\n".join(lines))
+    rows = {r.user: r for r in read_responses(spark, "points", str(tmp_path / "points.json")).collect()}
+    assert rows["u"].stats.total_points == "340282366920938463463374607431768211455" and rows["w"].stats is None and rows[None].broken == lines[1]
+    write_answer(spark.createDataFrame([(1, "x")], "apr int, asset string"), str(tmp_path / "answer"))
+    assert spark.read.json(str(tmp_path / "answer")).first().asset == "x"
+    assert chart(spark.createDataFrame([("a", 2, 1.0), ("a", 1, 5.0)], "k string, at int, v double"), "k", "at", ["v"]).first().points == '[{"at":1,"v":5.0},{"at":2,"v":1.0}]'
+
+
+def test_sort_column_and_direction_are_chosen_at_run_time(spark):
+    table = lambda **by: [r.row for r in QUERIES["sorted_table"](spark, "/root/testdata/sf0.001", **by).orderBy("place").collect()]
+    assert table(by="multiplier", descending=False) != table(by="multiplier") and table(by=None) == sorted(table(by=None))

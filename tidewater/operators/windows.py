@@ -6,31 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Shares of a global ranking that are numbered side by side.
+from tidewater.sources.scratch import stash
+
+#: Shares of a series that are numbered side by side.
 SHARES = 256
 
 
-def ranked(df: DataFrame, score: str, tie: str, shares: int = SHARES) -> DataFrame:
-    """rank by score (descending), ties by `tie` (ascending), over all rows.
+def ranked(df: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
+    """rank by score (descending, nulls last), ties by `tie` (ascending), over all rows.
 
-    A single global window would put all rows in one task. Rows are dealt by where their score falls among
-    approximate quantiles, numbered within their share, and moved on by the size of the shares above: a table of at
-    most `shares` + 1 rows. Rows with a null score come last.
+    A single global window would put all rows in one task. Rows are dealt once by ranges of (score, tie), sorted
+    within each range and written with their number there; the ranges' sizes, a row for each, then give the ranks.
     """
-    steps = [i / shares for i in range(1, shares)]
-    bounds = df.agg(F.percentile_approx(score, steps, 10_000).alias("_bounds"))
-    place = F.coalesce(F.size(F.filter(F.array_distinct("_bounds"), lambda b: b >= F.col(score))), F.lit(0))
-    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("_share", F.when(F.col(score).isNull(), shares).otherwise(place)).drop("_bounds")
-    sizes = dealt.groupBy("_share").agg(F.count(F.lit(1)).alias("_n"))
-    above = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(W.orderBy("_share").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(W.partitionBy("_share").orderBy(F.desc_nulls_last(score), tie))
-    return dealt.withColumn("_within", within).join(F.broadcast(above), "_share").withColumn("rank", F.col("_within") + F.col("_above")).drop("_share", "_within", "_above")
+    order = [F.desc_nulls_last(score), F.asc(tie)]
+    at = F.monotonically_increasing_id()
+    placed = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranked")
+    share = F.shiftright("_at", 33).alias("_share")
+    sizes = placed.groupBy(share).agg(F.count(F.lit(1)).alias("_n"))
+    above = sizes.select("_share", F.coalesce(F.sum("_n").over(W.orderBy("_share").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    return placed.withColumn("_share", share).join(F.broadcast(above), "_share").withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) + 1 + F.col("_above")).drop("_share", "_at", "_above")
 
 
 def numbered(df: DataFrame, by: list[str], order: str, shares: int = SHARES) -> DataFrame:
     """i: the row's number within its group, from 0, in ascending `order`; no group has to fit in a task.
 
-    As in `ranked`: rows are dealt by where `order` falls among approximate quantiles of all rows, numbered within group
+    Rows are dealt by where `order` falls among approximate quantiles of all rows, numbered within group
     and share, and moved on by the size of the group's shares before: at most `shares` rows per group.
     """
     steps = [i / shares for i in range(1, shares)]

@@ -93,11 +93,6 @@ def paired_series(events):
 
 
 def timeline(spark, sf_dir):
-    """Paired series of the part of the events that this report's SQL names (event_id < 200, and every 50th)."""
-    return paired_series(V.events(spark, sf_dir).filter("event_id < 200 or event_id % 50 = 0"))
-
-
-def timeline_whole(spark, sf_dir):
     """Paired series of all events."""
     return paired_series(V.events(spark, sf_dir))
 
@@ -133,15 +128,21 @@ def ffill(spark, sf_dir):
     return dense.select("series", "day", F.col("value").isNotNull().alias("observed"), X.filled_forward("value", ["series"], ["day"]).alias("value"))
 
 
-def revenue_rate(spark, sf_dir):
-    """Value gained a second over the last hour of each series, at least 0; retention of a day and 100 rows."""
-    secs = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
-    e = V.events(spark, sf_dir).withColumn("s", secs)
-    last = W.partitionBy("market").orderBy("s").rangeBetween(-3600, 0)
+def revenue_rate(spark, sf_dir, span_seconds: int = 3600):
+    """Value gained a second over the last hour of each market, at least 0.
+
+    An hour before a row lies in the row's own hour of the clock or the one before. So each row also stands by in the
+    next hour, and a window holds two hours of a market, not all of it.
+    """
+    e = V.events(spark, sf_dir).withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    hour = F.floor(F.col("s") / span_seconds)
+    e = e.withColumn("part", F.explode(F.array(F.struct(hour.alias("hour"), F.lit(True).alias("own")), F.struct((hour + 1).alias("hour"), F.lit(False).alias("own"))))).withColumns({"hour": F.col("part.hour"), "own": F.col("part.own")})
+    last = W.partitionBy("market", "hour").orderBy("s").rangeBetween(-span_seconds, 0)
     span = F.col("s") - F.min("s").over(last)
     first = F.min(F.struct("s", "event_id", "value")).over(last)["value"]
     newest = F.max(F.struct("s", "event_id", "value")).over(last)["value"]
-    return e.select("event_id", "market", half_up(F.greatest(F.coalesce(F.try_divide((newest - first).cast("double"), span.cast("double")), F.lit(0.0)), F.lit(0.0)), 6).alias("rate"))
+    rate = half_up(F.greatest(F.coalesce(F.try_divide((newest - first).cast("double"), span.cast("double")), F.lit(0.0)), F.lit(0.0)), 6)
+    return e.withColumn("rate", rate).filter("own").select("event_id", "market", "rate")
 
 
 def recent_history(spark, sf_dir, keep: int = 100):
@@ -169,9 +170,8 @@ def session_gains(spark, sf_dir, idle: int = 6 * 3600):
 
 def checkpoint_yield(spark, sf_dir):
     """Per market: time covered by checkpoints, first and last value, simple yearly return."""
-    w = W.partitionBy("market").orderBy(*_TIME)
-    dt = F.coalesce((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))), F.lit(0))
-    s = V.events(spark, sf_dir).filter("kind = 'view'").withColumn("dt", dt).groupBy("market").agg(F.sum("dt").alias("micros"), F.min_by("value", F.struct("ts", "event_id")).cast("double").alias("first"), F.max_by("value", F.struct("ts", "event_id")).cast("double").alias("last"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))  # steps between checkpoints add up to the whole span
+    s = V.events(spark, sf_dir).filter("kind = 'view'").groupBy("market").agg((F.max(at) - F.min(at)).alias("micros"), F.min_by("value", F.struct("ts", "event_id")).cast("double").alias("first"), F.max_by("value", F.struct("ts", "event_id")).cast("double").alias("last"))
     return s.select("market", "micros", "first", "last", half_up(F.try_divide(F.col("last") - F.col("first"), F.col("first")) * (365 * 86_400_000_000 / F.col("micros")), 4).alias("apr"))
 
 
@@ -198,7 +198,9 @@ def json_props(spark, sf_dir):
     return e.select("event_id", k.alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("valid"), F.to_json(F.struct(F.col("event_id").alias("id"), k.alias("k"))).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (rate_history_apr, profit_chart_asof, interp_performance, hypothetical_performance, pair_apr, event_distribution, event_buckets, timeline, timeline_whole, flow_edges, running_winrate, running_max, ffill, revenue_rate, recent_history, snapshot_changes, session_gains, checkpoint_yield, rules_eval, json_props)}
+QUERIES = {f.__name__: f for f in (rate_history_apr, profit_chart_asof, interp_performance, hypothetical_performance, pair_apr, event_distribution, event_buckets, timeline, flow_edges, running_winrate, running_max, ffill, revenue_rate, recent_history, snapshot_changes, session_gains, checkpoint_yield, rules_eval, json_props)}
+#: The name that the report had while timeline read part of the events.
+QUERIES["timeline_whole"] = timeline
 
 _AGE = f"(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000"
 _R = lambda x, n: f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
@@ -225,9 +227,6 @@ SELECT s.*, tvl, {_R("revenue / tvl * (365 / greatest(days, 1.0)) * 100", 4)} AS
     "event_buckets": sql_with("ev", f"""WITH s AS (SELECT floor((epoch_us(ts) - epoch_us(TIMESTAMP '{START}')) * 30 / (epoch_us(TIMESTAMP '{END}') - epoch_us(TIMESTAMP '{START}')))::INT AS bucket, count(*) AS n, sum(value)::DOUBLE AS total
   FROM ev WHERE kind = 'error' AND market = 3 AND ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}' GROUP BY 1)
 SELECT b::INT AS bucket, coalesce(n, 0) AS n, coalesce(total, 0.0) AS total FROM range(30) r(b) LEFT JOIN s ON s.bucket = b"""),
-    "timeline": sql_with("ev", """WITH e AS (SELECT * FROM ev WHERE event_id < 200 OR event_id % 50 = 0), a AS (SELECT market, coalesce(list(value::DOUBLE ORDER BY event_id) FILTER (kind = 'view'), []) AS v, coalesce(list(value::DOUBLE ORDER BY event_id) FILTER (kind = 'click'), []) AS c FROM e GROUP BY 1),
-i AS (SELECT *, unnest(range(greatest(len(v), len(c)))) AS i FROM a)
-SELECT market, i::INT AS i, coalesce(v[i + 1], 0.0) AS views, coalesce(c[i + 1], 0.0) AS clicks FROM i"""),
     "timeline_whole": sql_with("ev", """WITH n AS (SELECT market, kind, value::DOUBLE AS value, (row_number() OVER (PARTITION BY market, kind ORDER BY event_id) - 1)::INT AS i FROM ev WHERE kind IN ('view', 'click'))
 SELECT market, i, coalesce(v.value, 0.0) AS views, coalesce(c.value, 0.0) AS clicks FROM (SELECT * FROM n WHERE kind = 'view') v FULL JOIN (SELECT * FROM n WHERE kind = 'click') c USING (market, i)"""),
     "flow_edges": sql_with("ev", f"""WITH h AS (SELECT kind, lead(kind) OVER w AS next, lead(value) OVER w AS nv FROM ev WINDOW w AS (PARTITION BY series ORDER BY ts, event_id)),
@@ -256,3 +255,4 @@ b AS (SELECT *, row_number() OVER (PARTITION BY market, day ORDER BY page = '',
 SELECT market, day, rule, kind, priority FROM b WHERE nth = 1"""),
     "json_props": sql_with("ev", """WITH p AS (SELECT event_id, coalesce((props::JSON ->> '$.k')::BIGINT, 0) AS k, json_extract(props, '$.k') IS NOT NULL AS valid FROM ev) SELECT event_id, k, valid, '{"id":' || event_id || ',"k":' || k || '}' AS line FROM p"""),
 }
+SQL["timeline"] = SQL["timeline_whole"]

@@ -45,9 +45,9 @@ def ltv_metrics(spark, sf_dir):
 
 
 def ltv_pairs(spark, sf_dir):
-    """Value by both thresholds, from slots nested per asset."""
-    nested = V.queue_slots(spark, sf_dir).groupBy("asset").agg(F.collect_list(F.struct("ltv", "borrow_ltv", "tvl")).alias("slots"))
-    rows = nested.select("asset", F.inline("slots"))
+    """Value by both thresholds, from deposit groups nested in slots."""
+    nested = V.queue_slots(spark, sf_dir).select("slot", F.array(F.struct("ltv", F.array(F.struct("borrow_ltv", "tvl")).alias("groups"))).alias("slots"))
+    rows = nested.select("slot", F.inline("slots")).select("ltv", F.inline("groups"))
     return rows.groupBy(_dbl("ltv").alias("ltv"), _dbl("borrow_ltv").alias("borrow_ltv")).agg(F.sum("tvl").cast("double").alias("tvl"), F.count(F.lit(1)).alias("n_slots"))
 
 
