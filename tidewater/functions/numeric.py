@@ -55,3 +55,14 @@ def is_numeric(text: Column) -> Column:
 def exact(x: Column, scale: int = 4) -> Column:
     """A money amount as a decimal, so that sums don't depend on the order of rows."""
     return x.cast(f"decimal(18,{scale})")
+
+
+def wide_sum(text: Column) -> Column:
+    """The exact sum of unsigned integers of up to 47 digits in strings, as a string: an aggregate of the upper digits
+    and of the lower 19, with the carry brought over at the end."""
+    padded = F.lpad(text, 47, "0")
+    low = F.sum(F.substring(padded, 29, 19).cast("decimal(19,0)")).cast("decimal(38,0)").cast("string")
+    high = F.sum(F.substring(padded, 1, 28).cast("decimal(28,0)"))
+    carry = F.substring(F.lpad(low, 38, "0"), 1, 19).cast("decimal(19,0)")
+    digits = F.concat((high + carry).cast("string"), F.substring(F.lpad(low, 38, "0"), 20, 19))
+    return F.regexp_replace(digits, "^0+(?=.)", "")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import basics, lending, measures, racing, responses, series, venues
+from tidewater.plans import basics, details, lending, measures, racing, responses, series, venues
 
-PARTS = (lending, series, venues, basics, racing, measures, responses)
+PARTS = (lending, series, venues, basics, racing, measures, responses, details)
 
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
