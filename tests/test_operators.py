@@ -74,7 +74,7 @@ def test_lookup_takes_the_first_row_only(spark):
 
 def test_ranking_equals_a_global_window(spark):
     rows = [(i, float(i * 7919 % 100) if i % 10 else None) for i in range(500)]
-    got = windows.ranked(spark.createDataFrame(rows, "id long, score double"), "score", "id", shares=8).orderBy("rank").collect()
+    got = windows.ranked(spark.createDataFrame(rows, "id long, score double"), "score", "id").orderBy("rank").collect()
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert [(r.id, r.score) for r in got] == want and [r["rank"] for r in got] == list(range(1, 501))
 

@@ -1,6 +1,6 @@
 """Streams over landed files, run to their end."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 
@@ -35,8 +35,11 @@ class State:
     def update(self, value):
         self.exists, self.get = True, value
 
-    def setTimeoutDuration(self, millis):
-        pass
+    def setTimeoutTimestamp(self, millis):
+        self.until = millis
+
+    def getCurrentWatermarkMs(self):
+        return 0
 
 
 def frame(*rows):
@@ -46,7 +49,7 @@ def frame(*rows):
 def test_accumulation_goes_on_over_batches():
     state, step = State(), feeds.accumulate_step(1000)
     totals = [next(step((1,), iter([frame(r)]), state))["total"][0] for r in ((0, 2.0), (10, 5.0), (12, 0.0))]
-    assert totals == [0.0, 20.0, 30.0]
+    assert totals == [0.0, 20.0, 30.0] and state.until == int((T0 + timedelta(seconds=12)).replace(tzinfo=timezone.utc).timestamp() * 1000) + 1000
 
 
 def test_cooldown():

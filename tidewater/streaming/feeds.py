@@ -58,17 +58,19 @@ def accumulate_step(millis: int):
             total += rate * (now - at)
             at, rate = now, float(value)
         state.update((at, rate, total))
-        state.setTimeoutDuration(millis)
+        state.setTimeoutTimestamp(max(int(at * 1000) + millis, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"series": [key[0]], "ts": [rows["ts"].iloc[-1]], "total": [total]})
 
     return step
 
 
-def accumulated(rates: DataFrame, keep: str = "24 hours") -> DataFrame:
+def accumulated(rates: DataFrame, keep: str = "24 hours", late: str = "1 hour") -> DataFrame:
     """series, ts, total: each series' rate (value a second) times the time it held, summed up. Rows of a series must
-    come in order of time from one batch to the next; a series that is silent for `keep` is forgotten."""
+    come in order of time from one batch to the next; a series that is silent for `keep` (by the times of the events,
+    so that a feed that ends can be run to its end) is forgotten."""
     step = accumulate_step(int(pd.Timedelta(keep).total_seconds() * 1000))
-    return rates.groupBy("series").applyInPandasWithState(step, "series long, ts timestamp, total double", "at double, rate double, total double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    by = rates.withWatermark("ts", late).groupBy("series")
+    return by.applyInPandasWithState(step, "series long, ts timestamp, total double", "at double, rate double, total double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def cooldown_step(seconds: float):
