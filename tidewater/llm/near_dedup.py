@@ -21,6 +21,8 @@ THRESHOLD = (3, 4)
 BANDS, ROWS = 40, 5
 #: Hubs of a block of documents that share a rare shingle: in the first round, and times so many in each later one.
 FIRST_HUBS, MORE_HUBS = 64, 16
+#: Classes of shingles, by hash, whose counts bound what two documents can share.
+CLASSES = 32
 
 _U = np.uint64
 _ROUND = _U(0x9E3779B97F4A7C15)
@@ -168,18 +170,21 @@ class _Search:
         live = stash(items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("item", "df"), "near-live")
         held = items.join(live, "item").groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.collect_list(F.struct("df", "item")).alias("items"))
         held = docs.join(held, "row").filter(F.col("m") * down >= F.col("n") * up)
+        # Two documents share no more of a class of shingles than either has of it.
+        parts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.size(F.filter("items", lambda x: F.pmod(x["item"], F.lit(CLASSES)) == c)))
+        held = held.withColumn("parts", parts)
         need = F.ceil(F.col("n") * up / down).cast("int")
         # The first shingle that two documents share, in the order of rarity, is followed by all others that they share:
         # so m counts from each shingle onwards.
         ordered = F.slice(F.array_sort("items"), 1, (F.col("m") - need + 1).cast("int"))
-        prefix = held.select("row", "rep", "n", "comp", F.col("m").alias("of"), F.posexplode(ordered).alias("at", "item")).select("row", "rep", "n", "comp", (F.col("of") - F.col("at")).alias("m"), F.col("item.item").alias("item"))
+        prefix = held.select("row", "rep", "n", "comp", "parts", F.col("m").alias("of"), F.posexplode(ordered).alias("at", "item")).select("row", "rep", "n", "comp", "parts", (F.col("of") - F.col("at")).alias("m"), F.col("item.item").alias("item"))
         # Sizes are dealt into bins of a tenth; a row meets the bins of all sizes that a similar document can have.
         bin_of = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.1)))
         n, m = F.col("n"), F.col("m")
         most = F.least(n * down / up, (m * (up + down) - n * up) / up)
         wide = prefix.withColumn("own", bin_of(n)).withColumn("low", bin_of(F.ceil(n * up / down))).withColumn("high", bin_of(F.greatest(most, F.lit(1))))
         wide = wide.filter("low <= high").withColumn("other", F.explode(F.sequence("low", "high")))
-        blocks = wide.select(F.xxhash64("item", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "row", "rep", "n", "comp", "m")
+        blocks = wide.select(F.xxhash64("item", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "row", "rep", "n", "comp", "m", "parts")
         hubs = FIRST_HUBS
         while True:
             main = F.min_by("comp", F.xxhash64("row", "key")).alias("main")
@@ -192,8 +197,9 @@ class _Search:
             outside = rows.filter("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("d"))
             share = F.shiftrightunsigned(F.xxhash64("row", "key"), 11) / F.lit(float(1 << 53))
             rows = rows.join(outside, "key").withColumn("is_hub", (F.col("comp") != F.col("main")) & (share * F.col("d") < hubs))
-            hub = rows.filter("is_hub").select("key", F.struct("row", "rep", "n", "comp", "m").alias("hub"))
-            both = rows.join(hub, "key").filter(F.col("comp") != F.col("hub.comp")).filter(self.sizes_fit("n", "hub.n")).filter(F.least("m", "hub.m") * (up + down) >= (F.col("n") + F.col("hub.n")) * up)
+            hub = rows.filter("is_hub").select("key", F.struct("row", "rep", "n", "comp", "m", "parts").alias("hub"))
+            shared = F.aggregate(F.zip_with("parts", "hub.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+            both = rows.join(hub, "key").filter(F.col("comp") != F.col("hub.comp")).filter(self.sizes_fit("n", "hub.n")).filter(F.least(F.least("m", "hub.m"), shared) * (up + down) >= (F.col("n") + F.col("hub.n")) * up)
             found = self.confirm(both.select(F.col("rep").alias("id_a"), F.col("comp").alias("comp_a"), F.col("row").alias("row_a"), F.col("hub.rep").alias("id_b"), F.col("hub.comp").alias("comp_b"), F.col("hub.row").alias("row_b")))
             blocks = self.relabelled(rows.filter("not is_hub").drop("is_hub", "d", "main"), found)
             hubs *= MORE_HUBS
