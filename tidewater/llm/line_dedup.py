@@ -18,59 +18,43 @@ LONG_LINE = 35
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
-_BLANK = bytes([9, 10, 11, 12, 13, 32])
 
 
-def line_bounds(text: bytes) -> list[tuple[int, int]]:
-    """Start and end of each line that has more than white space, white space around it left out."""
-    data = np.frombuffer(text, np.uint8)
-    out = []
-    for a, b in zip(*(x.tolist() for x in word_bounds(data, _BREAK))):
-        line = text[a:b]
-        left = len(line) - len(line.lstrip(_BLANK))
-        if left < len(line):
-            out.append((a + left, a + len(line.rstrip(_BLANK))))
-    return out
+def line_bounds(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and number of words of each line that has more than white space, white space around it left out."""
+    data = np.frombuffer(text or b"", np.uint8)
+    starts, ends = word_bounds(data, _BREAK)
+    word_starts, word_ends = word_bounds(data)
+    first, after = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+    full = after > first
+    return word_starts[first[full]], word_ends[after[full] - 1], (after - first)[full]
 
 
-def line_ids(text: bytes | None) -> np.ndarray:
+def line_ids(text: bytes | None, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit ids of the lines of a text, by their bytes."""
-    bounds = line_bounds(text or b"")
-    if not bounds:
-        return np.empty(0, _U)
-    starts, ends = np.array(bounds, np.int64).T
     ids = np.empty(len(starts), _U)
-    data = np.frombuffer(text, np.uint8)
+    data = np.frombuffer(text or b"", np.uint8)
     for at in range(0, len(starts), 4096):
         a, b = starts[at : at + 4096], ends[at : at + 4096]
         ids[at : at + 4096] = word_hashes(data[a[0] : b[-1]], a - a[0], b - a[0])
     return mix(ids)
 
 
-def long_lines(text: bytes | None, least: int) -> np.ndarray:
-    """Whether each line of a text has at least so many words."""
-    bounds = line_bounds(text or b"")
-    if not bounds:
-        return np.empty(0, bool)
-    words = word_bounds(np.frombuffer(text, np.uint8))[0]
-    starts, ends = np.array(bounds, np.int64).T
-    return np.searchsorted(words, ends) - np.searchsorted(words, starts) >= least
-
-
 def _lines(long_line: int | None):
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("long", pa.bool_())])
 
     def run(batches):
         for batch in slices(batches):
-            texts = raw(batch.column(2))
-            ids = [line_ids(t) for t in texts]
-            n = np.array([len(x) for x in ids], np.int64)
+            n, ids, long = [], [np.empty(0, _U)], [np.empty(0, bool)]
+            for text in raw(batch.column(2)):
+                starts, ends, words = line_bounds(text)
+                n.append(len(starts))
+                ids.append(line_ids(text, starts, ends))
+                long.append(words >= long_line if long_line is not None else np.zeros(len(starts), bool))
             keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
             docs = batch.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))
             pos = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
-            h = np.concatenate([np.empty(0, _U), *ids]).view(np.int64)
-            long = np.zeros(len(h), bool) if long_line is None else np.concatenate([np.empty(0, bool), *(long_lines(t, long_line) for t in texts)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), docs, pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(long)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), docs, pa.array(pos, pa.int32()), pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(long))], schema=schema)
 
     return run
 
@@ -104,7 +88,7 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     source = documents_of(docs, id_col, text_col).select(row_key().alias("key"), "doc_id", "text")
     lines = source.mapInArrow(_lines(long_line), "key long, doc_id long, pos int, h long, long boolean").withColumn("n_rows", F.lit(1).cast("long"))
-    levels = [(1, *_named(lines, ["h"], 0, ("long",)))]
+    levels = [(1, *_named(stash(lines, "line-ids"), ["h"], 0, ("long",)))]
     while True:
         length, suffixes, _ = levels[-1]
         ahead = suffixes.select("key", (F.col("pos") - length).alias("pos"), F.col("rank").alias("next_rank"))
@@ -125,20 +109,20 @@ def _rewrite(min_lines: int, long_line: int | None):
             out: list[list] = [[] for _ in _FACTS]
             for text, starts, singles, repeat in zip(raw(batch.column(2)), *(batch.column(c).to_pylist() for c in (3, 4, 5))):
                 text = text or b""
-                bounds = line_bounds(text)
-                gone = np.zeros(len(bounds), bool)
+                a, b, words = line_bounds(text)
+                gone = np.zeros(len(a), bool)
                 for s in starts or []:
                     gone[s : s + min_lines] = True
                 gone[singles or []] = True
-                if repeat and len(bounds) >= min_lines:
+                if repeat and len(a) >= min_lines:
                     gone[:] = True
                 elif repeat and long_line is not None:
-                    gone |= long_lines(text, long_line)
+                    gone |= words >= long_line
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = text
                 if runs:
-                    kept = b"\n".join(text[a:b] for (a, b), g in zip(bounds, gone) if not g)
-                for column, value in zip(out, (len(bounds), int(gone.sum()), runs, kept.decode("utf-8"))):
+                    kept = b"\n".join(text[x:y] for x, y in zip(a[~gone].tolist(), b[~gone].tolist()))
+                for column, value in zip(out, (len(a), int(gone.sum()), runs, kept.decode("utf-8"))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(out, _FACTS))], names=["key", "rest", *(n for n, _ in _FACTS)])
 
