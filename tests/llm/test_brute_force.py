@@ -13,6 +13,7 @@ import pytest
 import corpus_pipeline
 from tidewater.llm import media_clips as M
 from tidewater.llm import toxicity as tox
+from tidewater.llm.common import hashed_words, run_hashes
 from tidewater.llm.decontaminate import find_contamination
 from tidewater.llm.html_extract import GAMMA, extract_pages, style_tree
 from tidewater.llm.license_scan import BASE_PHRASES, scan_licenses
@@ -38,9 +39,10 @@ def documents(sf=SF):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(con.sql(ORACLE_SQL[name]).columns)
     want = con.sql(f"select {', '.join(df.columns)} from ({ORACLE_SQL[name]})").fetchall()
     key = lambda r: [(v is None, str(v)) for v in r]
     assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(want, key=key)
@@ -322,3 +324,27 @@ def test_media_columns_equal_their_definition(spark):
         data = (texts[r.doc_id] or "").encode()
         whole = data + b" " * (-len(data) % 192 if data else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
+
+
+def mirrored(n: int) -> tuple[str, str]:
+    """The sequence abba baab ... of n letters, and the same with a and b exchanged: alike under any polynomial hash
+    modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 2048, 4096])
+def test_mirrored_sequences_are_told_apart(spark, n):
+    left, right = mirrored(n)
+    hashes = [hashed_words(x.encode(), lower=True) for x in (left, right)]
+    assert hashes[0][0] != hashes[1][0]
+    runs = [run_hashes(hashed_words(" ".join(x).encode(), lower=True), n) for x in (left, right)]
+    assert runs[0][0] != runs[1][0]
+    near = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, [(1, left), (2, right), (3, " ".join(left))])).collect()}
+    assert near[1] == 1 and near[2] == 2 and near[3] == 3
+    lines = {r.doc_id: r.n_removed for r in dedup_lines(docs(spark, [(1, left + "\nsecond line"), (2, right + "\nsecond line")]), long_line=1).collect()}
+    assert lines == {1: 0, 2: 1}
+    swapped = {r.doc_id: r.n_removed for r in remove_repeats(docs(spark, [(1, " ".join(left)), (2, " ".join(right))]), window=n).collect()}
+    assert swapped == {1: 0, 2: 0}
+    bench = spark.createDataFrame([(7, left)], "item_id long, text string")
+    assert [r.n_contaminated for r in find_contamination(docs(spark, [(1, left), (2, right)]), bench).orderBy("doc_id").collect()] == [1, 0]

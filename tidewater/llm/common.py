@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,8 +125,10 @@ def slices(batches, max_bytes: int = 4 << 20):
 # ---------------------------------------------------------------- hashing of words and word runs
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_STEP = 1 << 16
+#: Words over so many bytes are hashed one by one with XXH3; shorter ones together, eight bytes at a time.
+_LONG_WORD = 64
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,30 +140,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(1, n), _U)
-    have, factor = 1, base
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * _U(factor)
-        have += take
-        factor = factor * factor % (1 << 64)
-    return out[:n]
-
-
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
-_POW = powers(_BASE, _STEP)
-_INV = powers(pow(_BASE, -1, 1 << 64), _STEP)
-
-
-def _pow_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if n > len(_POW):
-        _POW, _INV = powers(_BASE, 2 * n), powers(pow(_BASE, -1, 1 << 64), 2 * n)
-    return _POW, _INV
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -174,23 +153,55 @@ def word_bounds(data: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.nd
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _then(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of pairs, in order. The shifts between the products keep it from being linear, so sequences that mirror
+    each other have no hash in common by construction."""
+    x = left * _U(0xC2B2AE3D27D4EB4F)
+    x ^= x >> _U(32)
+    x += right
+    x *= _U(0x9E3779B97F4A7C15)
+    x ^= x >> _U(29)
+    return x
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, position-independent: polynomial prefix sums over random byte values, then mixed."""
-    pow_, inv = _pow_tables(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * pow_[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(_U))
+    """64-bit hashes of words: eight bytes are mixed in at a time (a bijection of the state for each), after the length;
+    words over _LONG_WORD bytes have their XXH3."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    out = mix(_then(size.astype(_U), eight[starts] & _KEEP[np.minimum(size, 8)]))
+    longer, at = np.flatnonzero(size > 8), 8
+    while len(longer) and at < _LONG_WORD:
+        left = size[longer]
+        out[longer] = mix(_then(out[longer], eight[starts[longer] + at] & _KEEP[np.minimum(left - at, 8)]))
+        at += 8
+        longer = longer[left > at]
+    for i in longer.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n consecutive words (empty if there are fewer)."""
+    """Hashes of all runs of n consecutive words (empty if there are fewer), put together from runs of 1, 2, 4, ..."""
     count = len(words) - n + 1
-    if count <= 0:
+    if count <= 0 or not n:
         return np.empty(0, _U)
-    pow_, inv = _pow_tables(len(words) + 1)
-    prefix = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * pow_[: len(words)], out=prefix[1:])
-    return mix((prefix[n:] - prefix[:-n]) * inv[:count] + _U(n))
+    out, have, power, size = None, 0, words, 1
+    while True:
+        if n & size:
+            out = power[:count] if out is None else _then(out, power[have : have + count])
+            have += size
+        if 2 * size > n:
+            return mix(out + _U(n))
+        power = _then(power[:-size], power[size:])
+        size *= 2
+
+
+def sequence_hash(words: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of the XXH3 of a whole sequence of word hashes, as signed numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(words.tobytes()), np.int64).tolist())
 
 
 def hashed_words(text: bytes | None, lower: bool) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import LOWER, checked, documents_of, mix, raw, routed, row_key, slices, stash, with_rest, word_bounds, word_hashes
+from tidewater.llm.common import LOWER, checked, documents_of, in_bits, membership_bits, mix, raw, routed, row_key, sequence_hash, slices, stash, with_rest, word_bounds, word_hashes
 
 #: A window of tokens is contaminated if at most SUBSTITUTIONS of them differ from a test item's at the same places.
 WINDOW, SUBSTITUTIONS = 16, 3
@@ -17,8 +17,6 @@ MASKS = ((0, 1, 4, 6, 9, 11), (0, 2, 6, 7, 10, 11), (0, 1, 5, 6, 10, 11))
 #: Items with fewer tokens than this have a single seed: they must match whole and exactly. Items from here up to a
 #: window must match whole, with an eighth of their tokens substituted, and have a seed for each half.
 HALVED = 8
-#: Over this many seeds, the digests of the test seeds aren't shipped to the tasks, and all seeds meet in the join.
-MAX_FILTER = 4_000_000
 
 _U = np.uint64
 _SPAN = 1 + max(map(max, MASKS))
@@ -85,8 +83,7 @@ def _item_seeds(batches):
             else:
                 places = np.array([a for a, _ in _halves(len(t))])
                 hashes = np.array([_seed(t[a : a + n], tuple(range(n)), n, n)[0] for a, n in _halves(len(t))], _U)
-            whole = _seed(t, tuple(range(len(t))), len(t), 7)[0]
-            rows.append((int(whole.astype(np.int64)), ids, t.tobytes(), len(t) if len(t) < WINDOW else None, places.astype(np.int32), hashes.view(np.int64)))
+            rows.append((sequence_hash(t)[0], ids, t.tobytes(), len(t) if len(t) < WINDOW else None, places.astype(np.int32), hashes.view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
 
@@ -94,21 +91,12 @@ def _doc_seeds(lengths: tuple[int, ...], wanted):
     schema = pa.schema([("key", pa.int64()), ("place", pa.int32()), ("seed", pa.int64())])
 
     def run(batches):
-        among, bits = None, None
-        if wanted is not None:
-            among = wanted.value
-            bits = np.zeros(1 << 24, bool)
-            bits[(among >> _U(40)).astype(np.int64)] = True
         for batch in slices(batches):
             keys, places, seeds = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), raw(batch.column(2))):
                 at, h = seeds_of(tokens_of(text), lengths)
-                if among is not None:
-                    near = np.flatnonzero(bits[(h >> _U(40)).astype(np.int64)])
-                    h, at = h[near], at[near]
-                    if len(h):
-                        sure = among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h
-                        h, at = h[sure], at[sure]
+                perhaps = np.flatnonzero(in_bits(wanted.value, h))
+                h, at = h[perhaps], at[perhaps]
                 keys.append(np.full(len(h), key, np.int64))
                 places.append(at.astype(np.int32))
                 seeds.append(h.view(np.int64))
@@ -137,18 +125,14 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["rest", "n_words", "n_contaminated", "items"])
 
 
-def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, max_filter: int) -> DataFrame:
+def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """rest (the row), and what was found in it."""
-    spark = docs.sparkSession
     named = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     texts = named.filter("text is not null").groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select("item_ids", "text")
     items = stash(texts.mapInArrow(_item_seeds, "item long, item_ids array<long>, tokens binary, short int, places array<int>, seeds array<long>"), "bench-items")
     lengths = tuple(sorted({n for row in items.select("short").filter("short is not null").distinct().collect() for _, n in _halves(row["short"])}))
     seeds = stash(items.select("item", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("item", F.col("s.places").alias("item_place"), F.col("s.seeds").alias("seed")), "bench-seeds")
-    wanted = None
-    if seeds.count() <= max_filter:
-        digests = seeds.select("seed").distinct().toArrow().column(0).to_numpy().astype(np.int64).view(_U)
-        wanted = spark.sparkContext.broadcast(np.sort(digests) if len(digests) else np.zeros(1, _U))
+    wanted = membership_bits(seeds.select("seed"))
     source = documents_of(docs, id_col, text_col).select(row_key().alias("key"), "doc_id", "text")
     hits = source.mapInArrow(_doc_seeds(lengths, wanted), "key long, place int, seed long").join(checked(seeds), "seed")
     lines = hits.groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
@@ -159,7 +143,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     return rows.mapInArrow(_verify, out)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_filter: int = MAX_FILTER) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_contaminated (words in matching windows) and items (ids, sorted), for every input row.
 
     A window of WINDOW tokens of a document matches if at most SUBSTITUTIONS differ from an item's tokens at the same
@@ -167,19 +151,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Spaced seeds find the places (their masks miss no such window; halves serve short items), a join with the items'
     seeds names the items, and tokens around each hit are then compared. Equal items are looked up once.
 
-    The seeds' digests reach the tasks only if there are at most `max_filter`; beyond, all seeds are shuffled into
-    the join. Only documents with hits are shuffled to them, by row, so no passage and no item gathers its documents in
+    A map of bits of the items' seeds, of one size for any number of them, reaches the tasks; the places that it lets
+    through meet the seeds in the join. Only documents with hits are shuffled to them, by row, so no passage and no item gathers its documents in
     one task; an item's tokens go once to each document that it may be in.
 
     Null or empty texts: no words, no hits. Null ids stay; null item ids are left out of `items`, but their texts
     count. Repeated rows each have their result. Very long texts are taken whole. Ties need no rule. Extra columns play
     no part. Empty tables: no rows, or no hits.
     """
-    rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col, max_filter)
+    rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col)
     return rows.select(F.col(f"rest.`{id_col}`").cast("long").alias("doc_id"), "n_words", "n_contaminated", "items")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_filter: int = MAX_FILTER) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, in which find_contamination finds nothing."""
-    rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col, max_filter).filter("n_contaminated = 0")
+    rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col).filter("n_contaminated = 0")
     return rows.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

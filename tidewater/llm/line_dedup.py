@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import documents_of, mix, raw, routed, row_key, slices, stash, with_rest, word_bounds, word_hashes
+from tidewater.llm.common import documents_of, in_bits, membership_bits, raw, routed, row_key, slices, stash, with_rest, word_bounds
 
 #: The shortest run, in lines, whose later copies go. A power of two, so that it is one level of the doubling.
 MIN_LINES = 2
@@ -31,30 +32,39 @@ def line_bounds(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def line_ids(text: bytes | None, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit ids of the lines of a text, by their bytes."""
-    ids = np.empty(len(starts), _U)
-    data = np.frombuffer(text or b"", np.uint8)
-    for at in range(0, len(starts), 4096):
-        a, b = starts[at : at + 4096], ends[at : at + 4096]
-        ids[at : at + 4096] = word_hashes(data[a[0] : b[-1]], a - a[0], b - a[0])
-    return mix(ids)
+    """The XXH3 of the bytes of each line, in a row of two 64-bit halves."""
+    text = text or b""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), _U).reshape(-1, 2)
+
+
+def _counts(batches):
+    """(h, g, n): how often each line stands in a slice of texts."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64())])
+    for batch in slices(batches):
+        ids = np.concatenate([np.empty((0, 2), _U), *(line_ids(text, *line_bounds(text)[:2]) for text in raw(batch.column(2)))])
+        once, n = np.unique(ids.view([("h", _U), ("g", _U)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(once["h"].view(np.int64)), pa.array(once["g"].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
 
-def _lines(long_line: int | None):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("long", pa.bool_())])
+def _lines(long_line: int | None, repeated):
+    """The lines that a map of repeated ones doesn't rule out."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("long", pa.bool_())])
 
     def run(batches):
         for batch in slices(batches):
-            n, ids, long = [], [np.empty(0, _U)], [np.empty(0, bool)]
+            n, ids, pos, long = [], [np.empty((0, 2), _U)], [np.empty(0, np.int32)], [np.empty(0, bool)]
             for text in raw(batch.column(2)):
                 starts, ends, words = line_bounds(text)
-                n.append(len(starts))
-                ids.append(line_ids(text, starts, ends))
-                long.append(words >= long_line if long_line is not None else np.zeros(len(starts), bool))
+                mine = line_ids(text, starts, ends)
+                perhaps = np.flatnonzero(in_bits(repeated.value, mine[:, 0]))
+                n.append(len(perhaps))
+                ids.append(mine[perhaps])
+                pos.append(perhaps.astype(np.int32))
+                long.append(words[perhaps] >= long_line if long_line is not None else np.zeros(len(perhaps), bool))
             keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
             docs = batch.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            pos = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), docs, pa.array(pos, pa.int32()), pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(long))], schema=schema)
+            both = np.concatenate(ids).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), docs, pa.array(np.concatenate(pos)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(long))], schema=schema)
 
     return run
 
@@ -84,11 +94,13 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ordered by doc_id, row and line), and at the first level long (at least `long_line` words). intervals: the
     longest-common-prefix intervals of at least that length, with rank, copies and first place. A suffix that is
     unique, or ends with its document, goes no further; doubling stops when none is left. So the work follows what
-    repeats, and the rounds the logarithm of the longest repeated run.
+    repeats, and the rounds the logarithm of the longest repeated run. Lines are told apart by 128 bits; a first pass
+    counts them, and those that a bounded map of the repeated ones rules out aren't written at all.
     """
     source = documents_of(docs, id_col, text_col).select(row_key().alias("key"), "doc_id", "text")
-    lines = source.mapInArrow(_lines(long_line), "key long, doc_id long, pos int, h long, long boolean").withColumn("n_rows", F.lit(1).cast("long"))
-    levels = [(1, *_named(stash(lines, "line-ids"), ["h"], 0, ("long",)))]
+    repeated = stash(source.mapInArrow(_counts, "h long, g long, n long").groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "line-repeated")
+    lines = source.mapInArrow(_lines(long_line, membership_bits(repeated)), "key long, doc_id long, pos int, h long, g long, long boolean").withColumn("n_rows", F.lit(1).cast("long"))
+    levels = [(1, *_named(stash(lines, "line-ids"), ["h", "g"], 0, ("long",)))]
     while True:
         length, suffixes, _ = levels[-1]
         ahead = suffixes.select("key", (F.col("pos") - length).alias("pos"), F.col("rank").alias("next_rank"))

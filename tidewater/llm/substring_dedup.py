@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents_of, hashed_words, in_bits, membership_bits, mix, parted, raw, row_key, run_hashes, slices, stash
+from tidewater.llm.common import documents_of, hashed_words, in_bits, membership_bits, mix, parted, raw, row_key, run_hashes, sequence_hash, slices, stash
 
 WINDOW = 35
 #: Words of the runs of the first level.
@@ -82,9 +82,9 @@ def _seeds(window: int, length: int, before: tuple[int, object] | None):
                     at = at[in_bits(before[1].value, shorter[seed_places(shorter, window - before[0] + 1)])]
                 at = np.unique(at)
                 h = runs[at]
-                whole, check = run_hashes(words, len(words)), run_hashes(mix(words + _U(1)), len(words)) >> _U(32)
+                whole, check = sequence_hash(words)
                 n = len(at) + 1
-                values = (np.full(n, key), np.append(at, WHOLE), np.append(h, whole).view(np.int64), np.append(np.zeros(n - 1, np.int32), check.astype(np.uint32).view(np.int32)), np.append(_counted(h), 1))
+                values = (np.full(n, key), np.append(at, WHOLE), np.append(h.view(np.int64), whole), np.append(np.zeros(n - 1, np.int32), np.int32(check >> 32)), np.append(_counted(h), 1))
                 for column, value in zip(out, values):
                     column.append(value)
             yield _rows(out)
