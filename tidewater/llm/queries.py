@@ -76,6 +76,18 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    from tidewater.llm.fill_middle import fill_in_middle, with_digests
+
+    return with_digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    from tidewater.llm.prefix_trie import spliced_trie
+
+    return spliced_trie(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 def media_clips(spark, sf_dir):
     """The timed clips of all documents' media."""
     from tidewater.llm.media_clips import clip_rows, encode_media
@@ -93,7 +105,7 @@ def licence_places(spark, sf_dir):
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, line_dedup_runs, op8_url_filter, op9_media_clips, op10_toxicity, media_clips, media_payloads, licence_places)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, line_dedup_runs, op8_url_filter, op9_media_clips, op10_toxicity, op12_fill_in_middle, op13_prefix_trie, media_clips, media_payloads, licence_places)}
 
 ORACLE_SQL = {
     "licence_places": """
@@ -195,6 +207,47 @@ SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'a
 """,
 }
 
+ORACLE_SQL["op12_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS ts, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(ts)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(ts[1:a], '') AS prefix, array_to_string(ts[a + 1:b], '') AS middle, array_to_string(ts[b + 1:], '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL["op13_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, t, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS i
+  FROM (SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL)),
+crc AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x // 2, 3988292384 * (x % 2)))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+built AS (
+  SELECT c.conv_id, i, t, bytes FROM crc c JOIN turns s ON s.conv_id = c.conv_id - c.conv_id % 5 AND i <= h
+  UNION ALL SELECT conv_id, i, t, bytes FROM crc JOIN turns USING (conv_id) WHERE i > h),
+placed AS (SELECT conv_id, t, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d FROM built),
+prefixes AS (
+  SELECT conv_id, d, bytes, md5(string_agg(t, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM crc),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, d) AS node FROM prefixes GROUP BY conv_id) GROUP BY node),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM prefixes GROUP BY node, d),
+edges AS (SELECT DISTINCT node, up FROM (SELECT node, d, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM prefixes) WHERE up IS NOT NULL),
+kids AS (SELECT up AS node, count(*) AS n_children FROM edges GROUP BY up),
+under AS (SELECT DISTINCT a.node, b.node AS below FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (
+  SELECT under.node, count(*) FILTER (kids.node IS NULL) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+  FROM under JOIN nodes ON nodes.node = below LEFT JOIN kids ON kids.node = below GROUP BY under.node)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN edges USING (node) LEFT JOIN nodes p ON p.node = edges.up LEFT JOIN ends ON ends.node = n.node
+"""
+
 #: The SQL of line_dedup_runs, with later copies of single lines of 35 words or more.
 ORACLE_SQL["op7_line_dedup"] = ORACLE_SQL["line_dedup_runs"].replace(
     "gone AS (SELECT DISTINCT r, unnest([s, s + 1]) AS p, true AS out FROM ranked WHERE n = 2 AND nth > 1)",
