@@ -76,6 +76,12 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_simhash_dedup(spark, sf_dir):
+    from tidewater.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     from tidewater.llm.fill_middle import fill_in_middle, with_digests
 
@@ -105,7 +111,7 @@ def licence_places(spark, sf_dir):
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, line_dedup_runs, op8_url_filter, op9_media_clips, op10_toxicity, op12_fill_in_middle, op13_prefix_trie, media_clips, media_payloads, licence_places)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_html_extraction, op6_decontamination, op7_line_dedup, line_dedup_runs, op8_url_filter, op9_media_clips, op10_toxicity, op11_simhash_dedup, op12_fill_in_middle, op13_prefix_trie, media_clips, media_payloads, licence_places)}
 
 ORACLE_SQL = {
     "licence_places": """
