@@ -36,6 +36,7 @@ def test_report_equals_sql(spark, duck, name):
     names = sorted(df.columns)
     got = rows_of(df.select(*(f"`{n}`" for n in names)).collect())
     if name in catalogue.ORACLE_SQL:
+        assert names == sorted(duck.sql(catalogue.ORACLE_SQL[name]).columns)
         assert got == rows_of(duck.sql(f"select {', '.join(chr(34) + n + chr(34) for n in names)} from ({catalogue.ORACLE_SQL[name]})").fetchall())
     else:
         assert got

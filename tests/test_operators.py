@@ -6,15 +6,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import bits, formats, lending, numeric
-from tidewater.operators import joins, paging, windows
+from tidewater.operators import joins, paging, scan, windows
 from tidewater.operators.grid import cells, neighbours, regions, turned
 from tidewater.operators.rules import Rule, best_for_page, evaluate
 from tidewater.operators.series import buckets_zero_fill, parallel_arrays
 from tidewater.operators.windows import numbered
+from tidewater.plans import catalogue
 from tidewater.plans.catalogue import QUERIES
 from tidewater.plans.series import paired_series
 from tidewater.sources.views import events
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, *columns):
     return tuple(spark.range(1).select(*columns).first())
@@ -85,7 +88,8 @@ def test_ranking_of_an_empty_table(spark):
 
 def test_fifo_takes_what_is_asked(spark):
     df = spark.createDataFrame([("u", 1, 10), ("u", 2, 10), ("u", 3, 10)], "u string, t int, a int")
-    got = [r.x for r in df.select("t", windows.fifo_consumed("a", F.lit(15), ["u"], [F.col("t")]).alias("x")).orderBy("t").collect()]
+    rows = scan.running(df, ["u"], ["t"], {"up_to": scan.total("a")})
+    got = [r.x for r in rows.select("t", windows.fifo_taken("a", F.lit(15), scan.ahead("a", F.col("up_to"))).alias("x")).orderBy("t").collect()]
     assert got == [10, 5, 0]
 
 
@@ -165,3 +169,50 @@ def test_responses_read_from_landed_files(spark, tmp_path):
 def test_sort_column_and_direction_are_chosen_at_run_time(spark):
     table = lambda **by: [r.row for r in QUERIES["sorted_table"](spark, "/root/testdata/sf0.001", **by).orderBy("place").collect()]
     assert table(by="multiplier", descending=False) != table(by="multiplier") and table(by=None) == sorted(table(by=None))
+
+
+def hot_series():
+    """Rows of nine series, one of which has a third of all, with ties in time and nulls in key and value."""
+    rows, n = [], 600
+    for i in range(n):
+        key = "hot" if i % 3 == 0 else None if i % 17 == 0 else f"s{i % 8}"
+        rows.append((key, (i * 7919 % n) // 2, i, None if i % 4 == 0 else i * 31 % 97))
+    return rows
+
+
+@pytest.mark.parametrize("shares", [1, 2, 7, 40])
+def test_scan_over_shares_equals_windows(spark, shares):
+    df = spark.createDataFrame(hot_series(), "k string, ts long, id long, v long")
+    values = {"total": scan.total("v"), "n": scan.count(), "top": scan.highest("v"), "last": scan.latest("v"), "next": scan.upcoming("v")}
+    for order in (["ts", "id"], [F.desc("v"), F.col("ts"), F.desc("id")]):
+        want = scan.running(df, ["k"], order, values).collect()
+        got = scan.scanned(df, ["k"], order, values, shares).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    got = {r.id: (r.total, r.n, r.top) for r in scan.scanned(df, ["k"], ["ts", "id"], values, shares).collect()}
+    seen = {}
+    for k, _, i, v in sorted(hot_series(), key=lambda r: (r[1], r[2])):
+        seen.setdefault(k, []).append(v)
+        known = [x for x in seen[k] if x is not None]
+        assert got[i] == (sum(known) if known else None, len(seen[k]), max(known, default=None))
+
+
+def test_scan_deals_a_hot_group_over_tasks(spark):
+    df = spark.createDataFrame(hot_series(), "k string, ts long, id long, v long")
+    dealt = df.repartitionByRange(12, "k", "ts", "id").groupBy(F.spark_partition_id().alias("share"), "k").count().collect()
+    assert max(r["count"] for r in dealt) <= 2 * 600 / 12
+    assert scan.running(df.limit(0), ["k"], ["ts"], {"n": scan.count()}, 1).collect() == []
+
+
+@pytest.mark.parametrize("report", ["loss_absorption", "fifo_unstake", "running_winrate", "running_max", "ffill", "profit_chart_asof", "interp_performance", "curve_lookup"])
+def test_reports_are_the_same_in_shares(spark, report):
+    whole = catalogue.QUERIES[report](spark, SF)
+    parts = catalogue.QUERIES[report](spark, SF, share_rows=97)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
+def test_joins_over_a_hot_series(spark):
+    t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    facts = spark.createDataFrame([("hot" if i % 3 else f"s{i}", t(i * 10), float(i)) for i in range(60)], "k string, ts timestamp, v double")
+    probes = spark.createDataFrame([("hot" if i % 3 else f"s{i}", t(i * 7 - 5)) for i in range(90)], "k string, ts timestamp")
+    for join in (lambda n: joins.asof_join(probes, facts, ["k"], "ts", ["v"], share_rows=n), lambda n: joins.interpolating_join(probes, facts, ["k"], "ts", "v", n)):
+        assert sorted(map(str, join(10**6).collect())) == sorted(map(str, join(11).collect()))

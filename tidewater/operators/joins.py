@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewater.operators import scan
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by the given order."""
@@ -21,33 +23,31 @@ def lookup_join(left: DataFrame, dimension: DataFrame, keys: list[str], defaults
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def asof_join(probes: DataFrame, facts: DataFrame, by: list[str], ts: str, values: list[str], fallback_first: bool = True) -> DataFrame:
+def asof_join(probes: DataFrame, facts: DataFrame, by: list[str], ts: str, values: list[str], fallback_first: bool = True, share_rows: int = scan.SHARE_ROWS) -> DataFrame:
     """Each probe with the values of the latest fact at or before it, within its series.
 
     Both sides are put on one time line, sorted by series (facts before probes at equal times), and the last fact is
-    carried forward: one shuffle and one sort, no pairs of rows. Probes before the first fact get the earliest fact
-    (fallback_first) or nulls.
+    carried forward: no pairs of rows, and by a scan over shares where a series has over `share_rows` rows. Probes
+    before the first fact get the earliest fact, the next one for them (fallback_first), or nulls.
     """
     packed = F.struct(*(F.col(v) for v in values))
     line = facts.select(*by, ts, F.lit(0).alias("_probe"), packed.alias("_fact")).unionByName(probes.withColumn("_probe", F.lit(1)), allowMissingColumns=True)
-    upto = W.partitionBy(*by).orderBy(ts, "_probe").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = F.last("_fact", ignorenulls=True).over(upto)
-    if fallback_first:
-        found = F.coalesce(found, F.first("_fact", ignorenulls=True).over(W.partitionBy(*by).orderBy(ts, "_probe").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return line.withColumn("_found", found).filter("_probe = 1").select(*probes.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
+    wanted = {"_found": scan.latest("_fact")} | ({"_next": scan.upcoming("_fact")} if fallback_first else {})
+    at = scan.running(line, by, [ts, "_probe"], wanted, share_rows).filter("_probe = 1")
+    found = F.coalesce(*(F.col(c) for c in wanted))
+    return at.withColumn("_found", found).select(*probes.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
-def interpolating_join(probes: DataFrame, points: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
+def interpolating_join(probes: DataFrame, points: DataFrame, by: list[str], ts: str, value: str, share_rows: int = scan.SHARE_ROWS) -> DataFrame:
     """Each probe with the value on the straight line between its neighbours, held at both ends. Points must have one
-    row per series and time. Times are compared as numbers of microseconds."""
+    row per series and time. Times are compared as numbers of microseconds. The neighbours come from one pass over a
+    common time line, as in asof_join; a point at the probe's own time is the one before it."""
     line = points.select(*by, ts, F.lit(0).alias("_probe"), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_point")).unionByName(probes.withColumn("_probe", F.lit(1)), allowMissingColumns=True)
-    before = F.last("_point", ignorenulls=True).over(W.partitionBy(*by).orderBy(ts, "_probe").rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first("_point", ignorenulls=True).over(W.partitionBy(*by).orderBy(ts, F.desc("_probe")).rowsBetween(W.currentRow, W.unboundedFollowing))
-    at = line.withColumns({"_a": before, "_b": after}).filter("_probe = 1")
+    at = scan.running(line, by, [ts, "_probe"], {"_a": scan.latest("_point"), "_b": scan.upcoming("_point")}, share_rows).filter("_probe = 1")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     part = (micros(ts) - micros("_a.t")) / (micros("_b.t") - micros("_a.t"))
     inside = F.col("_a.v") + part * (F.col("_b.v") - F.col("_a.v"))
-    lerp = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (F.col("_a.t") == F.col("_b.t")), F.col("_a.v")).otherwise(inside)
+    lerp = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (F.col("_a.t") == F.col(ts)), F.col("_a.v")).otherwise(inside)
     return at.select(*probes.columns, lerp.alias(value))
 
 

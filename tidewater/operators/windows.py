@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewater.operators import scan
 from tidewater.sources.scratch import stash
 
 #: Shares of a series that are numbered side by side.
@@ -51,22 +52,24 @@ def running(by: list[str], order: list[Column]):
     return W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def running_ratio(hit: Column, by: list[str], order: list[Column]) -> Column:
-    """Percent of hits so far."""
-    return F.avg(F.when(hit, 100.0).otherwise(0.0)).over(running(by, order))
+def running_ratio(df: DataFrame, hit: Column, by: list[str], order: list[Column | str], name: str, share_rows: int = scan.SHARE_ROWS) -> DataFrame:
+    """Percent of hits so far. Hits and rows are counted as whole numbers, in shares where a group outgrows a task."""
+    held = scan.running(df.withColumn("_hit", F.when(hit, 100).otherwise(0).cast("long")), by, order, {"_hits": scan.total("_hit"), "_rows": scan.count()}, share_rows)
+    return held.withColumn(name, F.col("_hits").cast("double") / F.col("_rows")).drop("_hit", "_hits", "_rows")
 
 
-def running_max(value: str, by: list[str], order: list[Column]) -> Column:
-    return F.greatest(F.lit(0.0), F.max(value).over(running(by, order)))
+def running_max(df: DataFrame, value: str, by: list[str], order: list[Column | str], name: str, share_rows: int = scan.SHARE_ROWS) -> DataFrame:
+    """The highest value so far, at least 0."""
+    return scan.running(df, by, order, {name: scan.highest(value)}, share_rows).withColumn(name, F.greatest(F.lit(0.0), name))
 
 
-def filled_forward(value: str, by: list[str], order: list[Column]) -> Column:
-    return F.last(value, ignorenulls=True).over(running(by, order))
+def filled_forward(df: DataFrame, value: str, by: list[str], order: list[Column | str], share_rows: int = scan.SHARE_ROWS) -> DataFrame:
+    """value, or the last one before it that isn't null."""
+    return scan.running(df, by, order, {"_filled": scan.latest(value)}, share_rows).withColumn(value, F.col("_filled")).drop("_filled")
 
 
-def fifo_consumed(amount: str, request: Column, by: list[str], order: list[Column]) -> Column:
-    """What a request takes from each row if older rows go first."""
-    before = F.coalesce(F.sum(amount).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+def fifo_taken(amount: str, request: Column, before: Column) -> Column:
+    """What a request takes from a row if rows with `before` in all go first."""
     return F.least(F.greatest(request - before, F.lit(0)), F.col(amount))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import half_up, safe_div, wide_sum
 from tidewater.operators import grid as G
+from tidewater.operators import scan
 from tidewater.operators import windows as X
 from tidewater.operators.joins import interpolating_join
 from tidewater.operators.rules import Rule, evaluate
@@ -38,11 +39,11 @@ def revenue_and_value(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(W.partitionBy().orderBy("day")).cast("long"))
 
 
-def curve_lookup(spark, sf_dir):
+def curve_lookup(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     """Utilisation of twelve markets at noon of a day, between the points of their curves; a half without any point."""
     points = V.events(spark, sf_dir).filter("kind = 'view'").groupBy("market", "ts").agg((F.max("value").cast("double") / 1000).alias("used"))
     probes = spark.range(12).select(F.col("id").alias("market"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz").alias("ts"))
-    return interpolating_join(probes, points, ["market"], "ts", "used").select("market", half_up(F.coalesce("used", F.lit(0.5)), 6).alias("used"))
+    return interpolating_join(probes, points, ["market"], "ts", "used", share_rows).select("market", half_up(F.coalesce("used", F.lit(0.5)), 6).alias("used"))
 
 
 def days_by_kind(spark, sf_dir):

@@ -105,8 +105,9 @@ def lock_progress(spark, sf_dir, day: float = 86400.0):
 def scaled_layers(spark, sf_dir, target: float = 1000.0):
     """Segments of each layer of the loss queue scaled so that the layer adds up to a target; nothing in it: as is."""
     s = V.queue_slots(spark, sf_dir).withColumn("layer", F.floor((_dbl("ltv") * 100 - 60) / 3).cast("long"))
-    total = F.sum("tvl").over(W.partitionBy("layer")).cast("double")
-    return s.select("slot", "layer", half_up(F.when(total > 0, _dbl("tvl") * (target / total)).otherwise(_dbl("tvl")), 6).alias("tvl"))
+    totals = s.groupBy("layer").agg(F.sum("tvl").cast("double").alias("total"))
+    total = F.col("total")
+    return s.join(totals, "layer", "left").select("slot", "layer", half_up(F.when(total > 0, _dbl("tvl") * (target / total)).otherwise(_dbl("tvl")), 6).alias("tvl"))
 
 
 def cap_messages(spark, sf_dir):
@@ -190,8 +191,8 @@ def sorted_table(spark, sf_dir, by: str | None = "multiplier", descending: bool
 
 def range_rewards(spark, sf_dir):
     """Means over fixed ranges of each market's first fifteen rewards: lower, middle and upper five, and all."""
-    nth = F.row_number().over(W.partitionBy("market").orderBy("event_id")) - 1
-    first = V.events(spark, sf_dir).filter("kind = 'click'").withColumn("i", nth).filter("i < 15")
+    nth = F.row_number().over(W.partitionBy("market").orderBy("event_id"))  # cut to fifteen before the shuffle, too
+    first = V.events(spark, sf_dir).filter("kind = 'click'").withColumn("nth", nth).filter("nth <= 15").withColumn("i", F.col("nth") - 1)
     mean = lambda a, b, n: half_up(F.coalesce(F.sum(F.when(F.col("i").between(a, b), F.col("value"))), F.lit(0)).cast("double") / n, 6)
     return first.groupBy("market").agg(mean(0, 4, 5).alias("lower"), mean(5, 9, 5).alias("middle"), mean(10, 14, 5).alias("upper"), mean(0, 14, 15).alias("whole"))
 

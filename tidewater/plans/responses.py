@@ -20,7 +20,7 @@ def _coin(amount: str, denom: str) -> str:
 SOURCES = {
     "positions": ("orders",
         f"named_struct('user', cast(o_custkey as string), 'positions', array(named_struct('position_id', cast(o_orderkey as string), 'credit_amount', cast(o_orderkey * 1000003 as string), 'avg_max_LTV', '0.8', 'cAsset_ratios', array('0.25', '0.75'), 'collateral_assets', array(named_struct('asset', {_coin('concat(o_orderkey, repeat(0, 30))', 'concat(\"a\", o_orderkey % 7)')}, 'max_LTV', '0.8', 'max_borrow_LTV', '0.65')))))",
-        ["r.user", "inline(r.positions)", "position_id|credit_amount|collateral_assets[0].asset.info.native_token.denom AS denom|length(collateral_assets[0].asset.amount) AS digits|cAsset_ratios[1] AS ratio"],
+        ["r.user", "inline(r.positions)", "user|position_id|credit_amount|collateral_assets[0].asset.info.native_token.denom AS denom|length(collateral_assets[0].asset.amount) AS digits|cAsset_ratios[1] AS ratio"],
         "SELECT o_custkey::VARCHAR AS \"user\", o_orderkey::VARCHAR AS position_id, (o_orderkey * 1000003)::VARCHAR AS credit_amount, 'a' || o_orderkey % 7 AS denom, (length(o_orderkey::VARCHAR) + 30)::INT AS digits, '0.75' AS ratio FROM orders"),
     "basket": ("part",
         "named_struct('basket_id', '1', 'collateral_supply_caps', array(named_struct('asset_info', named_struct('native_token', named_struct('denom', p_name)), 'current_supply', cast(p_size * 10 as string), 'debt_total', cast(p_partkey as string), 'supply_cap_ratio', '0.3', 'lp', p_size > 40)), 'credit_price', named_struct('price', '0.99', 'decimals', 6))",

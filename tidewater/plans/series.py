@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import lending as L
 from tidewater.functions.numeric import clamp, half_up
+from tidewater.operators import scan
 from tidewater.operators import windows as X
 from tidewater.operators.joins import asof_join, interpolating_join
 from tidewater.operators.rules import Rule, best_for_page, evaluate
@@ -40,20 +41,20 @@ def rate_history_apr(spark, sf_dir):
     return s.select("series", F.col("now.rate").alias("rate"), F.col("past.rate").alias("past_rate"), half_up(L.annualised(F.col("now.rate"), F.col("past.rate"), F.col("days")), 2).alias("apr"))
 
 
-def profit_chart_asof(spark, sf_dir):
+def profit_chart_asof(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     """Purchases with the latest view of their series at or before them; before the first view, the earliest one."""
     e = V.events(spark, sf_dir)
     probes = e.filter("kind = 'purchase'").select("event_id", "series", "ts", _dbl("value").alias("amount"))
     facts = e.filter("kind = 'view'").groupBy("series", "ts").agg(F.max(_dbl("value")).alias("condition"))
-    return asof_join(probes, facts, ["series"], "ts", ["condition"]).select("event_id", "series", "amount", "condition", half_up(F.col("amount") - F.col("condition"), 4).alias("profit"))
+    return asof_join(probes, facts, ["series"], "ts", ["condition"], share_rows=share_rows).select("event_id", "series", "amount", "condition", half_up(F.col("amount") - F.col("condition"), 4).alias("profit"))
 
 
-def interp_performance(spark, sf_dir):
+def interp_performance(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     """Clicks with the price of their series on the line between its neighbouring views, held at both ends."""
     e = V.events(spark, sf_dir)
     points = e.filter("kind = 'view'").groupBy("series", "ts").agg(F.max(_dbl("value")).alias("price"))
     probes = e.filter("kind = 'click'").select("event_id", "series", "ts")
-    return interpolating_join(probes, points, ["series"], "ts", "price").select("event_id", "series", half_up(F.col("price"), 4).alias("price"))
+    return interpolating_join(probes, points, ["series"], "ts", "price", share_rows).select("event_id", "series", half_up(F.col("price"), 4).alias("price"))
 
 
 def hypothetical_performance(spark, sf_dir):
@@ -107,25 +108,26 @@ def flow_edges(spark, sf_dir):
     return out.select("source", "target", "n", "flow", half_up(clamp(F.col("flow") / (F.col("source_size") + F.col("target_size")), 0.1, 1.0), 6).alias("intensity"))
 
 
-def running_winrate(spark, sf_dir):
+def running_winrate(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     """Outcomes 0, 1, 2 (event_id mod 3): percent of wins so far in each series, and the round's result by rule."""
     e = V.events(spark, sf_dir)
     mine, theirs = F.col("event_id") % 3, F.col("series") % 3
     result = F.element_at(F.lit(["draw", "win", "loss"]), ((mine - theirs + 3) % 3 + 1).cast("int"))
     e = e.withColumn("result", result)
-    return e.select("event_id", "series", "result", half_up(X.running_ratio(F.col("result") == "win", ["series"], _TIME), 1).alias("win_rate"))
+    rated = X.running_ratio(e, F.col("result") == "win", ["series"], _TIME, "win_rate", share_rows)
+    return rated.select("event_id", "series", "result", half_up(F.col("win_rate"), 1).alias("win_rate"))
 
 
-def running_max(spark, sf_dir):
+def running_max(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     """A cumulative series made monotone, at least 0."""
-    return V.events(spark, sf_dir).select("event_id", "series", _dbl("value").alias("value"), X.running_max("value", ["series"], _TIME).cast("double").alias("highest"))
+    return X.running_max(V.events(spark, sf_dir), "value", ["series"], _TIME, "highest", share_rows).select("event_id", "series", _dbl("value").alias("value"), _dbl("highest").alias("highest"))
 
 
-def ffill(spark, sf_dir):
+def ffill(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     """Daily ticks of each series without gaps, the last known value carried forward."""
     daily = V.events(spark, sf_dir).groupBy("series", F.to_date("ts").alias("day")).agg(F.max("value").cast("double").alias("value"))
     dense = dense_ticks(daily, ["series"], "day")
-    return dense.select("series", "day", F.col("value").isNotNull().alias("observed"), X.filled_forward("value", ["series"], ["day"]).alias("value"))
+    return X.filled_forward(dense.withColumn("observed", F.col("value").isNotNull()), "value", ["series"], ["day"], share_rows).select("series", "day", "observed", "value")
 
 
 def revenue_rate(spark, sf_dir, span_seconds: int = 3600):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import formats as S
 from tidewater.functions import lending as L
 from tidewater.functions.numeric import half_up, safe_div, trunc_dp
+from tidewater.operators import scan
 from tidewater.operators import windows as X
 from tidewater.operators.joins import layer_join
 from tidewater.sources import views as V
@@ -60,13 +61,12 @@ def ltv_segments(spark, sf_dir):
     return out.withColumn("share", half_up(safe_div(F.col("tvl"), F.sum("tvl").over(W.partitionBy())) * 100, 6))
 
 
-def loss_absorption(spark, sf_dir):
+def loss_absorption(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     """Per asset: value that absorbs losses before each slot (highest thresholds first), its place among slots with
     value, and the place in words."""
     order = [F.desc("ltv"), F.desc("borrow_ltv"), F.col("slot")]
-    rows = V.queue_slots(spark, sf_dir).filter("tvl > 0").withColumn("ahead", X.ahead_sum(["asset"], order, "tvl"))
-    place = F.row_number().over(W.partitionBy("asset").orderBy(*order))
-    return rows.select("asset", "slot", _dbl("tvl").alias("tvl"), F.col("ahead").cast("double").alias("ahead"), place.cast("long").alias("place"), S.ordinal(place).alias("place_text"))
+    rows = scan.running(V.queue_slots(spark, sf_dir).filter("tvl > 0"), ["asset"], order, {"up_to": scan.total("tvl"), "place": scan.count()}, share_rows)
+    return rows.select("asset", "slot", _dbl("tvl").alias("tvl"), scan.ahead("tvl", F.col("up_to")).cast("double").alias("ahead"), "place", S.ordinal(F.col("place").cast("int")).alias("place_text"))
 
 
 def lockdrop_alloc(spark, sf_dir, pool: float = 1_000_000.0):
@@ -120,12 +120,12 @@ def voting_power(spark, sf_dir):
     return p.groupBy("user").agg(s("amount", ~F.col("unstaking")).alias("staked"), s("amount", F.col("unstaking")).alias("unstaking"), s("power").alias("power"), s("power", ~F.col("unstaking")).alias("active_power"), s("amount", F.col("perpetual")).alias("locked_for_good"))
 
 
-def fifo_unstake(spark, sf_dir, part: str = "0.3"):
+def fifo_unstake(spark, sf_dir, part: str = "0.3", share_rows: int = scan.SHARE_ROWS):
     """If each user takes out a part of the active stakes, oldest first: what goes from each, and the power lost."""
     p = _voting(spark, sf_dir).filter("not unstaking")
-    request = (F.sum("amount").over(W.partitionBy("user")) * F.lit(part).cast("decimal(2,1)")).cast("decimal(24,3)")
-    taken = X.fifo_consumed("amount", request, ["user"], [F.col("day"), F.col("deposit_id")])
-    out = p.withColumn("taken", taken.cast("double"))
+    totals = p.groupBy("user").agg((F.sum("amount") * F.lit(part).cast("decimal(2,1)")).cast("decimal(24,3)").alias("request"))
+    rows = scan.running(p, ["user"], ["day", "deposit_id"], {"up_to": scan.total("amount")}, share_rows).join(totals, "user")
+    out = rows.withColumn("taken", X.fifo_taken("amount", F.col("request"), scan.ahead("amount", F.col("up_to"))).cast("double"))
     return out.select("deposit_id", "user", _dbl("amount").alias("amount"), "taken", half_up(F.col("taken") / _dbl("amount") * _dbl("power"), 4).alias("power_lost"))
 
 
