@@ -74,9 +74,12 @@ def accumulated(rates: DataFrame, keep: str = "24 hours", late: str = "1 hour")
 
 
 def cooldown_step(seconds: float):
-    """The state of a series and kind is the time of the last message shown."""
+    """The state of a series and kind is the time of the last message shown; it goes when the cooldown is over."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else float("-inf")
         shown = []
         for ts in pd.concat(list(batches))["ts"].sort_values():
@@ -84,11 +87,15 @@ def cooldown_step(seconds: float):
                 last = ts.timestamp()
                 shown.append(ts)
         state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"series": [key[0]] * len(shown), "kind": [key[1]] * len(shown), "ts": shown})
 
     return step
 
 
-def cooled(messages: DataFrame, seconds: float = 300.0) -> DataFrame:
-    """series, kind, ts of messages that aren't repeated: of each series and kind, one per `seconds` of event time."""
-    return messages.groupBy("series", "kind").applyInPandasWithState(cooldown_step(seconds), "series long, kind string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+def cooled(messages: DataFrame, seconds: float = 300.0, late: str = "1 hour") -> DataFrame:
+    """series, kind, ts of messages that aren't repeated: of each series and kind, one per `seconds` of event time. A
+    key whose cooldown is over by the watermark is forgotten, so the state holds no more than what is cooling down;
+    messages that come later than `late` are dropped by the watermark."""
+    by = messages.withWatermark("ts", late).groupBy("series", "kind")
+    return by.applyInPandasWithState(cooldown_step(seconds), "series long, kind string, ts timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
