@@ -122,7 +122,7 @@ def grid_turns(spark, sf_dir):
     """Tracks after a half turn and after three quarter turns, and mirrored top to bottom (a half turn of the mirror image)."""
     n = F.lit(SIDE)
     one = lambda df, what: df.select(F.lit(what).alias("what"), "track", "x", "y", "tile")
-    g = _grid(spark)
+    g = _grid(spark, sf_dir)
     return one(G.turned(g, 2, n, n), "half").unionByName(one(G.turned(g, 3, n, n), "three")).unionByName(one(G.turned(G.mirrored(g, n), 2, n, n), "flipped"))
 
 

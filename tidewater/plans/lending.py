@@ -112,9 +112,11 @@ def markets_table(spark, sf_dir):
 
 
 def interest_curve(spark, sf_dir):
-    """A rate curve with a kink at 51 points."""
-    u = F.col("i") / 50
-    return spark.range(51).withColumnRenamed("id", "i").select("i", half_up(L.interest_rate(u, F.lit(0.02), F.lit(0.1), F.lit(0.9), F.lit(3.0)), 6).alias("rate"))
+    """Per nation's market, a rate curve with a kink at 51 points: the base rate by what its suppliers lack, the kink by
+    how many there are."""
+    s = V.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("market")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("s_acctbal") < 0, 1)).alias("short"))
+    curve = s.select("market", (0.02 + F.col("short") / F.col("n") / 10).alias("base"), (0.5 + F.col("n") % 5 / 10).alias("kink"), F.explode(F.sequence(F.lit(0), F.lit(50)).cast("array<long>")).alias("i"))
+    return curve.select("market", "i", half_up(L.interest_rate(F.col("i") / 50, F.col("base"), F.lit(0.1), F.col("kink"), F.lit(3.0)), 6).alias("rate"))
 
 
 QUERIES = {f.__name__: f for f in (risky_positions, vault_summary, annual_interest, bounded_apr, asset_shares, portfolio, oracle_health, intents, markets_table, interest_curve)}
@@ -151,6 +153,7 @@ u AS (SELECT *, least(CASE WHEN supplied = 0 THEN 0.0 ELSE borrowed / supplied E
 r AS (SELECT *, CASE WHEN u <= 0.8 THEN 0.01::DOUBLE + 0.1::DOUBLE * u ELSE 0.01::DOUBLE + 0.1::DOUBLE * 0.8::DOUBLE + 2.0::DOUBLE * (u - 0.8::DOUBLE) END AS rate FROM u)
 SELECT market, name, n_suppliers, supplied, floor(1.0::DOUBLE / (1 - max_ltv) * 1000000.0 + 0.5) / 1000000.0 AS leverage, floor(u * 1000000.0 + 0.5) / 1000000.0 AS utilisation,
   floor(rate * 1000000.0 + 0.5) / 1000000.0 AS borrow_rate, floor(rate * u * 0.95::DOUBLE * 1000000.0 + 0.5) / 1000000.0 AS supply_rate FROM r""",
-    "interest_curve": """SELECT i, floor((CASE WHEN u <= 0.9::DOUBLE THEN 0.02::DOUBLE + 0.1::DOUBLE * u ELSE 0.02::DOUBLE + 0.1::DOUBLE * 0.9::DOUBLE + 3.0::DOUBLE * (u - 0.9::DOUBLE) END) * 1000000.0 + 0.5) / 1000000.0 AS rate
-FROM (SELECT i, i::DOUBLE / 50 AS u FROM range(51) t(i))""",
+    "interest_curve": """WITH s AS (SELECT s_nationkey AS market, count(*) AS n, count(*) FILTER (s_acctbal < 0) AS short FROM supplier GROUP BY 1),
+c AS (SELECT market, i, i::DOUBLE / 50 AS u, 0.02::DOUBLE + short::DOUBLE / n::DOUBLE / 10 AS base, 0.5::DOUBLE + (n % 5)::DOUBLE / 10 AS kink FROM s, range(51) t(i))
+SELECT market, i, floor((CASE WHEN u <= kink THEN base + 0.1::DOUBLE * u ELSE base + 0.1::DOUBLE * kink + 3.0::DOUBLE * (u - kink) END) * 1000000.0 + 0.5) / 1000000.0 AS rate FROM c""",
 }

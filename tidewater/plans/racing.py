@@ -14,63 +14,65 @@ SIDE = 12
 MOST_STARTS, MOST_FINISHES, LEAST_SIDE, MOST_SIDE = 10, 5, 5, 50
 
 
-def _grid(spark, tracks: int = 20):
-    """Tracks of SIDE x SIDE tiles by rule: walls where a product of coordinates and track leaves 0 or 3 of 7."""
-    n = F.col("track")
-    tile = lambda y: lambda x: F.when((x * 3 + y * 5 + n * (x + 1)) % 7 == 0, "wall").when((x * y + n) % 11 == 3, "boost").otherwise("road")
-    rows = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), tile(y)))
-    return G.cells(spark.range(tracks).withColumnRenamed("id", "track").withColumn("layout", rows), ["track"], "layout")
+def _grid(spark, sf_dir):
+    """A track for each supplier, SIDE x SIDE: its lines fall on tiles by order and part, and how many lie on a tile
+    makes it a wall, a boost or road. Tiles without lines are there, too."""
+    side = F.sequence(F.lit(0), F.lit(SIDE - 1))
+    every = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track"), F.explode(side).alias("x")).withColumn("y", F.explode(side))
+    lines = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("track"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"), (F.col("l_partkey") % SIDE).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(lines, ["track", "x", "y"], "left").select("track", "y", "x", F.when(n % 4 == 0, "wall").when(n % 5 == 3, "boost").otherwise("road").alias("tile"))
 
 
-_GRID_SQL = f"g AS (SELECT track, x::INT AS x, y::INT AS y, CASE WHEN (x * 3 + y * 5 + track * (x + 1)) % 7 = 0 THEN 'wall' WHEN (x * y + track) % 11 = 3 THEN 'boost' ELSE 'road' END AS tile FROM range(20) t(track), range({SIDE}) a(x), range({SIDE}) b(y))"
+_GRID_SQL = f"""l AS (SELECT l_suppkey AS track, (l_orderkey % {SIDE})::INT AS x, (l_partkey % {SIDE})::INT AS y, count(*) AS n FROM lineitem GROUP BY ALL), c0 AS (SELECT s_suppkey AS track, x::INT AS x, y::INT AS y FROM supplier, range({SIDE}) a(x), range({SIDE}) b(y)),
+g AS (SELECT track, x, y, CASE WHEN coalesce(n, 0) % 4 = 0 THEN 'wall' WHEN coalesce(n, 0) % 5 = 3 THEN 'boost' ELSE 'road' END AS tile FROM c0 LEFT JOIN l USING (track, x, y))"""
 
 
 def grid_transforms(spark, sf_dir):
     """Tracks turned by a quarter, mirrored, with a filled rectangle."""
     n = F.lit(SIDE)
-    return G.filled(G.mirrored(G.turned(_grid(spark), 1, n, n), n), 2, 2, 5, 5, "boost", only="road").select("track", "x", "y", "tile")
+    return G.filled(G.mirrored(G.turned(_grid(spark, sf_dir), 1, n, n), n), 2, 2, 5, 5, "boost", only="road").select("track", "x", "y", "tile")
 
 
 def track_iq(spark, sf_dir):
     """States (packed neighbourhoods) of each track: tiles by kind, distinct states, share of 625."""
     code = lambda c: F.when(F.col(c) == "wall", 0).when(F.col(c) == "boost", 2).otherwise(1)
-    near = G.neighbours(_grid(spark), ["track"]).withColumn("state", B.pack_nibbles([code(c) for c in ("up", "right", "down", "left")]))
+    near = G.neighbours(_grid(spark, sf_dir), ["track"]).withColumn("state", B.pack_nibbles([code(c) for c in ("up", "right", "down", "left")]))
     count = lambda t: F.count(F.when(F.col("tile") == t, 1))
     return near.groupBy("track").agg(count("wall").alias("walls"), count("boost").alias("boosts"), F.countDistinct(F.when(F.col("tile") != "wall", F.col("state"))).alias("states")).withColumn("coverage", half_up(F.least(F.col("states") / 625 * 100, F.lit(100.0)), 4))
 
 
 def flood_fill(spark, sf_dir):
     """Regions of tiles that aren't walls: how many, and the largest."""
-    sizes = G.regions(_grid(spark), ["track"], F.col("tile") != "wall").groupBy("track", "region").agg(F.count(F.lit(1)).alias("n"))
+    sizes = G.regions(_grid(spark, sf_dir), ["track"], F.col("tile") != "wall").groupBy("track", "region").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("track").agg(F.count(F.lit(1)).alias("n_regions"), F.max("n").alias("largest"), F.sum("n").alias("n_cells"))
 
 
 #: The options of each trait with their weights, in the order of the draws.
-TRAITS = """
-base_color: White 1600, Black 1600, Silver 1200, Gray 1200, Red 900, Blue 900, Green 600, Orange 400, Yellow 300, Purple 300, Teal 300, Gold 100
-accent_pattern: None 3500, Stripes 2200, Flames 1200, Camo 900, Geometric 900, Gradient 300
-paint_finish: Solid 5000, Metallic 3000, Matte 1500, Pearlescent 500
-headlight_color: White 6000, Blue 2500, NeonGreen 900, Pink 600
-underglow: None 6000, Blue 1200, Purple 900, Red 900, Green 700, White 300
-brake_light_style: ClassicRect 4000, SlimStrip 3200, Circular 1800, SplitPanel 1000
-front_bumper: Standard 5000, SportAggressive 2500, Retro 1500, OffroadReinforced 1000
-spoiler: None 4200, SmallLip 3200, Ducktail 1800, LargeGtWing 800
-roof: Hardtop 5200, Sunroof 2200, Targa 900, Convertible 700
-fender: Stock 5200, Widebody 2200, RetroFlare 1600, AeroCutout 1000
-exhaust_length: Mid 5000, Short 3000, Long 2000
-exhaust_tip: Round 4500, Square 2000, Angled 2000, DualPipe 1500
-engine_visuals: Covered 5200, PaintedValveCover 2000, ChromePipes 1600, VisibleIntercooler 1200
-rim_style: Classic5Spoke 4000, Mesh 3000, DeepDish 1800, FuturisticSolid 1200
-rim_color: Black 3800, Chrome 3400, Gold 1400, Custom 1400
-tire: SemiSlicks 4200, Slicks 3200, OffroadTread 1800, Whitewall 800
-number_font: BoldBlock 4200, Digital 2400, RetroStencil 2000, ScriptItalic 1400
-roof_accessory: None 6000, Antenna 1600, LightBar 1200, RoofRack 1200
-side_mirror: Standard 5200, AeroSmall 2200, RetroRound 1600, WideRacing 1000
-window_tint: None 3000, Light 2800, Medium 2600, Dark 1400, Colored 200
-trail_effect: None 6000, Smoke 1800, Sparks 1400, NeonStreak 800
-decal: FlamesA 1500, FlamesB 1200, CamoDesert 1100, CamoUrban 1100, GeometricLines 900, SponsorPackA 800, SponsorPackB 800, Custom 600
-"""
-WEIGHTS = {name: [(o.split()[0], int(o.split()[1])) for o in options.split(", ")] for name, options in (line.split(": ") for line in TRAITS.strip().split("\n"))}
+WEIGHTS = {
+    "base_color": [("White", 1600), ("Black", 1600), ("Silver", 1200), ("Gray", 1200), ("Red", 900), ("Blue", 900), ("Green", 600), ("Orange", 400), ("Yellow", 300), ("Purple", 300), ("Teal", 300), ("Gold", 100)],
+    "accent_pattern": [("None", 3500), ("Stripes", 2200), ("Flames", 1200), ("Camo", 900), ("Geometric", 900), ("Gradient", 300)],
+    "paint_finish": [("Solid", 5000), ("Metallic", 3000), ("Matte", 1500), ("Pearlescent", 500)],
+    "headlight_color": [("White", 6000), ("Blue", 2500), ("NeonGreen", 900), ("Pink", 600)],
+    "underglow": [("None", 6000), ("Blue", 1200), ("Purple", 900), ("Red", 900), ("Green", 700), ("White", 300)],
+    "brake_light_style": [("ClassicRect", 4000), ("SlimStrip", 3200), ("Circular", 1800), ("SplitPanel", 1000)],
+    "front_bumper": [("Standard", 5000), ("SportAggressive", 2500), ("Retro", 1500), ("OffroadReinforced", 1000)],
+    "spoiler": [("None", 4200), ("SmallLip", 3200), ("Ducktail", 1800), ("LargeGtWing", 800)],
+    "roof": [("Hardtop", 5200), ("Sunroof", 2200), ("Targa", 900), ("Convertible", 700)],
+    "fender": [("Stock", 5200), ("Widebody", 2200), ("RetroFlare", 1600), ("AeroCutout", 1000)],
+    "exhaust_length": [("Mid", 5000), ("Short", 3000), ("Long", 2000)],
+    "exhaust_tip": [("Round", 4500), ("Square", 2000), ("Angled", 2000), ("DualPipe", 1500)],
+    "engine_visuals": [("Covered", 5200), ("PaintedValveCover", 2000), ("ChromePipes", 1600), ("VisibleIntercooler", 1200)],
+    "rim_style": [("Classic5Spoke", 4000), ("Mesh", 3000), ("DeepDish", 1800), ("FuturisticSolid", 1200)],
+    "rim_color": [("Black", 3800), ("Chrome", 3400), ("Gold", 1400), ("Custom", 1400)],
+    "tire": [("SemiSlicks", 4200), ("Slicks", 3200), ("OffroadTread", 1800), ("Whitewall", 800)],
+    "number_font": [("BoldBlock", 4200), ("Digital", 2400), ("RetroStencil", 2000), ("ScriptItalic", 1400)],
+    "roof_accessory": [("None", 6000), ("Antenna", 1600), ("LightBar", 1200), ("RoofRack", 1200)],
+    "side_mirror": [("Standard", 5200), ("AeroSmall", 2200), ("RetroRound", 1600), ("WideRacing", 1000)],
+    "window_tint": [("None", 3000), ("Light", 2800), ("Medium", 2600), ("Dark", 1400), ("Colored", 200)],
+    "trail_effect": [("None", 6000), ("Smoke", 1800), ("Sparks", 1400), ("NeonStreak", 800)],
+    "decal": [("FlamesA", 1500), ("FlamesB", 1200), ("CamoDesert", 1100), ("CamoUrban", 1100), ("GeometricLines", 900), ("SponsorPackA", 800), ("SponsorPackB", 800), ("Custom", 600)],
+}
 
 
 def trait_gen(spark, sf_dir):
@@ -97,16 +99,16 @@ def route_walk(spark, sf_dir, most: int = 12):
       SELECT start, max(hops) AS hops, max_by(place, hops) = start AS closed FROM walk GROUP BY start""", edges=edges, most=most)
 
 
-def _marked(spark):
+def _marked(spark, sf_dir):
     """The tracks with start and finish tiles: some without either, some with many."""
     n, x, y = F.col("track"), F.col("x"), F.col("y")
     kind = F.when((n % 4 != 1) & (x == 0) & (y < n % 13), "start").when((n % 5 != 2) & (x == SIDE - 1) & (y < n % 8), "finish").otherwise(F.col("tile"))
-    return _grid(spark).withColumn("tile", kind)
+    return _grid(spark, sf_dir).withColumn("tile", kind)
 
 
 def track_checks(spark, sf_dir):
     """What is wrong with each track, as lists of errors and warnings, and whether it can be used."""
-    cells = _marked(spark)
+    cells = _marked(spark, sf_dir)
     count = lambda t: F.count(F.when(F.col("tile") == t, 1))
     t = cells.groupBy("track").agg(count("start").alias("starts"), count("finish").alias("finishes"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     walled = G.regions(cells, ["track"], F.col("tile") != "wall").groupBy("track").agg((F.countDistinct("region") - 1).alias("walled_in"))
@@ -119,7 +121,7 @@ def track_checks(spark, sf_dir):
 def completed_paths(spark, sf_dir):
     """Tracks with a plain way from the last start to the last finish tile, along the row first and then the column;
     tracks without either stay as they are."""
-    cells = _marked(spark)
+    cells = _marked(spark, sf_dir)
     last = lambda t: F.max(F.when(F.col("tile") == t, F.struct("y", "x")))
     ends = cells.groupBy("track").agg(last("start").alias("a"), last("finish").alias("b"))
     x, y = F.col("x"), F.col("y")
@@ -131,7 +133,7 @@ def completed_paths(spark, sf_dir):
 
 def connectivity(spark, sf_dir):
     """Whether each track's start tiles can reach a finish tile."""
-    cells = _marked(spark)
+    cells = _marked(spark, sf_dir)
     where = cells.filter("tile in ('start', 'finish')").select("track", (F.col("y") * 1_000_000 + F.col("x")).cast("long").alias("cell"), "tile")
     ends = G.regions(cells, ["track"], F.col("tile") != "wall").join(where, ["track", "cell"])
     both = ends.groupBy("track", "region").agg((F.countDistinct("tile") == 2).alias("joined")).groupBy("track").agg(F.max("joined").alias("connected"))
