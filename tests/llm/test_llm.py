@@ -53,6 +53,31 @@ def test_licence_expressions():
     assert read_expression("AND MIT") is None
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("MIT or later text", (["mit"], True)),
+        ("GPL-2.0 or later", (["gpl"], False)),
+        ("GPL-2.0-or-later OR MIT", (["gpl", "mit"], True)),
+        ("MIT/Apache-2.0", (["mit", "apache"], True)),
+        ("MIT, Apache-2.0 and GPL-3.0-only", (["mit", "apache", "gpl"], True)),
+        ("MIT, see the file", (["mit"], True)),
+        ("MIT AND GPL-2.0-only", (["mit", "gpl"], False)),
+        ("GPL-2.0-only WITH Linux-syscall-note", (["gpl"], False)),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", (["gpl"], True)),
+        ("GPL-2.0-only with love", (["gpl"], False)),
+        ("(MIT OR GPL-2.0-only) AND LicenseRef-Own", (["mit", "gpl", "custom"], False)),
+        ("Zlib // a comment", (["zlib"], True)),
+        ("mitigation", None),
+        ("later or MIT", None),
+        ("(MIT or", None),
+        ("", None),
+    ],
+)
+def test_licence_operands(text, want):
+    assert read_expression(text) == want
+
+
 def test_licence_places(spark):
     got = scan_licenses(docs(spark, [(1, "The MIT-License, mit license\nGeneral Public License")])).first()
     assert (got.n_words, got.n_base, got.first_word, got.last_word, got.base_labels) == (8, 3, 1, 5, "gpl,mit")

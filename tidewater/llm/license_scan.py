@@ -31,26 +31,32 @@ NOTICE_PHRASES = {
 }
 #: Tags before a licence expression (as words), and licence families by identifier prefix.
 TAGS = ("spdx license identifier", "license expression")
-FAMILIES = {"mit": "mit", "apache-": "apache", "gpl-": "gpl", "lgpl-": "lgpl", "agpl-": "agpl", "mpl-": "mpl", "epl-": "epl", "bsd-": "bsd", "isc": "isc", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0-": "public-domain", "unlicense": "public-domain", "bsl-": "bsl"}
-PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "cc-by", "public-domain", "bsl"})
+FAMILIES = {"mit": "mit", "apache-": "apache", "gpl-": "gpl", "lgpl-": "lgpl", "agpl-": "agpl", "mpl-": "mpl", "epl-": "epl", "bsd-": "bsd", "isc": "isc", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "cc0-": "public-domain", "unlicense": "public-domain", "bsl-": "bsl", "0bsd": "bsd", "zlib": "zlib", "x11": "x11", "ncsa": "ncsa", "postgresql": "postgresql", "artistic-": "artistic", "python-": "python", "psf-": "python", "wtfpl": "wtfpl", "cddl-": "cddl", "eupl-": "eupl", "ofl-": "ofl", "ms-pl": "ms-pl", "ms-rl": "ms-rl", "licenseref-": "custom"}
+#: Beginnings of exceptions that let a work under other terms be combined with the licensed one.
+LOOSENING = ("classpath-exception", "gcc-exception", "llvm-exception", "bison-exception", "autoconf-exception", "libtool-exception", "font-exception", "openjdk-assembly-exception", "u-boot-exception", "swift-exception", "wxwindows-exception")
+PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "cc-by", "public-domain", "bsl", "zlib", "x11", "ncsa", "postgresql", "python", "wtfpl"})
 
 #: Word bytes are digits, letters (upper case folded to lower) and all bytes over 0x7F; the others part words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _EXPRESSION = re.compile(r"(?:spdx-license-identifier|license-expression)\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
-_BINDING = {"or": 1, "and": 2, "with": 3}
+_TOKEN = re.compile(r"[()/,]|[a-z0-9][a-z0-9.+-]*")
+_BINDING = {"or": 1, "/": 1, ",": 1, "and": 2, "with": 3}
 
 
-def family(identifier: str) -> str:
-    best = max((p for p in FAMILIES if identifier.startswith(p)), key=len, default=None)
-    return FAMILIES[best] if best else identifier.rstrip(".")
+def family(identifier: str) -> str | None:
+    """The family of a licence identifier, null for a word that is none."""
+    name = identifier.rstrip(".+")
+    fits = [p for p in FAMILIES if name == p or name.startswith(p if p.endswith("-") else p + "-")]
+    return FAMILIES[max(fits, key=len)] if fits else None
 
 
 def read_expression(text: str) -> tuple[list[str], bool] | None:
     """Shunting-yard: (licence families in order, whether permissive terms can be chosen); None if malformed.
 
-    `or` lets the reader choose, `and` binds to both sides, `with` adds an exception to the licence on its left,
-    which loosens copyleft terms. An expression ends where the text stops to be one (trailing prose is left over).
+    `or` lets the reader choose, and so do a slash and a comma between identifiers; `and` binds to both sides; `with`
+    adds an exception to the licence on its left, and one of LOOSENING frees it. Only known identifiers, and those
+    that begin with LicenseRef-, are operands: an expression ends where the text stops to be one, and an operator
+    before a word that is no operand ("GPL-2.0 or later") belongs to what is left over.
     """
     output: list[tuple[str, bool]] = []
     pending: list[str] = []
@@ -60,7 +66,7 @@ def read_expression(text: str) -> tuple[list[str], bool] | None:
         if len(output) < 2:
             return False
         (right, free_r), (left, free_l) = output.pop(), output.pop()
-        free = free_l or free_r if op == "or" else free_l and free_r if op == "and" else True
+        free = free_l and free_r if op == "and" else free_l or free_r
         output.append((left, free))
         return True
 
@@ -69,6 +75,8 @@ def read_expression(text: str) -> tuple[list[str], bool] | None:
     for token in _TOKEN.findall(text.lower()):
         if token in _BINDING:
             if wants_operand:
+                if pending and pending[-1] in ("/", ",", "or", "and"):
+                    break
                 return None
             while pending and pending[-1] != "(" and _BINDING[pending[-1]] >= _BINDING[token]:
                 if not apply(pending.pop()):
@@ -77,7 +85,7 @@ def read_expression(text: str) -> tuple[list[str], bool] | None:
             wants_operand, after_with = True, token == "with"
         elif token == "(":
             if not wants_operand or after_with:
-                return None
+                break
             pending.append(token)
         elif token == ")":
             if wants_operand:
@@ -89,13 +97,16 @@ def read_expression(text: str) -> tuple[list[str], bool] | None:
                 break
             pending.pop()
         else:
-            if not wants_operand:
+            name = token if after_with and ("exception" in token or token.endswith("-note")) else None if after_with else family(token)
+            if not wants_operand or name is None:
                 break
-            name = token if after_with else family(token)
             if not after_with:
                 found.append(name)
-            output.append((name, after_with or name in PERMISSIVE))
+            output.append((name, name.startswith(LOOSENING) if after_with else name in PERMISSIVE))
             wants_operand = after_with = False
+    if wants_operand and found and pending and pending[-1] != "(":
+        pending.pop()  # an operator before what is no operand
+        wants_operand = False
     if wants_operand:
         return None
     while pending:
@@ -151,8 +162,9 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: places of licence phrases and what licence expressions say.
 
-    Null or empty text: 0 words, no labels, score 0. Null ids and repeated rows stay, each with its own row. An
-    empty table gives an empty result. A malformed expression is passed over. One narrow pass, no shuffle.
+    Null or empty text: 0 words, no labels, score 0. Null ids and repeated rows stay, each with its own row. Very long
+    texts are scanned whole. Ties don't arise: all places count, and labels are sorted. Extra columns play no part, whatever
+    their names. An empty table gives an empty result. A malformed expression is passed over. One narrow pass, no shuffle.
     """
 
     def run(batches):
