@@ -39,9 +39,10 @@ def outer_merge(spark, sf_dir):
 
 
 def lookup_first(spark, sf_dir):
-    """Suppliers with the first asset of their number's remainder; none: a stub row."""
-    firsts = first_per_key(V.assets(spark, sf_dir).filter("asset % 7 <> 3").withColumn("k", F.col("asset") % 7), ["k"], [F.col("asset")]).select("k", "asset", "symbol")
-    s = V.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 7).alias("k"))
+    """Suppliers with the first asset whose size is their number; larger numbers have none: a stub row."""
+    sized = V.table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("k"), F.col("p_partkey").alias("asset"), F.col("p_name").alias("symbol"))
+    firsts = first_per_key(sized, ["k"], [F.col("asset")])
+    s = V.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("k"))
     return lookup_join(s, firsts, ["k"], {"asset": -1, "symbol": "unknown"}).select("s_suppkey", "asset", "symbol")
 
 
@@ -164,7 +165,7 @@ SQL = {
     "anti_join": sql_with("positions", 'SELECT c_custkey AS "user", c_name FROM customer WHERE c_custkey NOT IN (SELECT "user" FROM positions)'),
     "semi_join": sql_with("positions", 'SELECT c_custkey AS "user", c_name FROM customer WHERE c_custkey IN (SELECT "user" FROM positions WHERE debt > 40000)'),
     "outer_merge_whole": "WITH a AS (SELECT l_partkey AS asset, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS q FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1), b AS (SELECT l_partkey AS asset, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS q FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1) SELECT asset, coalesce(a.q, 0.0) AS held, coalesce(b.q, 0.0) AS added, coalesce(a.q, 0.0) + coalesce(b.q, 0.0) AS amount FROM a FULL JOIN b USING (asset)",
-    "lookup_first": "WITH f AS (SELECT p_partkey % 7 AS k, min(p_partkey) AS asset, arg_min(p_name, p_partkey) AS symbol FROM part WHERE p_partkey % 7 <> 3 GROUP BY 1) SELECT s_suppkey, coalesce(asset, -1) AS asset, coalesce(symbol, 'unknown') AS symbol FROM supplier LEFT JOIN f ON k = s_suppkey % 7",
+    "lookup_first": "WITH f AS (SELECT p_size AS k, min(p_partkey) AS asset, arg_min(p_name, p_partkey) AS symbol FROM part GROUP BY 1) SELECT s_suppkey, coalesce(asset, -1) AS asset, coalesce(symbol, 'unknown') AS symbol FROM supplier LEFT JOIN f ON k = s_suppkey",
     "positional_prices": sql_with("assets", "SELECT kind, asset, price::DOUBLE AS price FROM assets"),
     "search": "SELECT c_custkey AS \"user\", c_name, c_mktsegment FROM customer WHERE lower(c_name) LIKE '%mach%' OR lower(c_mktsegment) LIKE '%mach%'",
     "filtered": "SELECT c_custkey AS \"user\", c_nationkey, c_mktsegment FROM customer WHERE c_nationkey = 3 AND c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')",

@@ -31,12 +31,12 @@ def _day():
 
 
 def revenue_and_value(spark, sf_dir):
-    """Daily revenue of two sources with the value of the same day, none where there is none; days in order."""
-    e = V.events(spark, sf_dir)
-    both = e.filter("kind = 'purchase'").unionByName(e.filter("kind = 'signup'")).groupBy(_day()).agg(F.sum("value").cast("double").alias("revenue"))
-    tvl = e.filter("kind = 'view' and market = 2 and event_id % 3 = 0").groupBy(_day()).agg(F.sum("value").cast("double").alias("tvl"))
-    rows = both.join(tvl, "day", "left")
-    return rows.withColumn("place", F.row_number().over(W.partitionBy().orderBy("day")).cast("long"))
+    """Revenue of two sources by minute with the value of the same minute, none where there is none; minutes in order."""
+    e = V.events(spark, sf_dir).withColumn("minute", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+    both = e.filter("kind = 'purchase'").unionByName(e.filter("kind = 'signup'")).groupBy("minute").agg(F.sum("value").cast("double").alias("revenue"))
+    tvl = e.filter("kind = 'view'").groupBy("minute").agg(F.sum("value").cast("double").alias("tvl"))
+    rows = both.join(tvl, "minute", "left").withColumn("before", -F.unix_micros(F.col("minute").cast("timestamp")))
+    return X.ranked(rows, "before", "minute", "place").select("minute", "revenue", "tvl", "place")
 
 
 def curve_lookup(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
@@ -47,11 +47,11 @@ def curve_lookup(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
 
 
 def days_by_kind(spark, sf_dir):
-    """Every day with every kind, and the mean value there, 0 without one: the product with a fixed list is an explode."""
-    e = V.events(spark, sf_dir)
-    every = e.select(_day()).distinct().withColumn("kind", F.explode(F.lit(list(KINDS))))
-    means = e.filter("market = 3").groupBy(_day(), "kind").agg((F.sum("value").cast("double") / F.count(F.lit(1))).alias("mean"))
-    return every.join(means, ["day", "kind"], "left").select("day", "kind", half_up(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
+    """Every hour with every kind, and the mean value there, 0 without one: the product with a fixed list is an explode."""
+    e = V.events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    every = e.select("hour").distinct().withColumn("kind", F.explode(F.lit(list(KINDS))))
+    means = e.groupBy("hour", "kind").agg((F.sum("value").cast("double") / F.count(F.lit(1))).alias("mean"))
+    return every.join(means, ["hour", "kind"], "left").select("hour", "kind", half_up(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
 
 
 def markets_by_denom(spark, sf_dir):
@@ -194,13 +194,13 @@ QUERIES = {f.__name__: f for f in (
 
 _R = lambda x, n=0: f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
 SQL = {
-    "revenue_and_value": sql_with("ev", """WITH b AS (SELECT ts::DATE AS day, sum(value)::DOUBLE AS revenue FROM ev WHERE kind IN ('purchase', 'signup') GROUP BY 1), t AS (SELECT ts::DATE AS day, sum(value)::DOUBLE AS tvl FROM ev WHERE kind = 'view' AND market = 2 AND event_id % 3 = 0 GROUP BY 1)
-SELECT day, revenue, tvl, row_number() OVER (ORDER BY day) AS place FROM b LEFT JOIN t USING (day)"""),
+    "revenue_and_value": sql_with("ev", """WITH b AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, sum(value)::DOUBLE AS revenue FROM ev WHERE kind IN ('purchase', 'signup') GROUP BY 1), t AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, sum(value)::DOUBLE AS tvl FROM ev WHERE kind = 'view' GROUP BY 1)
+SELECT minute, revenue, tvl, row_number() OVER (ORDER BY minute) AS place FROM b LEFT JOIN t USING (minute)"""),
     "curve_lookup": sql_with("ev", f"""WITH v AS (SELECT market, ts, max(value)::DOUBLE / 1000 AS u FROM ev WHERE kind = 'view' GROUP BY 1, 2), p AS (SELECT m AS market, TIMESTAMP '2024-01-15 12:00:00' AS ts FROM range(12) r(m)),
 a AS (SELECT p.*, v.ts AS ta, u AS va FROM p ASOF LEFT JOIN v ON p.market = v.market AND p.ts >= v.ts), b AS (SELECT a.*, v.ts AS tb, u AS vb FROM a ASOF LEFT JOIN v ON a.market = v.market AND a.ts <= v.ts)
 SELECT market, {_R("coalesce(CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL OR ta = tb THEN va ELSE va + ((epoch_us(ts) - epoch_us(ta)) / (epoch_us(tb) - epoch_us(ta))) * (vb - va) END, 0.5::DOUBLE)", 6)} AS used FROM b"""),
-    "days_by_kind": sql_with("ev", f"""WITH d AS (SELECT DISTINCT ts::DATE AS day FROM ev), k(kind) AS (VALUES {", ".join(f"('{k}')" for k in KINDS)}), m AS (SELECT ts::DATE AS day, kind, sum(value)::DOUBLE / count(*) AS mean FROM ev WHERE market = 3 GROUP BY 1, 2)
-SELECT day, kind, {_R("coalesce(mean, 0.0)", 6)} AS mean FROM d CROSS JOIN k LEFT JOIN m USING (day, kind)"""),
+    "days_by_kind": sql_with("ev", f"""WITH d AS (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS hour FROM ev), k(kind) AS (VALUES {", ".join(f"('{k}')" for k in KINDS)}), m AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, kind, sum(value)::DOUBLE / count(*) AS mean FROM ev GROUP BY 1, 2)
+SELECT hour, kind, {_R("coalesce(mean, 0.0)", 6)} AS mean FROM d CROSS JOIN k LEFT JOIN m USING (hour, kind)"""),
     "markets_by_denom": sql_with("positions", """WITH m AS (SELECT n_nationkey::BIGINT AS market, unnest([0, n_nationkey % 3 + 1])::BIGINT AS denom FROM nation), s AS (SELECT "user" % 25 AS market, position_id % 4 AS denom, sum(debt)::DOUBLE AS debt, count(*) AS n FROM positions GROUP BY 1, 2)
 SELECT market, denom, coalesce(debt, 0.0) AS debt, coalesce(n, 0) AS n FROM m LEFT JOIN s USING (market, denom)"""),
     "pools_of_assets": sql_with("assets ev", """WITH i AS (SELECT asset, unnest(list_distinct([asset % 10, asset % 6])) AS pool FROM assets), p AS (SELECT market AS pool, sum(value) AS total FROM ev GROUP BY 1) SELECT asset, sum(total)::DOUBLE AS total, count(*) AS n_pools FROM i JOIN p USING (pool) GROUP BY 1"""),

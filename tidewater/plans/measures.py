@@ -199,11 +199,11 @@ def range_rewards(spark, sf_dir):
 
 def delegations(spark, sf_dir):
     """Known delegates with what a user's own record says of them: its columns win where it has some, the amount is in
-    whole units and 0 without a record; the largest first, as places."""
-    n = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("delegate"), F.col("n_name").alias("name"), F.lit("0.05").alias("commission"))
-    own = V.table(spark, sf_dir, "customer").filter("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("delegate")).agg((F.sum(V.exact(F.greatest("c_acctbal", F.lit(0.0)), 2)) * 1000).cast("double").alias("raw"), F.when(F.max("c_custkey") % 2 == 0, F.lit("0.1")).alias("own"))
-    rows = n.join(own, "delegate", "left").select("delegate", "name", F.coalesce("own", "commission").alias("commission"), half_up(F.coalesce("raw", F.lit(0.0)) / 1_000_000).cast("long").alias("amount"))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy().orderBy(F.desc("amount"), "delegate")).cast("long"))
+    whole units and 0 without a record (most have none); the largest first, as places."""
+    known = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("delegate"), F.col("c_name").alias("name"), F.lit("0.05").alias("commission"))
+    own = V.table(spark, sf_dir, "supplier").groupBy(F.col("s_suppkey").alias("delegate")).agg((F.sum(V.exact(F.greatest("s_acctbal", F.lit(0.0)), 2)) * 1000).cast("double").alias("raw"), F.when(F.max("s_nationkey") % 2 == 0, F.lit("0.1")).alias("own"))
+    rows = known.join(own, "delegate", "left").select("delegate", "name", F.coalesce("own", "commission").alias("commission"), half_up(F.coalesce("raw", F.lit(0.0)) / 1_000_000).cast("long").alias("amount"))
+    return X.ranked(rows, "amount", "delegate", "place").select("delegate", "name", "commission", "amount", "place")
 
 
 def either_key(spark, sf_dir):
@@ -217,7 +217,7 @@ def either_key(spark, sf_dir):
 
 def fanned_out(spark, sf_dir):
     """Price series of a coin for each denomination that uses it; a coin that none uses gives no row."""
-    coins = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("denom"), (F.col("p_size") % 11).cast("long").alias("coin")).filter("denom % 4 <> 1")
+    coins = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("denom"), (F.col("p_size") % 11).cast("long").alias("coin"))
     daily = V.events(spark, sf_dir).filter("kind = 'view'").groupBy(F.col("market").alias("coin"), F.to_date("ts").alias("day")).agg(F.max("value").cast("double").alias("price"))
     last = daily.groupBy("coin").agg(F.max("day").alias("day"), F.max_by("price", "day").alias("price"), F.count(F.lit(1)).alias("days"))
     return coins.join(last, "coin").select("denom", "coin", "day", "price", "days")
@@ -364,13 +364,13 @@ SELECT "user", CASE WHEN most = 0 THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, {_R
 SELECT row, '$' || CASE WHEN x >= 1e9 THEN {_ABBR("x / 1e9", "B")} WHEN x >= 1e6 THEN {_ABBR("x / 1e6", "M")} WHEN x >= 1e3 THEN {_ABBR("x / 1e3", "K")} ELSE {_ABBR("x", "")} END AS tvl, m || 'x' AS multiplier, row_number() OVER (ORDER BY m DESC, row) AS place FROM s""",
     "range_rewards": sql_with("ev", f"""WITH f AS (SELECT market, value, row_number() OVER (PARTITION BY market ORDER BY event_id) - 1 AS i FROM ev WHERE kind = 'click')
 SELECT market, {", ".join(_R(f"coalesce(sum(value) FILTER (i BETWEEN {a} AND {b}), 0)::DOUBLE / {b - a + 1}", 6) + f" AS {n}" for n, a, b in (("lower", 0, 4), ("middle", 5, 9), ("upper", 10, 14), ("whole", 0, 14)))} FROM f WHERE i < 15 GROUP BY 1"""),
-    "delegations": f"""WITH o AS (SELECT c_nationkey AS delegate, (sum(greatest(c_acctbal, 0)::DECIMAL(18,2)) * 1000)::DOUBLE AS raw, CASE WHEN max(c_custkey) % 2 = 0 THEN '0.1' END AS own FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1),
-r AS (SELECT n_nationkey AS delegate, n_name AS name, coalesce(own, '0.05') AS commission, ({_R("coalesce(raw, 0.0::DOUBLE) / 1000000")})::BIGINT AS amount FROM nation LEFT JOIN o ON delegate = n_nationkey)
+    "delegations": f"""WITH o AS (SELECT s_suppkey AS delegate, (sum(greatest(s_acctbal, 0)::DECIMAL(18,2)) * 1000)::DOUBLE AS raw, CASE WHEN max(s_nationkey) % 2 = 0 THEN '0.1' END AS own FROM supplier GROUP BY 1),
+r AS (SELECT c_custkey AS delegate, c_name AS name, coalesce(own, '0.05') AS commission, ({_R("coalesce(raw, 0.0::DOUBLE) / 1000000")})::BIGINT AS amount FROM customer LEFT JOIN o ON delegate = c_custkey)
 SELECT *, row_number() OVER (ORDER BY amount DESC, delegate) AS place FROM r""",
     "either_key": sql_with("assets", """WITH k AS (SELECT asset::VARCHAR AS key, 0 AS rank, max_borrow_ltv::DOUBLE AS ltv FROM assets UNION ALL SELECT symbol, 1, max_borrow_ltv::DOUBLE FROM assets), f AS (SELECT key, arg_min(ltv, (rank, ltv)) AS ltv FROM k GROUP BY 1)
 SELECT l_orderkey, l_linenumber, coalesce(ltv, 0.0) AS ltv FROM lineitem LEFT JOIN f ON key = CASE WHEN l_linenumber % 2 = 0 THEN l_partkey::VARCHAR ELSE 'unknown' END"""),
     "fanned_out": sql_with("ev", """WITH d AS (SELECT market AS coin, ts::DATE AS day, max(value)::DOUBLE AS price FROM ev WHERE kind = 'view' GROUP BY 1, 2), l AS (SELECT coin, max(day) AS day, arg_max(price, day) AS price, count(*) AS days FROM d GROUP BY 1)
-SELECT p_partkey AS denom, coin::BIGINT AS coin, day, price, days FROM part JOIN l ON coin = p_size % 11 WHERE p_partkey % 4 <> 1"""),
+SELECT p_partkey AS denom, coin::BIGINT AS coin, day, price, days FROM part JOIN l ON coin = p_size % 11"""),
     "tolerant_union": "SELECT s_nationkey::BIGINT AS market, count(*) AS n FROM supplier WHERE s_suppkey % 9 <> 4 GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM supplier WHERE s_suppkey % 9 = 4",
     "absent_rank": sql_with("positions", """WITH p AS (SELECT "user", sum(debt) AS points FROM positions GROUP BY 1), r AS (SELECT "user", row_number() OVER (ORDER BY points DESC, "user") AS rank, count(*) OVER () AS total FROM p)
 SELECT a."user", rank, coalesce(rank::VARCHAR, '0') AS lockdrop_rank, (SELECT count(*) FROM p) AS total FROM (VALUES (1::BIGINT), (4), (-5)) a("user") LEFT JOIN r ON r."user" = a."user\""""),
