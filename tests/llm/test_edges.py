@@ -120,3 +120,22 @@ def test_stage_docstrings_state_the_cases():
     for _, stage in corpus_pipeline.STAGES:
         text = stage.__doc__.lower()
         assert all(word in text for word in ("null", "empty", "long", "repeated", "names"))
+
+
+def test_empty_tables_and_unreadable_media(spark):
+    from pyspark.sql import functions as F
+
+    none = docs(spark, [])
+    assert scan_licenses(none).collect() == encode_media(none).collect() == media_digest(encode_media(none)).collect() == []
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert tox.score_toxicity(none, labels).collect() == []
+    media = encode_media(docs(spark, [(1, "text"), (2, "text")])).unionByName(spark.createDataFrame([(3, 4, None), (4, 5, bytearray(b"RIFF broken"))], "doc_id long, n_bytes long, media binary"))
+    got = {r.doc_id: r for r in media_digest(media.withColumn("feature", F.lit("clash"))).collect()}
+    assert got[1].payload_sha256 == got[2].payload_sha256 and got[3].media_bytes is None and (got[4].media_bytes, got[4].payload_bytes) == (11, None)
+
+
+def test_a_very_long_url_and_a_tie(spark):
+    url = "https://Sub.Example.com/en/7" + "x" * 300_000 + "?q#f"
+    pages = spark.createDataFrame([(1, url, "clash"), (1, url, "clash"), (None, "https://example.net/de/8" + "/a" * 100_000, None)], "page_id long, url string, rule string")
+    got = sorted((r.page_id or 0, r.rule, r.verdict) for r in judge_urls(pages).collect())
+    assert got == [(0, "example.net/de/8", "block"), (1, "example.com/en/7", "allow"), (1, "example.com/en/7", "allow")]

@@ -295,7 +295,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     the body counts, and if all of it would go as repeated, only the marked noise goes.
 
     Blocks are joined by an empty line; white space within one becomes one blank. Null or empty html: an empty text.
-    Null urls, and urls without a host, share the host ''. Null ids and repeated rows stay. An empty table: no rows.
+    Null urls, and urls without a host, share the host ''. Null ids and repeated rows stay. Very long
+    pages are parsed whole. Ties of importance need no rule, as branches are judged by a threshold. Extra columns play no
+    part, whatever their names. An empty table: no rows.
     Rules reach the pages by broadcast if they are few enough, else by a join on host in which each host is dealt
     over SALTS shares.
     """

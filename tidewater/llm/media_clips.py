@@ -231,7 +231,9 @@ def find_shots(frames: np.ndarray, reach: int = 12, factor: float = 3.0, least:
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media (binary): each text's UTF-8 bytes, padded with blanks to whole frames, as an AVI
-    file. Null text counts as empty, which gives one blank frame. Null ids and repeated rows stay; narrow."""
+    file. Null text counts as empty, which gives one blank frame. Very long texts are stored whole, in more frames. Null ids
+    and repeated rows stay (there are no ties); extra columns play no part, whatever their names; an empty table gives none.
+    Narrow."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches):
@@ -268,7 +270,10 @@ def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 def media_digest(media: DataFrame) -> DataFrame:
     """What encode_media's column holds, read back from its stored bytes: payload and file digests, and the shots.
 
-    feature: frames, shots and the shots' lengths in frames, as `frames=3 shots=2 lengths=1,2`.
+    feature: frames, shots and the shots' lengths in frames, as `frames=3 shots=2 lengths=1,2`. Null media have
+    a row with nulls, and so have media that can't be read, but for their own size and digest. Repeated rows have equal
+    results, very long files are read whole, and there are no ties. Columns beside the three that are read play no part.
+    An empty table gives none.
     """
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     schema = pa.schema(kinds)
@@ -277,11 +282,19 @@ def media_digest(media: DataFrame) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for data in batch.column(2).to_pylist():
-                frames = read_frames(data)[1]
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
+                stored = len(data), hashlib.sha256(data).hexdigest()
+                try:
+                    frames = read_frames(data)[1]
+                except (ValueError, struct.error, IndexError):
+                    rows.append((None, None, None, *stored, None))
+                    continue
                 payload = frames.tobytes()
                 shots = find_shots(frames)
                 feature = f"frames={len(frames)} shots={len(shots)} lengths={','.join(str(b - a + 1) for a, b in shots)}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * 6, kinds[2:]))], schema=schema)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or empty texts, and texts without words, have no shingles and are linked with nothing. Rows without an id
     are linked with nothing, and have no component_id and kept null. Rows that share an id count as linked, each with
     the links of its own text. Ties need no rule: the result depends on links alone. Very long texts are sets like
-    others, whole. An empty table gives an empty result.
+    others, whole. Extra columns play no part, whatever their names. An empty table gives an empty result.
     """
     named_docs = documents_of(docs, id_col, text_col).select(row_key().alias("row"), "doc_id", "text")
     base = stash(named_docs.mapInArrow(_describe(bands, rows, shingle), "row long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "near-base")

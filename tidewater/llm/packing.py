@@ -150,7 +150,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     bins (or pieces, in round 0) at once. Every round is written to the shared folder.
 
     Null text is empty: one piece that holds the end id alone. Null ids and repeated rows stay, each with pieces of
-    its own. An empty table gives no rows. Texts over `capacity` ids are cut; the first piece may be shorter.
+    its own. Pieces of one length (ties) may stand in any order. Extra columns play no part, whatever their names. An
+    empty table gives no rows. Texts over `capacity` ids are cut; the first piece may be shorter.
     """
     state = stash(documents_of(docs, id_col, text_col).mapInArrow(_local_round(capacity, vocabulary), BIN_SCHEMA), "pack-0")
     done, round_no, slack = [state.filter("done")], 0, SLACK

@@ -440,7 +440,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels (doc_id, toxic) are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1; with none, or with one
     label only, every score is the same low one. A score depends on the text alone. Null and empty texts, and texts
     without words, have one empty window. A null id isn't held out. Repeated rows each have their row; an empty table
-    gives none. Scoring is one narrow pass: the fitted model has a fixed size and is broadcast.
+    gives none. Very long texts are scored in all of their windows; the highest window counts, so ties need no rule, and a
+    score on the threshold is predicted toxic. Extra columns play no part, whatever their names. Scoring is one narrow pass: the fitted model has a fixed size and is broadcast.
     """
     source = documents_of(docs, id_col, text_col)
     if model is None:
@@ -458,7 +459,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with their own columns, whose text scores below the threshold. One narrow pass."""
+    """The rows of docs, with their own columns, whose text scores below the threshold (a tie goes). Null and empty texts
+    have one empty window, very long ones are scored whole, repeated rows alike. Extra columns keep their values, whatever their
+    names. An empty table gives an empty one; without labels all stay. One narrow pass."""
     if model is None:
         model = fit(*fitting_sample(documents_of(docs, id_col, text_col), labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -122,7 +122,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     """One row per input row: host, path, the longest rule that fits, and the verdict.
 
     Null urls and urls without `://` have an empty host and path, no rule and the default verdict. Where no rule
-    fits, the default verdict holds. Null ids and repeated rows stay. The index (checked against MAX_INDEX_BYTES)
+    fits, the default verdict holds. Null ids and repeated rows stay. Very long urls are probed whole. Rules of one length (a
+    tie) go to the one with the longer host. Extra columns play no part, whatever their names. An empty table: no rows. The index (checked against MAX_INDEX_BYTES)
     goes to every executor once, through Spark's file distribution, and is memory-mapped there; the pass is narrow.
     """
     spark: SparkSession = pages.sparkSession
