@@ -139,3 +139,12 @@ def test_a_very_long_url_and_a_tie(spark):
     pages = spark.createDataFrame([(1, url, "clash"), (1, url, "clash"), (None, "https://example.net/de/8" + "/a" * 100_000, None)], "page_id long, url string, rule string")
     got = sorted((r.page_id or 0, r.rule, r.verdict) for r in judge_urls(pages).collect())
     assert got == [(0, "example.net/de/8", "block"), (1, "example.com/en/7", "allow"), (1, "example.com/en/7", "allow")]
+
+
+def test_comments_teasers_and_leads():
+    text = lambda page: main_text(parse(page), frozenset())
+    assert text('<article><p>Text.</p><section class="user-comments"><p>nice</p></section></article>') == "Text."
+    assert text('<article class="card"><p>Teaser</p></article><article><p>Real</p></article>') == "Real"
+    assert text('<article class="card"><p>Only</p></article>') == "Only"
+    assert text('<div class="lead">Lead in.</div><article><p>Real</p></article>') == "Lead in.\n\nReal"
+    assert text('<body class="has-comments"><div class="post no-comments"><article><p>Real</p></article></div></body>') == "Real"

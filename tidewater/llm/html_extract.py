@@ -41,6 +41,12 @@ SCOPES = frozenset("article aside body div footer form header html main nav ol s
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg math object canvas button input select textarea dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that mark what readers or advertisers add, whatever stands beside them, and words that only say that
+#: there is such a thing; words of teasers, which count only where there is no other article; and words of leads.
+ADDED_WORDS = frozenset("comment comments disqus replies advert adverts advertisement advertising sponsored".split())
+STATE_WORDS = frozenset("allow allowed closed count disabled enabled free has no off on open supports with without".split())
+TEASER_WORDS = frozenset("card cards teaser teasers preview previews tile tiles".split())
+LEAD_WORDS = frozenset("abstract deck dek intro introduction lead lede standfirst subtitle summary".split())
 PLACE_WORDS = frozenset("area bar block body bottom box button buttons container content form global group holder inner item items left link links list main mobile outer page panel primary right row section secondary site slot text thread top unit wrap wrapper".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
@@ -70,6 +76,8 @@ def _says_noise(names: str) -> bool:
         words = _WORDS.findall(name)
         if not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in PLACE_WORDS for w in words):
             return True
+        if not ADDED_WORDS.isdisjoint(words) and STATE_WORDS.isdisjoint(words):
+            return True
     return False
 
 
@@ -211,6 +219,11 @@ def style_nodes(root: Element) -> list[tuple[int, int, int]]:
     return [(p, s.intdigest() - (1 << 63), c.intdigest() - (1 << 63)) for p, (s, c) in seen.items()]
 
 
+def _words_of(e: Element) -> list[str]:
+    """The words of an element's classes."""
+    return _WORDS.findall(e.label[len(e.tag) :])
+
+
 def _protected(e: Element) -> bool:
     """What markup itself declares to be the article: it, and its plain text blocks. No statistic removes these."""
     return e.tag in ("#", "html", "body", "article", "main") or (e.article and e.label == e.tag and e.tag in TEXT_BLOCKS)
@@ -219,7 +232,8 @@ def _protected(e: Element) -> bool:
 def main_text(root: Element, low: frozenset[int]) -> str:
     """The blocks of the article elements, or where there are none of the body, without noise and low branches.
 
-    With an article, paragraphs and headings beside it, or beside what holds it, count as well (a lead above it)."""
+    With an article, paragraphs, headings and what is named a lead beside it, or beside what holds it, count as well.
+    Articles that are named teasers count only where there is no other."""
     skip = lambda e: e.prior or (not _protected(e) and e.tag not in INLINE and e.path in low)
     order, todo = [], [root]
     while todo:
@@ -228,7 +242,9 @@ def main_text(root: Element, low: frozenset[int]) -> str:
             order.append(e)
             if e.tag not in ("article", "main"):
                 todo.extend(reversed(e.children))
-    holds = {id(e) for e in order if e.tag in ("article", "main")}
+    found = [e for e in order if e.tag in ("article", "main")]
+    teasers = {id(e) for e in found if not TEASER_WORDS.isdisjoint(_words_of(e))}
+    holds = {id(e) for e in found if id(e) not in teasers} or teasers
     if holds:
         for e in reversed(order):
             if any(id(c) in holds for c in e.children):
@@ -236,13 +252,13 @@ def main_text(root: Element, low: frozenset[int]) -> str:
         whole, out = [root], []
         while whole:
             e = whole.pop()
-            if e.prior:
+            if e.prior or id(e) in teasers and teasers is not holds:
                 continue
             if e.tag in ("article", "main"):
                 out += _blocks(_pieces(e, skip))
             elif id(e) in holds:
                 whole.extend(reversed(e.children))
-            elif e.tag in LEADS and not skip(e):
+            elif (e.tag in LEADS or not LEAD_WORDS.isdisjoint(_words_of(e))) and not skip(e):
                 out += _blocks(_pieces(e, skip))
         return "\n\n".join(out)
     kept = _blocks(_pieces(root, skip)) or _blocks(_pieces(root, lambda e: e.prior))
