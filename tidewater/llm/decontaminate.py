@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import LOWER, checked, documents_of, in_bits, membership_bits, mix, raw, routed, row_key, sequence_hash, slices, stash, with_rest, word_bounds, word_hashes
+from tidewater.llm.common import LOWER, checked, documents_of, in_bits, marked_rows, membership_bits, mix, raw, row_key, sequence_hash, slices, stash, word_bounds, word_hashes
 
 #: A window of tokens is contaminated if at most SUBSTITUTIONS of them differ from a test item's at the same places.
 WINDOW, SUBSTITUTIONS = 16, 3
@@ -138,7 +138,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     lines = hits.groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     facts = items.select("item", "item_ids", "tokens")
     per_doc = stash(lines.join(facts, "item").groupBy("key").agg(F.collect_list(F.struct("shifts", "item_ids", "tokens")).alias("hits")), "bench-hits")
-    rows = routed(with_rest(docs, id_col, text_col), per_doc, "key").select("rest", "text", "hits")
+    rows = marked_rows(docs, per_doc, id_col, text_col).select("rest", "text", "hits")
     out = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_contaminated", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(_verify, out)
 
@@ -164,6 +164,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their own columns, in which find_contamination finds nothing."""
+    """The rows of docs, with their own columns, in which find_contamination finds nothing. Null and empty texts stay, and
+    null or empty items match nothing; very long texts are searched whole; repeated rows share their fate; there are no
+    ties. Extra columns keep their values, whatever their names. Empty tables: no rows, or all rows."""
     rows = _verified(docs, benchmark, id_col, text_col, item_col, item_text_col).filter("n_contaminated = 0")
     return rows.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

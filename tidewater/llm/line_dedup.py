@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import documents_of, in_bits, membership_bits, raw, routed, row_key, slices, stash, with_rest, word_bounds
+from tidewater.llm.common import documents_of, in_bits, marked_rows, membership_bits, raw, routed, row_key, slices, stash, word_bounds
 
 #: The shortest run, in lines, whose later copies go. A power of two, so that it is one level of the doubling.
 MIN_LINES = 2
@@ -158,7 +158,7 @@ def _rewritten(docs: DataFrame, id_col: str, text_col: str, min_lines: int, long
         repeats = long if repeats is None else repeats.unionByName(long)
     marks = marks.filter("start is not null or single is not null or n_rows is not null")
     found = stash(marks.groupBy("key").agg(F.collect_set("start").alias("starts"), F.collect_set("single").alias("singles"), F.max("n_rows").alias("n_rows")), "line-marks")
-    rows = routed(with_rest(docs, id_col, text_col), found, "key")
+    rows = marked_rows(docs, found, id_col, text_col)
     plain = ["key", "rest", "text", "starts", "singles"]
     once = rows.filter("n_rows is null").select(*plain, F.lit(False).alias("repeat"))
     if found.filter("n_rows is not null").limit(1).count():
