@@ -19,7 +19,7 @@ def _per_position(spark, sf_dir):
     v = F.col("value")
     sums = V.valued(spark, sf_dir).groupBy("user", "position_id").agg(
         F.sum(v).alias("tvl_"), F.sum(v * F.col("max_ltv")).alias("liq_"), F.sum(v * F.col("max_borrow_ltv")).alias("borrow_"), F.sum(v * F.col("rate")).alias("cost_"), F.count(F.lit(1)).alias("n_assets"))
-    joined = sums.join(V.positions(spark, sf_dir).select("position_id", "debt"), "position_id")
+    joined = sums.join(V.positions(spark, sf_dir).select("position_id", "debt").repartition(V.tasks(spark, sf_dir), "position_id"), "position_id")
     d = lambda c: F.col(c).cast("double")
     return joined.filter("tvl_ > 0").select("user", "position_id", "n_assets", d("debt").alias("debt"), d("tvl_").alias("tvl"), (d("liq_") / d("tvl_") * 100).alias("liquidation_ltv"), trunc_dp(d("borrow_") / d("tvl_") * 100, 2).alias("borrow_ltv"), (d("cost_") / d("tvl_")).alias("cost")).withColumn("ltv", L.ltv(F.col("debt") * CREDIT_PRICE, F.col("tvl")))
 

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from tidewater.functions.numeric import exact
 
 
+#: Rows of the largest table that one task of a shuffle holds, about.
+TASK_ROWS = 500_000
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks a shuffle of all lines needs, so that a task's memory doesn't grow with the input. Adaptive
+    execution sizes tasks by compressed bytes, and these rows grow more than twentyfold in memory. Files' footers give
+    the number of rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,10 +32,21 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size").cast("decimal(6,0)") / F.lit(1000).cast("decimal(5,0)")).cast("decimal(6,3)").alias("rate"), (F.col("p_type") == "ECONOMY").alias("stable"), F.col("p_type").alias("kind"))
 
 
+def _amounts(spark: SparkSession, sf_dir: str, n: int, key: str) -> DataFrame:
+    """position_id, asset, amount; dealt to n tasks by the key, which is one of the two"""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("position_id"), F.col("l_partkey").alias("asset"), exact(F.col("l_quantity"), 2).alias("amount"))
+    return lines.repartition(n, key).groupBy("position_id", "asset").agg(F.sum("amount").alias("amount"))
+
+
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user, position_id, asset, amount: one row per position and asset"""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("position_id"), F.col("l_partkey").alias("asset")).agg(F.sum(exact(F.col("l_quantity"), 2)).alias("amount"))
-    return lines.join(positions(spark, sf_dir).select("position_id", "user"), "position_id").select("user", "position_id", "asset", "amount")
+    n = tasks(spark, sf_dir)
+    return _amounts(spark, sf_dir, n, "position_id").join(users(spark, sf_dir, n), "position_id").select("user", "position_id", "asset", "amount")
+
+
+def users(spark: SparkSession, sf_dir: str, n: int, *columns: str) -> DataFrame:
+    """position_id, user and other columns of positions; dealt to n tasks by position_id"""
+    return positions(spark, sf_dir).select("position_id", "user", *columns).repartition(n, "position_id")
 
 
 def positions(spark: SparkSession, sf_dir: str, debt_factor: str = "0.1") -> DataFrame:
@@ -34,8 +56,13 @@ def positions(spark: SparkSession, sf_dir: str, debt_factor: str = "0.1") -> Dat
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings with the asset's columns and value; an asset without a price is worth 0. The shared core of the
-    position reports: two equality joins, the small side chosen by Spark at run time."""
-    return holdings(spark, sf_dir).join(assets(spark, sf_dir), "asset", "left").withColumn("value", F.coalesce((F.col("amount") * F.col("price")).cast("decimal(28,4)"), F.lit(0).cast("decimal(28,4)")))
+    position reports: two equality joins. Lines are dealt by asset and then by position, which joins and groupings by
+    position need no third time."""
+    n = tasks(spark, sf_dir)
+    priced = _amounts(spark, sf_dir, n, "asset").join(assets(spark, sf_dir).repartition(n, "asset"), "asset", "left")
+    priced = priced.withColumn("value", F.coalesce((F.col("amount") * F.col("price")).cast("decimal(28,4)"), F.lit(0).cast("decimal(28,4)")))
+    held = priced.repartition(n, "position_id").join(users(spark, sf_dir, n), "position_id")
+    return held.select("asset", "user", "position_id", *(c for c in priced.columns if c not in ("asset", "position_id")))
 
 
 def queue_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
