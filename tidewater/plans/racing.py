@@ -16,12 +16,14 @@ MOST_STARTS, MOST_FINISHES, LEAST_SIDE, MOST_SIDE = 10, 5, 5, 50
 
 def _grid(spark, sf_dir):
     """A track for each supplier, SIDE x SIDE: its lines fall on tiles by order and part, and how many lie on a tile
-    makes it a wall, a boost or road. Tiles without lines are there, too."""
+    makes it a wall, a boost or road. Tiles without lines are there, too. They come from a small file but are many, so
+    both sides are dealt by track and merged, not broadcast."""
     side = F.sequence(F.lit(0), F.lit(SIDE - 1))
-    every = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track"), F.explode(side).alias("x")).withColumn("y", F.explode(side))
-    lines = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("track"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"), (F.col("l_partkey") % SIDE).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    n = V.tasks(spark, sf_dir)
+    every = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track")).repartition(n, "track").select("track", F.explode(side).alias("x")).withColumn("y", F.explode(side))
+    lines = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("track"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"), (F.col("l_partkey") % SIDE).cast("int").alias("y")).repartition(n, "track").groupBy("track", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return every.join(lines, ["track", "x", "y"], "left").select("track", "y", "x", F.when(n % 4 == 0, "wall").when(n % 5 == 3, "boost").otherwise("road").alias("tile"))
+    return every.hint("merge").join(lines, ["track", "x", "y"], "left").select("track", "y", "x", F.when(n % 4 == 0, "wall").when(n % 5 == 3, "boost").otherwise("road").alias("tile"))
 
 
 _GRID_SQL = f"""l AS (SELECT l_suppkey AS track, (l_orderkey % {SIDE})::INT AS x, (l_partkey % {SIDE})::INT AS y, count(*) AS n FROM lineitem GROUP BY ALL), c0 AS (SELECT s_suppkey AS track, x::INT AS x, y::INT AS y FROM supplier, range({SIDE}) a(x), range({SIDE}) b(y)),
@@ -135,7 +137,7 @@ def connectivity(spark, sf_dir):
     """Whether each track's start tiles can reach a finish tile."""
     cells = _marked(spark, sf_dir)
     where = cells.filter("tile in ('start', 'finish')").select("track", (F.col("y") * 1_000_000 + F.col("x")).cast("long").alias("cell"), "tile")
-    ends = G.regions(cells, ["track"], F.col("tile") != "wall").join(where, ["track", "cell"])
+    ends = G.regions(cells, ["track"], F.col("tile") != "wall").join(where.hint("merge"), ["track", "cell"])
     both = ends.groupBy("track", "region").agg((F.countDistinct("tile") == 2).alias("joined")).groupBy("track").agg(F.max("joined").alias("connected"))
     return cells.select("track").distinct().join(both, "track", "left").select("track", F.coalesce("connected", F.lit(False)).alias("connected"))
 
