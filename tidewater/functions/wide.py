@@ -1,13 +1,18 @@
 """Arithmetic on whole numbers of any length, in strings: limbs of six digits in arrays, carries by folds.
 
-A number is a string of digits; anything else (signs, blanks, nothing) counts as null. Products of limbs are below
-10 ** 12, so sums of millions of them fit a long. All of it is built-in expressions.
+A number is a string of digits; anything else (signs, blanks, nothing) counts as null. Sums and
+comparisons are built-in expressions. Products and quotients take a step for each pair of limbs or digit, for which
+Spark interprets an expression; Python's own whole numbers, a batch of rows at a time, are far faster there.
 """
 
 from __future__ import annotations
 
+import sys
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIGITS, BASE = 6, 1_000_000
 
@@ -61,17 +66,26 @@ def wide_add(*texts: Column) -> Column:
     return _let(F.array(*map(digits, texts)), added)
 
 
-def wide_product(a: Column, b: Column) -> Column:
-    """a * b, whole numbers of any length. Each limb of the product is a sum over pairs of limbs, then carried."""
+@F.pandas_udf(T.StringType())
+def _products(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _whole(a, b, lambda x, y: x * y)
+
 
-    def product(x: Column, y: Column) -> Column:
-        def at(k: Column) -> Column:
-            places = F.sequence(F.greatest(F.lit(0), k - F.size(y) + 1), F.least(k, F.size(x) - 1))
-            return F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s + F.element_at(x, i + 1) * F.element_at(y, k - i + 1))
+@F.pandas_udf(T.StringType())
+def _quotients(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _whole(a, b, lambda x, y: x // y if y else None)
 
-        return number(carried(F.transform(F.sequence(F.lit(0), F.size(x) + F.size(y) - 2), at)))
 
-    return _let(digits(a), lambda p: _let(digits(b), lambda q: F.when(p.isNotNull() & q.isNotNull(), _let(limbs(p), lambda x: _let(limbs(q), lambda y: product(x, y))))))
+def _whole(a: pd.Series, b: pd.Series, of) -> pd.Series:
+    """of(a, b) as strings, row by row; null where either is null or the result is."""
+    sys.set_int_max_str_digits(0)
+    results = (None if x is None or y is None else of(int(x), int(y)) for x, y in zip(a, b))
+    return pd.Series([None if r is None else str(r) for r in results], dtype=object)
+
+
+def wide_product(a: Column, b: Column) -> Column:
+    """a * b, whole numbers of any length."""
+    return _products(digits(a), digits(b))
 
 
 def wide_compare(a: Column, b: Column) -> Column:
@@ -86,30 +100,5 @@ def wide_compare(a: Column, b: Column) -> Column:
 
 
 def wide_quotient(a: Column, b: Column) -> Column:
-    """The whole part of a / b, whole numbers of any length; null for a zero divisor.
-
-    Long division, a digit of a at a time: the largest of ten multiples of b that the remainder holds is the quotient's
-    digit. Remainder and multiples have one length, the greatest limb first, so arrays compare as numbers. Leading
-    digits of a that are shorter than b are the first remainder.
-    """
-
-    def divided(p: Column, q: Column) -> Column:
-        size = (F.ceil(F.length(q) / DIGITS) + 1).cast("int")
-        first = F.length(q) - 1
-        fit = lambda parts: F.reverse(F.slice(carried(parts), F.lit(1), size))
-        multiples = _let(limbs(q, size), lambda one: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: fit(F.transform(one, lambda x: x * k))))
-        head = F.when(first > 0, F.substring(p, F.lit(1), first)).otherwise("0")
-        start = F.struct(F.reverse(F.slice(limbs(head, size), F.lit(1), size)).alias("rest"), F.lit("").alias("out"))
-
-        def over(table: Column) -> Column:
-            def step(state: Column, digit: Column) -> Column:
-                shifted = fit(F.transform(F.reverse(state["rest"]), lambda x, i: x * 10 + F.when(i == 0, digit).otherwise(0)))
-                take = lambda rest: _let(F.size(F.filter(table, lambda m: m <= rest)), lambda n: F.struct(fit(F.zip_with(F.reverse(rest), F.reverse(F.element_at(table, n)), lambda x, y: x - y)).alias("rest"), F.concat(state["out"], (n - 1).cast("string")).alias("out")))
-                return _let(shifted, take)
-
-            each = F.transform(F.sequence(first + 1, F.length(p)), lambda i: F.substring(p, i, F.lit(1)).cast("long"))
-            return F.regexp_replace(F.aggregate(each, start, step)["out"], "^0+(?=.)", "")
-
-        return F.when(p.isNotNull() & q.isNotNull() & (q != "0"), F.when(F.length(p) < F.length(q), "0").otherwise(_let(multiples, over)))
-
-    return _let(digits(a), lambda p: _let(digits(b), lambda q: divided(p, q)))
+    """The whole part of a / b, whole numbers of any length; null for a zero divisor."""
+    return _quotients(digits(a), digits(b))
