@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions.wide import wide_product, wide_quotient
-from tidewater.operators import grid
-from tidewater.plans import lending, measures, racing
+from tidewater.operators import grid, scan
+from tidewater.plans import further, lending, measures, racing, series
 from tidewater.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,22 @@ def test_a_position_is_held_in_tasks_of_bounded_rows(spark, monkeypatch):
     for df in (lending.risky_positions(spark, SF), measures.liquidation_prices(spark, SF)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert f"{views.tasks(spark, SF)}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_what_looks_ahead_runs_over_the_rows_the_other_way_round(spark):
+    df = spark.range(200).withColumn("v", F.when(F.col("id") % 7 == 3, F.col("id"))).withColumn("k", F.col("id") % 2)
+    for out in (scan.running(df, ["k"], ["id"], {"next": scan.upcoming("v")}), scan.scanned(df, ["k"], ["id"], {"next": scan.upcoming("v")}, 5)):
+        want = {i: min((j for j in range(i, 200, 2) if j % 7 == 3), default=None) for i in range(200)}
+        assert {r.id: r.next for r in out.collect()} == want
+        assert out.columns == ["id", "v", "k", "next"]
+    plan = scan.running(df, ["k"], ["id"], {"next": scan.upcoming("v")})._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan
+
+
+def test_rates_and_places_by_shares_are_the_same(spark):
+    for query in (series.revenue_rate, further.positional_rates):
+        whole, shares = query(spark, SF), query(spark, SF, share_rows=150)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, shares.collect()))
+    plan = series.revenue_rate(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" not in plan
+    assert "array_position" not in further.positional_rates(spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -58,11 +58,16 @@ def latest(value: Column | str) -> Running:
 
 def upcoming(value: Column | str) -> Running:
     """The value of the first row from this one on where it isn't null."""
-    return Running(lambda w: F.first(_column(value), ignorenulls=True).over(w), lambda x: F.first(x, ignorenulls=True), lambda carried, local: F.coalesce(local, carried), forward=False)
+    return Running(lambda w: F.last(_column(value), ignorenulls=True).over(w), lambda x: F.first(x, ignorenulls=True), lambda carried, local: F.coalesce(local, carried), forward=False)
 
 
-def _spans(w, forward: bool):
-    return w.rowsBetween(W.unboundedPreceding, W.currentRow) if forward else w.rowsBetween(W.currentRow, W.unboundedFollowing)
+def _local(df: DataFrame, by: list[str], order: list[Column | str], values: dict[str, Running]) -> DataFrame:
+    """df with the running values of each group, and `_at`, the row's number in it. What looks ahead runs over the rows
+    the other way round: Spark computes a frame that ends at the group's last row anew for each row."""
+    w = W.partitionBy(*by)
+    df = df.withColumn("_at", F.row_number().over(w.orderBy(*order)))
+    up = W.unboundedPreceding, W.currentRow
+    return df.withColumns({name: v.local(w.orderBy("_at" if v.forward else F.desc("_at")).rowsBetween(*up)) for name, v in values.items()})
 
 
 def running(df: DataFrame, by: list[str], order: list[Column | str], values: dict[str, Running], share_rows: int = SHARE_ROWS) -> DataFrame:
@@ -75,17 +80,14 @@ def running(df: DataFrame, by: list[str], order: list[Column | str], values: dic
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
     if (sizes["most"] or 0) <= share_rows:
-        w = W.partitionBy(*by).orderBy(*order)
-        return df.withColumns({name: v.local(_spans(w, v.forward)) for name, v in values.items()})
+        return _local(df, by, order, values).drop("_at")
     return scanned(df, by, order, values, -(-sizes["all"] // share_rows))
 
 
 def scanned(df: DataFrame, by: list[str], order: list[Column | str], values: dict[str, Running], shares: int) -> DataFrame:
     """running, by a scan over so many shares."""
     dealt = df.repartitionByRange(shares, *by, *order).withColumn("_share", F.spark_partition_id())
-    w = W.partitionBy(*by, "_share").orderBy(*order)
-    local = dealt.withColumns({f"_local_{i}": v.local(_spans(w, v.forward)) for i, v in enumerate(values.values())} | {"_at": F.row_number().over(w)})
-    local = stash(local, "scan")
+    local = stash(_local(dealt, [*by, "_share"], order, {f"_local_{i}": v for i, v in enumerate(values.values())}), "scan")
     folds = local.groupBy(*by, "_share").agg(*((F.max_by if v.forward else F.min_by)(F.struct(F.col(f"_local_{i}").alias("x")), "_at").alias(f"_fold_{i}") for i, v in enumerate(values.values())))
     parts = W.partitionBy(*by).orderBy("_share")
     carried = {f"_carry_{i}": v.carry(F.col(f"_fold_{i}.x")).over(parts.rowsBetween(W.unboundedPreceding, -1) if v.forward else parts.rowsBetween(1, W.unboundedFollowing)) for i, v in enumerate(values.values())}
