@@ -130,21 +130,24 @@ def ffill(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
     return X.filled_forward(dense.withColumn("observed", F.col("value").isNotNull()), "value", ["series"], ["day"], share_rows).select("series", "day", "observed", "value")
 
 
-def revenue_rate(spark, sf_dir, span_seconds: int = 3600):
+def revenue_rate(spark, sf_dir, span_seconds: int = 3600, share_rows: int = scan.SHARE_ROWS):
     """Value gained a second over the last hour of each market, at least 0.
 
-    An hour before a row lies in the row's own hour of the clock or the one before. So each row also stands by in the
-    next hour, and a window holds two hours of a market, not all of it.
+    Rows of a market and second share their rate. Each second's first and last value are put on one time line with the
+    times an hour before; the next second from such a time on opens the hour. So a row takes the same work however
+    many rows an hour has.
     """
     e = V.events(spark, sf_dir).withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
-    hour = F.floor(F.col("s") / span_seconds)
-    e = e.withColumn("part", F.explode(F.array(F.struct(hour.alias("hour"), F.lit(True).alias("own")), F.struct((hour + 1).alias("hour"), F.lit(False).alias("own"))))).withColumns({"hour": F.col("part.hour"), "own": F.col("part.own")})
-    last = W.partitionBy("market", "hour").orderBy("s").rangeBetween(-span_seconds, 0)
-    span = F.col("s") - F.min("s").over(last)
-    first = F.min(F.struct("s", "event_id", "value")).over(last)["value"]
-    newest = F.max(F.struct("s", "event_id", "value")).over(last)["value"]
-    rate = half_up(F.greatest(F.coalesce(F.try_divide((newest - first).cast("double"), span.cast("double")), F.lit(0.0)), F.lit(0.0)), 6)
-    return e.withColumn("rate", rate).filter("own").select("event_id", "market", "rate")
+    row = F.struct("event_id", "value")
+    seconds = e.filter("s is not null").groupBy("market", "s").agg(F.min(row)["value"].alias("first"), F.max(row)["value"].alias("newest"))
+    opens = seconds.select("market", F.col("s").alias("at"), F.lit(1).alias("fact"), F.struct("s", "first").alias("opening"))
+    line = opens.unionByName(seconds.select("market", (F.col("s") - span_seconds).alias("at"), F.lit(0).alias("fact"), "s", "newest"), allowMissingColumns=True)
+    found = scan.running(line, ["market"], ["at", "fact"], {"hour": scan.upcoming("opening")}, share_rows).filter("fact = 0")
+    span = F.col("s") - F.col("hour.s")
+    rates = found.select(F.col("market").alias("of"), F.col("s").alias("second"), F.try_divide((F.col("newest") - F.col("hour.first")).cast("double"), span.cast("double")).alias("gain"))
+    same = F.col("market").eqNullSafe(F.col("of")) & (F.col("s") == F.col("second"))
+    rate = half_up(F.greatest(F.coalesce("gain", F.lit(0.0)), F.lit(0.0)), 6)
+    return e.join(rates, same, "left").select("event_id", "market", rate.alias("rate"))
 
 
 def recent_history(spark, sf_dir, keep: int = 100):
