@@ -2,13 +2,14 @@
 
 import random
 import sys
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions.wide import wide_product, wide_quotient
-from tidewater.operators import grid, scan
-from tidewater.plans import further, lending, measures, racing, series
+from tidewater.operators import grid, ranges, scan
+from tidewater.plans import bands, further, lending, measures, racing, series
 from tidewater.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,22 @@ def test_rates_and_places_by_shares_are_the_same(spark):
     plan = series.revenue_rate(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "RangeFrame" not in plan
     assert "array_position" not in further.positional_rates(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("share_rows", [10**6, 40])
+def test_sums_of_ranges_equal_all_pairs(spark, share_rows):
+    rng = random.Random(3)
+    rows = [(rng.choice("xy"), rng.choice([None, float("nan"), 0.0, -0.0, 2.0, rng.uniform(-9, 9)]), Decimal(rng.randint(0, 9**9)) / 10000) for _ in range(300)]
+    ends = [(rng.choice("xyz"), rng.choice([None, 0.0, 2.0, rng.uniform(-9, 9)]), rng.choice([None, 0.0, 2.0, rng.uniform(-9, 9)])) for _ in range(120)]
+    r = spark.createDataFrame(rows, "k string, v double, d decimal(20,4)")
+    s = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "of int, k string, low double, high double")
+    out = ranges.range_sums(r, s, "v", "low", "high", {"d": "d"}, ["k"], share_rows)
+    got = {x.of: (x.n, x.d) for x in out.collect()}
+    for i, (k, a, b) in enumerate(ends):
+        inside = [d for q, v, d in rows if q == k and v is not None and v == v and (a is None or v >= a) and (b is None or v < b)]
+        assert got[i] == (len(inside), sum(inside) if inside else None), (i, k, a, b)
+
+
+def test_bands_meet_no_positions_and_few_ranges_take_no_bins(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_level" not in plan(bands.band_matches(spark, SF)) and "_level" not in plan(bands.threshold_matches(spark, SF))

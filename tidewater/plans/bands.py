@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators.ranges import overlap_join, range_join
+from tidewater.operators import scan
+from tidewater.operators.ranges import overlap_join, range_join, range_sums
 from tidewater.plans.lending import PER_POSITION, _per_position
 from tidewater.sources import views as V
 from tidewater.sources.views import sql_with
@@ -27,11 +28,12 @@ def _bands(spark, sf_dir):
     return s.select(k.alias("band"), F.col("s_nationkey").cast("long").alias("market"), low.alias("low"), (low + 1 + (k % 7) * (k % 7) * (k % 7) / F.lit(10.0)).alias("high"))
 
 
-def band_matches(spark, sf_dir):
-    """Per band of a market: the positions whose ltv lies in it, and their debt."""
+def band_matches(spark, sf_dir, share_rows: int = scan.SHARE_ROWS):
+    """Per band of a market: the positions whose ltv lies in it, and their debt. Each position lies in many bands, so
+    the bands take differences of running totals; pairs of positions and bands would grow with both."""
     p = _per_position(spark, sf_dir).select((F.col("user") % 25).alias("market"), "ltv", F.col("debt").cast("decimal(20,4)").alias("debt"))
-    sums = range_join(p, _bands(spark, sf_dir), "ltv", "low", "high", ["market"]).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("debt").cast("double").alias("debt"))
-    return _bands(spark, sf_dir).select("band").join(sums, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("debt", F.lit(0.0)).alias("debt"))
+    held = range_sums(p, _bands(spark, sf_dir), "ltv", "low", "high", {"debt": "debt"}, ["market"], share_rows)
+    return held.select("band", "n", F.coalesce(F.col("debt").cast("double"), F.lit(0.0)).alias("debt"))
 
 
 def band_overlaps(spark, sf_dir):
