@@ -16,6 +16,8 @@ from tidewater.llm.common import documents_of, raw, slices
 
 WIDTH, HEIGHT, FPS = 16, 12, 12
 FRAME = WIDTH * HEIGHT
+#: Frames that are coded or decoded at once, so that work arrays don't grow with a text: 18 MB of bits at most.
+BLOCK = 10_000
 #: Fixed values of ITU-T T.81: marker bytes, and the sample that precedes the first one at 8 bits.
 SOI, EOI, SOF3, DHT, SOS, FIRST = b"\xff\xd8", b"\xff\xd9", 0xC3, 0xC4, 0xDA, 128
 #: Difference category s has a code of 9 - s bits and s more bits, so that every sample takes nine bits.
@@ -50,15 +52,21 @@ def pad_payload(text: bytes) -> bytes:
     return text + b" " * (-len(text) % FRAME if text else FRAME)
 
 
-def write_avi(payload: bytes) -> bytes:
-    """A RIFF AVI file whose frames hold the payload's bytes as 8-bit grey samples, in lossless JPEG."""
-    frames = np.frombuffer(payload, np.uint8).reshape(-1, HEIGHT, WIDTH).astype(np.int16)
+def _coded(samples: np.ndarray) -> bytes:
+    """The entropy-coded bytes of frames, one after another."""
+    frames = samples.astype(np.int16)
     before = np.empty_like(frames)
     before[:, :, 1:] = frames[:, :, :-1]
     before[:, 1:, 0] = frames[:, :-1, 0]
     before[:, 0, 0] = FIRST
     bits = _CODES[(frames - before + 255).reshape(len(frames), FRAME)]
-    packed = np.packbits(bits.reshape(len(frames), -1), axis=1).tobytes()
+    return np.packbits(bits.reshape(len(frames), -1), axis=1).tobytes()
+
+
+def write_avi(payload: bytes) -> bytes:
+    """A RIFF AVI file whose frames hold the payload's bytes as 8-bit grey samples, in lossless JPEG."""
+    frames = np.frombuffer(payload, np.uint8).reshape(-1, HEIGHT, WIDTH)
+    packed = b"".join(_coded(frames[i : i + BLOCK]) for i in range(0, len(frames), BLOCK))
     width = FRAME * BITS // 8
     chunks, index, at = [], [], 4
     for i in range(len(frames)):
@@ -202,7 +210,7 @@ def read_frames(data: bytes) -> tuple[int, np.ndarray]:
             other.append(_decode_frame(_scan_of(data, at, size)))
     if len({f.shape for f in other} | ({(HEIGHT, WIDTH)} if own else set())) > 1:
         raise ValueError("frames of several sizes")
-    frames = ([_decode_own(own)] if own else []) + ([np.stack(other)] if other else [])
+    frames = [_decode_own(own[i : i + BLOCK]) for i in range(0, len(own), BLOCK)] + ([np.stack(other)] if other else [])
     return fps, np.concatenate(frames) if frames else np.empty((0, HEIGHT, WIDTH), np.uint8)
 
 
@@ -229,42 +237,76 @@ def find_shots(frames: np.ndarray, reach: int = 12, factor: float = 3.0, least:
     return list(zip(starts, [s - 1 for s in starts[1:]] + [n - 1]))
 
 
+_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+
+
+def _encoded(batches):
+    for batch in slices(batches, 2 << 20):
+        texts = [t or b"" for t in raw(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_avi(pad_payload(t)) for t in texts], pa.binary())], schema=_MEDIA)
+
+
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media (binary): each text's UTF-8 bytes, padded with blanks to whole frames, as an AVI
     file. Null text counts as empty, which gives one blank frame. Very long texts are stored whole, in more frames. Null ids
     and repeated rows stay (there are no ties); extra columns play no part, whatever their names; an empty table gives none.
     Narrow."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+    return documents_of(docs, id_col, text_col).mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
+
+
+_CLIPS = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_sample", pa.float64()), ("error", pa.string())])
+_CLIP_TYPES = "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, mean_sample double, error string"
 
-    def run(batches):
-        for batch in slices(batches, 2 << 20):
-            texts = [t or b"" for t in raw(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_avi(pad_payload(t)) for t in texts], pa.binary())], schema=schema)
 
-    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def _clipped(batches):
+    for batch in slices(batches):
+        rows = []
+        for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if data is None:
+                continue
+            try:
+                fps, frames = read_frames(data)
+            except (ValueError, struct.error, IndexError) as e:
+                rows.append((doc, *[None] * 6, str(e) or "broken file"))
+                continue
+            rows += [(doc, i, a, b, a / fps, (b + 1) / fps, float(frames[a : b + 1].mean()), None) for i, (a, b) in enumerate(find_shots(frames))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 8, _CLIPS)], schema=_CLIPS)
 
 
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Timed clips of a media column: id, clip number, first and last frame, start and end in seconds, mean sample, and
     error. Null media, and files without frames, give no clips; one that can't be read gives one row that says why in
     error, with nulls elsewhere. Null ids and repeated rows stay; an empty table gives none."""
-    schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_sample", pa.float64()), ("error", pa.string())])
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(_clipped, _CLIP_TYPES)
+
+
+def encoded_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """clip_rows of encode_media in one pass, as encoded_digest."""
+    return documents_of(docs, id_col, text_col).mapInArrow(lambda batches: _clipped(b.select([0, 2]) for b in _encoded(batches)), _CLIP_TYPES)
 
-    def run(batches):
-        for batch in slices(batches):
-            rows = []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if data is None:
-                    continue
-                try:
-                    fps, frames = read_frames(data)
-                except (ValueError, struct.error, IndexError) as e:
-                    rows.append((doc, *[None] * 6, str(e) or "broken file"))
-                    continue
-                rows += [(doc, i, a, b, a / fps, (b + 1) / fps, float(frames[a : b + 1].mean()), None) for i, (a, b) in enumerate(find_shots(frames))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 8, schema)], schema=schema)
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, mean_sample double, error string")
+_DIGEST = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+_DIGEST_TYPES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _digested(batches):
+    for batch in slices(batches):
+        rows = []
+        for data in batch.column(2).to_pylist():
+            if data is None:
+                rows.append((None,) * 6)
+                continue
+            stored = len(data), hashlib.sha256(data).hexdigest()
+            try:
+                frames = read_frames(data)[1]
+            except (ValueError, struct.error, IndexError):
+                rows.append((None, None, None, *stored, None))
+                continue
+            payload = frames.tobytes()
+            shots = find_shots(frames)
+            feature = f"frames={len(frames)} shots={len(shots)} lengths={','.join(str(b - a + 1) for a, b in shots)}"
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * 6, _DIGEST[2:]))], schema=pa.schema(_DIGEST))
 
 
 def media_digest(media: DataFrame) -> DataFrame:
@@ -275,26 +317,11 @@ def media_digest(media: DataFrame) -> DataFrame:
     results, very long files are read whole, and there are no ties. Columns beside the three that are read play no part.
     An empty table gives none.
     """
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    schema = pa.schema(kinds)
-
-    def run(batches):
-        for batch in slices(batches):
-            rows = []
-            for data in batch.column(2).to_pylist():
-                if data is None:
-                    rows.append((None,) * 6)
-                    continue
-                stored = len(data), hashlib.sha256(data).hexdigest()
-                try:
-                    frames = read_frames(data)[1]
-                except (ValueError, struct.error, IndexError):
-                    rows.append((None, None, None, *stored, None))
-                    continue
-                payload = frames.tobytes()
-                shots = find_shots(frames)
-                feature = f"frames={len(frames)} shots={len(shots)} lengths={','.join(str(b - a + 1) for a, b in shots)}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * 6, kinds[2:]))], schema=schema)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digested, _DIGEST_TYPES)
+
+
+def encoded_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """media_digest of encode_media in one pass: each file is written and read back by the same Python worker, a slice of
+    rows at a time. Apart, each task has two workers, and the second takes files in batches of as many rows as the first
+    takes texts."""
+    return documents_of(docs, id_col, text_col).mapInArrow(lambda batches: _digested(_encoded(batches)), _DIGEST_TYPES)

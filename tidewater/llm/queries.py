@@ -65,9 +65,9 @@ def op8_url_filter(spark, sf_dir):
 
 
 def op9_media_clips(spark, sf_dir):
-    from tidewater.llm.media_clips import encode_media, media_digest
+    from tidewater.llm.media_clips import encoded_digest
 
-    return media_digest(encode_media(table(spark, sf_dir, "documents")))
+    return encoded_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark, sf_dir):
@@ -96,9 +96,9 @@ def op13_prefix_trie(spark, sf_dir):
 
 def media_clips(spark, sf_dir):
     """The timed clips of all documents' media."""
-    from tidewater.llm.media_clips import clip_rows, encode_media
+    from tidewater.llm.media_clips import encoded_clips
 
-    return clip_rows(encode_media(table(spark, sf_dir, "documents"))).select("doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "error")
+    return encoded_clips(table(spark, sf_dir, "documents")).select("doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "error")
 
 
 def media_payloads(spark, sf_dir):
