@@ -119,3 +119,21 @@ def test_pages_are_made_once(spark):
     items = paged_plans.LANDED["liquidation_queue", "bids_by_user"](spark, SF)
     pages = paged_plans.paged(items, "liquidation_queue", "bids_by_user")
     assert "Window" not in pages.unionByName(pages)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_positions_sort_nothing(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    n = views.tasks(spark, SF)
+    for query in (lending.risky_positions, further.loop_plan, measures.mint_and_repay, measures.unloop_plan, further.slider_changes, lending.annual_interest, lending.intents):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert len(joins) >= 3 and all("ShuffledHashJoin" in line for line in joins), query.__name__
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "market" not in line]
+        assert dealt and all(f", {n}), " in line for line in dealt), query.__name__
+
+
+def test_tasks_follow_the_largest_table(spark, tmp_path, monkeypatch):
+    for name, n in (("lineitem", 3), ("orders", 900), ("part", 5)):
+        spark.range(n).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    assert views.tasks(spark, str(tmp_path)) == 9

@@ -146,7 +146,7 @@ def session_history(spark, sf_dir, idle: int = 6 * 3600):
 def snapshot_profit(spark, sf_dir):
     """A position's value less its debt and less what its first asset was worth at the start."""
     v = V.valued(spark, sf_dir).groupBy("position_id").agg(F.sum("value").alias("value"), F.min_by("value", "asset").alias("initial"))
-    rows = v.join(V.positions(spark, sf_dir).select("position_id", "debt").repartition(V.tasks(spark, sf_dir), "position_id"), "position_id")
+    rows = v.join(V.debts(spark, sf_dir), "position_id")
     return rows.select("position_id", (F.col("value") - F.col("debt") - F.col("initial")).cast("double").alias("profit"))
 
 

@@ -19,7 +19,7 @@ def _per_position(spark, sf_dir):
     v = F.col("value")
     sums = V.valued(spark, sf_dir).groupBy("user", "position_id").agg(
         F.sum(v).alias("tvl_"), F.sum(v * F.col("max_ltv")).alias("liq_"), F.sum(v * F.col("max_borrow_ltv")).alias("borrow_"), F.sum(v * F.col("rate")).alias("cost_"), F.count(F.lit(1)).alias("n_assets"))
-    joined = sums.join(V.positions(spark, sf_dir).select("position_id", "debt").repartition(V.tasks(spark, sf_dir), "position_id"), "position_id")
+    joined = sums.join(V.debts(spark, sf_dir), "position_id")
     d = lambda c: F.col(c).cast("double")
     return joined.filter("tvl_ > 0").select("user", "position_id", "n_assets", d("debt").alias("debt"), d("tvl_").alias("tvl"), (d("liq_") / d("tvl_") * 100).alias("liquidation_ltv"), trunc_dp(d("borrow_") / d("tvl_") * 100, 2).alias("borrow_ltv"), (d("cost_") / d("tvl_")).alias("cost")).withColumn("ltv", L.ltv(F.col("debt") * CREDIT_PRICE, F.col("tvl")))
 
@@ -50,9 +50,11 @@ def vault_summary(spark, sf_dir):
 
 def annual_interest(spark, sf_dir, least_debt: float = 1000.0):
     """What the first position of each user pays in a year, without and with the user's discount; small debts are left out."""
-    first = first_per_key(V.positions(spark, sf_dir).select("user", "position_id"), ["user"], [F.col("position_id")])
+    n = V.tasks(spark, sf_dir)
+    first = first_per_key(V.positions(spark, sf_dir).select("user", "position_id").repartition(n, "user"), ["user"], [F.col("position_id")])
     discount = (F.col("user") % 10) / 100
-    rows = _per_position(spark, sf_dir).join(first, ["user", "position_id"], "left_semi").filter(F.col("debt") > least_debt)
+    owed = _per_position(spark, sf_dir).filter(F.col("debt") > least_debt).repartition(n, "user", "position_id")
+    rows = owed.join(V.dealt(first, n, "user", "position_id"), ["user", "position_id"], "left_semi")
     interest = (half_up(F.col("cost") * F.col("debt"), 4)).cast("decimal(20,4)")
     return rows.agg(F.sum(interest).cast("double").alias("undiscounted"), half_up(F.sum(half_up(F.col("cost") * (1 - discount) * F.col("debt"), 4).cast("decimal(20,4)")).cast("double"), 4).alias("discounted"), F.count(F.lit(1)).alias("n_positions"))
 

@@ -157,7 +157,7 @@ def liquidation_prices(spark, sf_dir):
     v = V.valued(spark, sf_dir).groupBy("position_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").cast("double").alias("value"), F.sum(F.col("value") * F.col("max_ltv")).cast("double").alias("liq"), F.coalesce(F.sum(F.when(F.col("stable"), F.col("value"))), F.lit(0)).cast("double").alias("stable_value"),
         F.count(F.when(~F.col("stable"), 1)).alias("n_volatile"), F.coalesce(F.sum(F.when(~F.col("stable"), F.col("amount"))), F.lit(0)).cast("double").alias("volatile"), F.sum("amount").cast("double").alias("amount"))
-    p = v.join(V.positions(spark, sf_dir).select("position_id", _dbl("debt").alias("debt")).repartition(V.tasks(spark, sf_dir), "position_id"), "position_id").withColumn("limit", F.try_divide("liq", "value"))
+    p = v.join(V.debts(spark, sf_dir).select("position_id", _dbl("debt").alias("debt")), "position_id").withColumn("limit", F.try_divide("liq", "value"))
     alone = F.when((F.col("n") == 1) & (F.col("debt") > 0), F.try_divide(F.col("debt"), F.col("amount") * F.col("limit")))
     rest = F.greatest(F.col("debt") - F.col("stable_value"), F.lit(0.0))
     pair = F.when((F.col("n") == 2) & (F.col("n_volatile") == 1) & (rest > 0), F.try_divide(rest, F.col("volatile") * F.col("limit")))

@@ -9,14 +9,21 @@ from tidewater.functions.numeric import exact
 
 
 #: Rows of the largest table that one task of a shuffle holds, about.
-TASK_ROWS = 500_000
+TASK_ROWS = 250_000
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> int:
-    """How many tasks a shuffle of all lines needs, so that a task's memory doesn't grow with the input. Adaptive
-    execution sizes tasks by compressed bytes, and these rows grow more than twentyfold in memory. Files' footers give
-    the number of rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+    """How many tasks a shuffle of all lines, positions or assets needs, so that a task's memory doesn't grow with the
+    input. Adaptive execution sizes tasks by compressed bytes, and these rows grow more than twentyfold in memory. Files'
+    footers give the number of rows."""
+    rows = max(table(spark, sf_dir, name).count() for name in ("lineitem", "orders", "part"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """A side of a join that has about one row a key, dealt to n tasks by it and hashed there: neither side is sorted,
+    and each sort would hold all of a task's rows."""
+    return df.repartition(n, *keys).hint("shuffle_hash")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +53,12 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def users(spark: SparkSession, sf_dir: str, n: int, *columns: str) -> DataFrame:
     """position_id, user and other columns of positions; dealt to n tasks by position_id"""
-    return positions(spark, sf_dir).select("position_id", "user", *columns).repartition(n, "position_id")
+    return dealt(positions(spark, sf_dir).select("position_id", "user", *columns), n, "position_id")
+
+
+def debts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """position_id, debt; dealt by position_id"""
+    return dealt(positions(spark, sf_dir).select("position_id", "debt"), tasks(spark, sf_dir), "position_id")
 
 
 def positions(spark: SparkSession, sf_dir: str, debt_factor: str = "0.1") -> DataFrame:
@@ -56,10 +68,10 @@ def positions(spark: SparkSession, sf_dir: str, debt_factor: str = "0.1") -> Dat
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings with the asset's columns and value; an asset without a price is worth 0. The shared core of the
-    position reports: two equality joins. Lines are dealt by asset and then by position, which joins and groupings by
+    position reports: two equality joins, neither of which sorts. Lines are dealt by asset and then by position, which joins and groupings by
     position need no third time."""
     n = tasks(spark, sf_dir)
-    priced = _amounts(spark, sf_dir, n, "asset").join(assets(spark, sf_dir).repartition(n, "asset"), "asset", "left")
+    priced = _amounts(spark, sf_dir, n, "asset").join(dealt(assets(spark, sf_dir), n, "asset"), "asset", "left")
     priced = priced.withColumn("value", F.coalesce((F.col("amount") * F.col("price")).cast("decimal(28,4)"), F.lit(0).cast("decimal(28,4)")))
     held = priced.repartition(n, "position_id").join(users(spark, sf_dir, n), "position_id")
     return held.select("asset", "user", "position_id", *(c for c in priced.columns if c not in ("asset", "position_id")))
