@@ -137,3 +137,22 @@ def test_tasks_follow_the_largest_table(spark, tmp_path, monkeypatch):
         spark.range(n).write.parquet(str(tmp_path / f"{name}.parquet"))
     monkeypatch.setattr(views, "TASK_ROWS", 100)
     assert views.tasks(spark, str(tmp_path)) == 9
+
+
+def _repeated(spark, folder, times):
+    """The tables of positions so many times over, with shifted keys."""
+    for name, keys in (("lineitem", ("l_orderkey", "l_partkey")), ("orders", ("o_orderkey",)), ("part", ("p_partkey",))):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet").crossJoin(spark.range(times))
+        rows.withColumns({k: F.col(k) + F.col("id") * 10**6 for k in keys}).drop("id").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("query", [measures.mint_and_repay])
+def test_no_task_of_a_report_on_positions_grows_with_the_input(spark, tmp_path, monkeypatch, query):
+    monkeypatch.setattr(views, "TASK_ROWS", 1000, raising=False)
+    rows, most = [], []
+    for times in (1, 6):
+        tasks = query(spark, _repeated(spark, tmp_path / str(times), times)).groupBy(F.spark_partition_id()).count().collect()
+        rows.append(sum(r["count"] for r in tasks))
+        most.append(max(r["count"] for r in tasks))
+    assert rows[1] == 6 * rows[0] > 0 and most[1] < 2 * most[0], (rows, most)
