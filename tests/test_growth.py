@@ -147,7 +147,7 @@ def _repeated(spark, folder, times):
     return str(folder)
 
 
-@pytest.mark.parametrize("query", [measures.mint_and_repay, lending.risky_positions])
+@pytest.mark.parametrize("query", [measures.mint_and_repay, lending.risky_positions, further.slider_changes])
 def test_no_task_of_a_report_on_positions_grows_with_the_input(spark, tmp_path, monkeypatch, query):
     monkeypatch.setattr(views, "TASK_ROWS", 1000, raising=False)
     rows, most = [], []
