@@ -156,3 +156,38 @@ def test_no_task_of_a_report_on_positions_grows_with_the_input(spark, tmp_path,
         rows.append(sum(r["count"] for r in tasks))
         most.append(max(r["count"] for r in tasks))
     assert rows[1] == 6 * rows[0] > 0 and most[1] < 2 * most[0], (rows, most)
+
+
+def _with_a_hot_part(spark, folder, times, part):
+    """The same, where nine lines of ten name one part."""
+    _repeated(spark, folder, times)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    lines.withColumn("l_partkey", F.when(F.xxhash64(F.col("l_orderkey") % 10**6, "l_linenumber") % 10 != 0, F.lit(part).cast("long")).otherwise(F.col("l_partkey"))).write.parquet(f"{folder}/hot/lineitem.parquet")
+    for name in ("orders", "part"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{folder}/hot/{name}.parquet")
+    return f"{folder}/hot"
+
+
+@pytest.mark.parametrize("part", [7, None])
+def test_a_part_that_most_lines_name_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    rows, most = [], []
+    for times in (1, 6):
+        folder = _with_a_hot_part(spark, tmp_path / str(times), times, part)
+        priced = views.priced(spark, folder, views.tasks(spark, folder))
+        tasks = [r["count"] for r in priced.groupBy(F.spark_partition_id()).count().collect()]
+        rows.append(sum(tasks))
+        most.append(max(tasks))
+    assert rows[1] >= 6 * rows[0] > 0 and most[1] < 2 * most[0] < rows[0], (rows, most)
+
+
+@pytest.mark.parametrize("part", [7, None])
+def test_reports_on_positions_are_the_same_with_a_part_dealt_to_several_tasks(spark, tmp_path, monkeypatch, part):
+    folder = _with_a_hot_part(spark, tmp_path / "1", 1, part)
+    reports = (views.valued, measures.mint_and_repay, lending.risky_positions, further.slider_changes, lending.vault_summary)
+    found = []
+    for most in (10**9, 500):
+        monkeypatch.setattr(views, "TASK_ROWS", most)
+        found.append([sorted(map(str, report(spark, folder).collect())) for report in reports])
+    assert "_share" in views.priced(spark, folder, 12)._jdf.queryExecution().analyzed().toString()
+    assert all(found[0]) and found[0] == found[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import exact
@@ -10,6 +10,10 @@ from tidewater.functions.numeric import exact
 
 #: Rows of the largest table that one task of a shuffle holds, about.
 TASK_ROWS = 250_000
+#: So many times as many lines of one asset are dealt to several tasks.
+HEAVY = 4
+#: Assets are counted by buckets, so that the counting holds no more where there are more assets.
+BUCKETS = 65_536
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> int:
@@ -39,16 +43,45 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size").cast("decimal(6,0)") / F.lit(1000).cast("decimal(5,0)")).cast("decimal(6,3)").alias("rate"), (F.col("p_type") == "ECONOMY").alias("stable"), F.col("p_type").alias("kind"))
 
 
-def _amounts(spark: SparkSession, sf_dir: str, n: int, key: str) -> DataFrame:
-    """position_id, asset, amount; dealt to n tasks by the key, which is one of the two"""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("position_id"), F.col("l_partkey").alias("asset"), exact(F.col("l_quantity"), 2).alias("amount"))
-    return lines.repartition(n, key).groupBy("position_id", "asset").agg(F.sum("amount").alias("amount"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """position_id, asset, amount"""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("position_id"), F.col("l_partkey").alias("asset"), exact(F.col("l_quantity"), 2).alias("amount"))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("asset"), F.lit(BUCKETS))
+
+
+def _heavy(lines: DataFrame) -> DataFrame | None:
+    """_bucket, _shares: buckets of assets (by hash) that more lines name than one task should hold, and over how many
+    tasks they go; None without any. There are at most rows / TASK_ROWS of them."""
+    most = HEAVY * TASK_ROWS
+    if lines.count() <= most:
+        return None
+    counts = lines.groupBy(_bucket().alias("_bucket")).count().filter(F.col("count") > most).select("_bucket", F.ceil(F.col("count") / TASK_ROWS).alias("_shares"))
+    rows = counts.collect()
+    return lines.sparkSession.createDataFrame(rows, counts.schema) if rows else None
+
+
+def priced(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """position_id, asset, amount and the asset's columns: one row per position and asset, dealt to n tasks by asset. An
+    asset that very many lines name goes to several tasks, by position, and its row to each of them."""
+    lines, sides, keys = _lines(spark, sf_dir), assets(spark, sf_dir), ["asset"]
+    heavy = _heavy(lines)
+    if heavy is not None:
+        shares = lambda df: df.withColumn("_bucket", _bucket()).join(F.broadcast(heavy), "_bucket", "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
+        lines = shares(lines).withColumn("_share", F.pmod(F.xxhash64("position_id"), "_shares")).drop("_bucket", "_shares")
+        sides = shares(sides).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_bucket", "_shares")
+        keys = ["asset", "_share"]
+    held = lines.repartition(n, *keys).groupBy("position_id", *keys).agg(F.sum("amount").alias("amount"))
+    return held.join(dealt(sides, n, *keys), keys, "left").drop("_share")
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user, position_id, asset, amount: one row per position and asset"""
     n = tasks(spark, sf_dir)
-    return _amounts(spark, sf_dir, n, "position_id").join(users(spark, sf_dir, n), "position_id").select("user", "position_id", "asset", "amount")
+    held = _lines(spark, sf_dir).repartition(n, "position_id").groupBy("position_id", "asset").agg(F.sum("amount").alias("amount"))
+    return held.join(users(spark, sf_dir, n), "position_id").select("user", "position_id", "asset", "amount")
 
 
 def users(spark: SparkSession, sf_dir: str, n: int, *columns: str) -> DataFrame:
@@ -71,10 +104,9 @@ def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     position reports: two equality joins, neither of which sorts. Lines are dealt by asset and then by position, which joins and groupings by
     position need no third time."""
     n = tasks(spark, sf_dir)
-    priced = _amounts(spark, sf_dir, n, "asset").join(dealt(assets(spark, sf_dir), n, "asset"), "asset", "left")
-    priced = priced.withColumn("value", F.coalesce((F.col("amount") * F.col("price")).cast("decimal(28,4)"), F.lit(0).cast("decimal(28,4)")))
-    held = priced.repartition(n, "position_id").join(users(spark, sf_dir, n), "position_id")
-    return held.select("asset", "user", "position_id", *(c for c in priced.columns if c not in ("asset", "position_id")))
+    rows = priced(spark, sf_dir, n).withColumn("value", F.coalesce((F.col("amount") * F.col("price")).cast("decimal(28,4)"), F.lit(0).cast("decimal(28,4)")))
+    held = rows.repartition(n, "position_id").join(users(spark, sf_dir, n), "position_id")
+    return held.select("asset", "user", "position_id", *(c for c in rows.columns if c not in ("asset", "position_id")))
 
 
 def queue_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
