@@ -129,6 +129,34 @@ def test_a_read_opens_its_own_files_only(spark, tmp_path):
     assert pages.quarantine_counts(pages.landed_pages(spark, str(tmp_path)), [("liquidation_queue", "bid")]).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_of_good_landings_of_a_page_the_newest_counts(spark, tmp_path, monkeypatch, few):
+    """Landed twice: a copy, a later one, one of the same time; with and without a broadcast of what is left out."""
+    monkeypatch.setattr(pages, "BROADCAST_PAGES", few, raising=False)
+    bids = lambda *ids: [BID | {"id": str(i)} for i in ids]
+    where = ("liquidation_queue", "bids_by_user")
+    write(tmp_path, *where, page(bids(1, 2), user="copy"), page(bids(3), user="copy", start_after="2"), page(bids(1, 2), user="copy"))
+    write(tmp_path, *where, page(bids(1, 2), user="late"), page(bids(1, 4), user="late", landed_at=2), page(bids(5), user="late", start_after="4"), page(bids(3), user="late", start_after="2"))
+    write(tmp_path, *where, page(bids(1, 3), user="tie"), page(bids(1, 2), user="tie"), page(bids(9), user="tie", start_after="3"), page("[{", user="tie", landed_at=7))
+    write(tmp_path, *where, page(bids(6), user=None), page(bids(7), user=None, landed_at=2), page(bids(8), user="one"), page([], user="none"))
+    landed = pages.landed_pages(spark, str(tmp_path))
+    got = sorted((str(r.asked_user), int(r.id)) for r in pages.read_rows(landed, *where).collect())
+    assert got == sorted([("copy", 1), ("copy", 2), ("copy", 3), ("late", 1), ("late", 4), ("tie", 1), ("tie", 3), ("tie", 9), ("None", 7), ("one", 8)])
+    kept = [(r.user, r.start_after) for r in pages.followed(landed, *where).filter("reached").collect()]
+    assert len(kept) == len(set(kept)) == 8
+    assert {r.reason: r.n for r in pages.quarantine_counts(landed, [where]).collect()} == {"unfit answer": 1, "unreached": 2}
+    assert sorted((r.user, r.start_after) for r in pages.quarantine(landed, *where).filter("reason = 'unreached'").collect()) == [("late", "2"), ("late", "4")]
+
+
+def test_pages_of_one_read_are_landed_as_pages_of_several(spark, tmp_path):
+    """One read's pages go to its folder unsorted, in files that end after so many pages; all are read again."""
+    rows = spark.range(7).selectExpr("'staking' AS contract", "'staked' AS query", "CAST(null AS STRING) AS user", "CAST(nullif(id, 0) AS STRING) AS start_after", "CAST(null AS STRING) AS until", "1L AS limit", "1L AS landed_at", """concat('{"stakers":[{"stake_time":', id + 1, '}]}') AS body""", "CAST(null AS STRING) AS error")
+    pages.land(rows, str(tmp_path / "a"))
+    pages.land(rows, str(tmp_path / "b"), "staking", "staked")
+    found = [sorted(r.stake_time for r in pages.read_rows(pages.landed_pages(spark, str(tmp_path / x)), "staking", "staked").collect()) for x in "ab"]
+    assert found[0] == found[1] == list(range(1, 8))
+
+
 # ------------------------------------------------------------------ the data source
 
 CLIENT = '''

@@ -20,6 +20,8 @@ from tidewater.sources.scratch import stash
 
 #: Rows of a group that one task may window. Where no group has more, one plain window gives the same result.
 SHARE_ROWS = 2_000_000
+#: Rows of small groups that one task holds, about.
+TASK_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -70,15 +72,30 @@ def _local(df: DataFrame, by: list[str], order: list[Column | str], values: dict
     return df.withColumns({name: v.local(w.orderBy("_at" if v.forward else F.desc("_at")).rowsBetween(*up)) for name, v in values.items()})
 
 
-def running(df: DataFrame, by: list[str], order: list[Column | str], values: dict[str, Running], share_rows: int = SHARE_ROWS) -> DataFrame:
+def _sizes(df: DataFrame, by: list[str]):
+    """The rows of the largest group, and all rows."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+
+
+def together(df: DataFrame, by: list[str], share_rows: int = SHARE_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """df with each group's rows in one task, so that finer groups and windows over it share one shuffle, in tasks of
+    about `task_rows` rows; as it is where a group has over `share_rows` rows."""
+    sizes = _sizes(df, by)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes["all"] or 0) // task_rows))
+    return df.repartition(tasks, *by) if (sizes["most"] or 0) <= share_rows else df
+
+
+def running(df: DataFrame, by: list[str], order: list[Column | str], values: dict[str, Running], share_rows: int = SHARE_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """df with a column for each running value, over the rows of each group `by` in `order` (which should leave no
     ties; nulls where Spark sorts them).
 
     Groups are counted first, with partial aggregation. If none has over `share_rows` rows, a window holds each. Else
     all rows are scanned in shares of about that many. Both give the same rows; sums of floating-point numbers may be
     added in another order, so sum exact numbers. Null keys are a group like others. An empty table gives none.
+    Where df is the outcome of a shuffle, `counted` saves making it twice: rows that are counted in its place, with as
+    many in each group or more.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    sizes = _sizes(df if counted is None else counted, by)
     if (sizes["most"] or 0) <= share_rows:
         return _local(df, by, order, values).drop("_at")
     return scanned(df, by, order, values, -(-sizes["all"] // share_rows))

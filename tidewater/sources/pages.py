@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import scan
 from tidewater.sources.reads import READS, Read
+from tidewater.sources.scratch import stash
 
 PAGE = "user string, start_after string, until string, limit long, landed_at long, body string, error string"
-_CHAIN = ["contract", "query", "user"]
+#: Pages in one file, which is compressed, so that one task reads it.
+FILE_PAGES = 20_000
+#: So many pages at most are named to all tasks that read the others.
+BROADCAST_PAGES = 300_000
+_KEY = ["user", "after"]
 
 
 def landed_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,9 +27,14 @@ def landed_pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(f"{PAGE}, broken string, contract string, query string").option("columnNameOfCorruptRecord", "broken").json(folder)
 
 
-def land(pages: DataFrame, folder: str) -> None:
-    """Add pages (contract, query and the columns of PAGE) to a folder."""
-    pages.write.mode("append").partitionBy("contract", "query").json(folder)
+def land(pages: DataFrame, folder: str, contract: str | None = None, query: str | None = None) -> None:
+    """Add pages (contract, query and the columns of PAGE) to a folder. If they are known to be of one read, they go to
+    its folder as they come; else each task sorts its own by read. Answers repeat their fields' names in each item, so
+    files are compressed."""
+    if contract and query:
+        pages, folder = pages.drop("contract", "query"), f"{folder}/contract={contract}/query={query}"
+    out = pages.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", FILE_PAGES)
+    (out if contract and query else out.partitionBy("contract", "query")).json(folder)
 
 
 def answered(pages: DataFrame, contract: str, query: str) -> DataFrame:
@@ -63,6 +73,60 @@ def _place(read: Read, cursor: str):
     return F.col(cursor).cast("decimal(38,0)") if read.numeric else F.col(cursor)
 
 
+def _keyed(pages: DataFrame, contract: str, query: str) -> DataFrame:
+    """answered, with the chain (user) and the place in it (after) without nulls."""
+    return answered(pages, contract, query).withColumns({"user": F.coalesce("user", F.lit("")), "after": F.coalesce("start_after", F.lit(""))})
+
+
+def _of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) these pages. A few pages are broadcast, so that no answer is moved."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_PAGES else keys, _KEY, how)
+
+
+class _Landings:
+    """What following takes of a read's landings: everything but the answers, which are many times as large. Answers are
+    read again from the landed files once it is known which of them count, and go through no shuffle unless many
+    pages are left out, or were landed well more than once."""
+
+    def __init__(self, pages: DataFrame, contract: str, query: str):
+        self.read, self.where = READS[contract, query], (contract, query)
+        self.pages = pages
+        rows = _keyed(pages, contract, query)
+        self.rows = stash(rows.select(*_KEY, "start_after", "limit", "until", "landed_at", "reason", "n", "last"), "landings")
+        good = self.rows.filter("reason is null")
+        #: pages with several good landings, and of each the one that counts, as a landed page.
+        self.several = stash(good.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*_KEY), "several")
+        self.again = None
+        if not self.several.isEmpty():
+            best = F.max_by(F.struct(*pages.columns), F.struct("landed_at", "body")).alias("p")
+            self.again = stash(_of(rows.filter("reason is null"), self.several, "left_semi").groupBy(*_KEY).agg(best).select("p.*"), "again")
+            good = good.join(self.several, _KEY, "left_anti").unionByName(_keyed(self.again, contract, query).select(*good.columns))
+        self.newest = good
+
+    def chains(self, share_rows: int = scan.SHARE_ROWS) -> DataFrame:
+        """Of each page, by its newest good landing: user, after, reached, ended."""
+        ended = F.col("limit").isNull() | (F.col("n") < F.col("limit")) & F.col("until").isNull()
+        if not self.read.cursor:
+            return self.newest.select(*_KEY, F.lit(True).alias("reached"), F.lit(True).alias("ended"))
+        links = self.newest.filter("last is not null").select("user", F.col("last").alias("after"), F.lit(True).alias("known")).dropDuplicates(_KEY)
+        linked = self.newest.join(links, _KEY, "left")
+        missing = F.when((F.col("after") == "") | F.col("known"), 0).otherwise(1).cast("long")
+        placed = linked.withColumns({"missing": missing, "first": (F.col("after") != ""), "place": _place(self.read, "start_after")})
+        out = scan.running(placed, ["user"], ["first", "place"], {"gaps": scan.total("missing")}, share_rows, counted=self.newest)
+        return out.select(*_KEY, (F.col("gaps") == 0).alias("reached"), ended.alias("ended"))
+
+    def unreached(self) -> DataFrame:
+        return stash(self.chains().filter("not reached").select(*_KEY), "unreached")
+
+    def answers(self) -> DataFrame:
+        """answered, of each page's good landings the newest; broken ones are still among the rows, as a filter on their
+        reason here would have each answer parsed several times."""
+        rows = _keyed(self.pages, *self.where)
+        if self.again is None:
+            return rows
+        return _of(rows, self.several, "left_anti").unionByName(_keyed(self.again, *self.where))
+
+
 def followed(pages: DataFrame, contract: str, query: str, share_rows: int = scan.SHARE_ROWS) -> DataFrame:
     """answered, one landing a page, with what following the cursors shows: `reached` (every page from the chain's first
     one to this one is there and fits) and `ended` (it has fewer items than its limit: no page comes after it).
@@ -71,31 +135,20 @@ def followed(pages: DataFrame, contract: str, query: str, share_rows: int = scan
     A page follows the page whose last cursor it was asked to start after; a join finds that page, and a scan over the
     chain's pages in order counts the missing links so far, in shares where a chain outgrows a task.
     """
-    read = READS[contract, query]
-    rows = answered(pages, contract, query).withColumn("user", F.coalesce("user", F.lit("")))
-    key = [*_CHAIN, F.coalesce("start_after", F.lit("")).alias("after")]
-    best = F.max_by(F.struct(*(F.col(c) for c in rows.columns if c not in _CHAIN)), F.struct(F.col("reason").isNull(), "landed_at", "body"))
-    newest = rows.groupBy(*key).agg(best.alias("p")).select(*_CHAIN, "after", "p.*")
-    good = newest.filter("reason is null")
-    if not read.cursor:
-        return good.select(*_CHAIN, "start_after", "limit", "landed_at", "answer", "n", "last", F.lit(True).alias("reached"), F.lit(True).alias("ended"))
-    links = good.filter("last is not null").select(*_CHAIN, F.col("last").alias("after"), F.lit(True).alias("known"))
-    linked = good.join(links.dropDuplicates([*_CHAIN, "after"]), [*_CHAIN, "after"], "left")
-    missing = F.when((F.col("after") == "") | F.col("known"), 0).otherwise(1).cast("long")
-    placed = linked.withColumns({"missing": missing, "first": (F.col("after") != ""), "place": _place(read, "start_after")})
-    out = scan.running(placed, _CHAIN, ["first", "place"], {"gaps": scan.total("missing")}, share_rows)
-    ended = F.col("limit").isNull() | (F.col("n") < F.col("limit")) & F.col("until").isNull()
-    return out.select(*_CHAIN, "start_after", "limit", "landed_at", "answer", "n", "last", (F.col("gaps") == 0).alias("reached"), ended.alias("ended"))
+    landings = _Landings(pages, contract, query)
+    return landings.answers().filter("reason is null").join(landings.chains(share_rows), _KEY).select("contract", "query", "user", "start_after", "limit", "landed_at", "answer", "n", "last", "reached", "ended")
 
 
 def read_rows(pages: DataFrame, contract: str, query: str) -> DataFrame:
     """user and the items (or the answer) of all pages that were reached, as typed columns."""
     read = READS[contract, query]
-    good = followed(pages, contract, query).filter("reached")
+    landings = _Landings(pages, contract, query)
+    rows = _of(landings.answers(), landings.unreached(), "left_anti")
     user = F.when(F.col("user") != "", F.col("user")).alias("asked_user")
     if read.items is None:
-        return good.select(user, *(F.col(f"answer.{c}") for c in good.schema["answer"].dataType.names if c != "broken"))
-    item = good.select(user, F.explode(f"answer.{read.items}").alias("item"))
+        return rows.filter("reason is null").select(user, *(F.col(f"answer.{c}") for c in rows.schema["answer"].dataType.names if c != "broken"))
+    fit = F.when(F.col("reason").isNull(), F.col(f"answer.{read.items}"))
+    item = rows.select(user, F.posexplode_outer(fit).alias("at", "item")).filter("at is not null").drop("at")  # explode would filter, and parse, first
     return item.select("asked_user", "item.*") if hasattr(item.schema["item"].dataType, "names") else item
 
 
@@ -105,7 +158,8 @@ def quarantine(pages: DataFrame, contract: str, query: str) -> DataFrame:
     rows = answered(pages, contract, query).filter("reason is not null")
     text = F.coalesce("broken", "error", "body")
     bad = rows.select("user", "start_after", "landed_at", "reason", text.alias("text"))
-    gap = followed(pages, contract, query).filter("not reached")
+    landings = _Landings(pages, contract, query)
+    gap = _of(landings.answers().filter("reason is null"), landings.unreached(), "left_semi")
     return bad.unionByName(gap.select(F.when(F.col("user") != "", F.col("user")).alias("user"), "start_after", "landed_at", F.lit("unreached").alias("reason"), F.to_json("answer").alias("text")))
 
 
@@ -114,6 +168,8 @@ def quarantine_counts(pages: DataFrame, reads: list[tuple[str, str]] | None = No
     under the read whose folder they lie in."""
     out = None
     for contract, query in reads or list(READS):
-        one = quarantine(pages, contract, query).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(contract).alias("contract"), F.lit(query).alias("query"), "reason", "n")
+        landings = _Landings(pages, contract, query)
+        bad = landings.rows.filter("reason is not null").select("reason").unionByName(landings.unreached().select(F.lit("unreached").alias("reason")))
+        one = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(contract).alias("contract"), F.lit(query).alias("query"), "reason", "n")
         out = one if out is None else out.unionByName(one)
     return out
